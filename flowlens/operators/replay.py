@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.keys import CHUNK_ROWS, chunk_of
+from flowlens.session import ship_by_value
 
 # ---- fixed values ------------------------------------------------------------------------
 SEQUENCE_WRAP = 1 << 31
@@ -24,6 +25,7 @@ MAX_ANOMALIES = 25
 SHOWN_ANOMALIES = 5
 
 SA = ["capture_id", "source_table", "spi", "direction"]
+ship_by_value(__name__)
 _BEFORE_FIRST = -1  # entry value of a block that starts its SA
 _TOP = 1 << 62
 

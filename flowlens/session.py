@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,3 +42,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="flowlens-checkpoint-"))
     return df.checkpoint()
+
+
+def ship_by_value(module: str) -> None:
+    """Send a module's functions to the workers inside the task, so no package install is needed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
