@@ -11,62 +11,25 @@ CHUNK_ROWS = 65536
 EVIDENCE_CHUNK = 10000
 
 
-def port_text(port: Column) -> Column:
-    """``x`` marks a missing port; port 0 stays distinct from it."""
-    return F.coalesce(port.cast("string"), F.lit("x"))
+def endpoint_sql(ip: str, port: str) -> str:
+    """``ip:port`` as SQL text; ``x`` marks a missing port, port 0 stays distinct from it."""
+    return f"concat({ip}, ':', coalesce(cast({port} as string), 'x'))"
 
 
-def endpoint(ip: Column, port: Column) -> Column:
-    return F.concat(ip, F.lit(":"), port_text(port))
+def flow_key_sql(prefix: str = "") -> str:
+    """Directed key ``src:sport-proto/ipver->dst:dport`` over packet columns, as SQL text."""
+    source = endpoint_sql(f"{prefix}source", f"{prefix}source_port")
+    target = endpoint_sql(f"{prefix}destination", f"{prefix}destination_port")
+    return f"concat({source}, '-', {prefix}protocol, '/', {prefix}ip_version, '->', {target})"
 
 
-def flow_key(
-    source: Column,
-    destination: Column,
-    source_port: Column,
-    destination_port: Column,
-    protocol: Column,
-    ip_version: Column,
-) -> Column:
-    """Directed key ``src:sport-proto/ipver->dst:dport``."""
-    return F.concat(
-        endpoint(source, source_port),
-        F.lit("-"),
-        protocol,
-        F.lit("/"),
-        ip_version.cast("string"),
-        F.lit("->"),
-        endpoint(destination, destination_port),
-    )
-
-
-def flow_pair(
-    source: Column,
-    destination: Column,
-    source_port: Column,
-    destination_port: Column,
-    protocol: Column,
-    ip_version: Column,
-) -> Column:
+def flow_pair_sql() -> str:
     """Undirected key: both directions of a conversation give the same text."""
-    a, b = endpoint(source, source_port), endpoint(destination, destination_port)
-    return F.concat_ws("|", protocol, ip_version.cast("string"), F.least(a, b), F.greatest(a, b))
+    a = endpoint_sql("source", "source_port")
+    b = endpoint_sql("destination", "destination_port")
+    return f"concat_ws('|', protocol, ip_version, least({a}, {b}), greatest({a}, {b}))"
 
 
 def chunk_of(packet_id: Column, rows: int = CHUNK_ROWS) -> Column:
     """Position range of a packet inside its capture; at most ``rows`` packets share a chunk."""
     return F.expr("0") if rows <= 0 else F.floor(packet_id / F.lit(rows)).cast("bigint")
-
-
-def message_key(capture_id: Column, packet_id: Column) -> Column:
-    """Deterministic id of the IKE message carried by a packet."""
-    return F.concat(capture_id, F.lit(":"), packet_id.cast("string"))
-
-
-def row_key(*parts: Column) -> Column:
-    """Deterministic surrogate id of a row."""
-    return F.sha2(F.concat_ws("|", *parts), 256)
-
-
-def is_missing_text(value: Column) -> Column:
-    return value.isNull() | (value == F.lit(""))

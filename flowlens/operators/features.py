@@ -103,40 +103,33 @@ def size_features(packets: DataFrame) -> DataFrame:
 
 
 def _in_chunks(packets: DataFrame, chunk_rows: int) -> DataFrame:
-    """Packets of a flow in packet order, windowed per (flow, chunk) with the previous stamp."""
+    """Packets of a flow in packet order, windowed per (flow, chunk) with the neighbouring stamps."""
     order = Window.partitionBy(*FLOW, "chunk").orderBy("packet_id")
     return (
         with_flow_pair(packets)
         .select(*FLOW, "packet_id", "ts", chunk_of(F.col("packet_id"), chunk_rows).alias("chunk"))
         .withColumn("previous_ts", F.lag("ts").over(order))
+        .withColumn("next_ts", F.lead("ts").over(order))
     )
 
 
-def _chunk_edges(chunked: DataFrame) -> DataFrame:
-    """First packet of every chunk with the last stamp of the flow's preceding chunk."""
-    edges = chunked.groupBy(*FLOW, "chunk").agg(
-        F.min("packet_id").alias("packet_id"),
-        F.min_by("ts", "packet_id").alias("ts"),
-        F.max_by("ts", "packet_id").alias("last_ts"),
-    )
-    order = Window.partitionBy(*FLOW).orderBy("chunk")
-    return edges.withColumn("previous_ts", F.lag("last_ts").over(order))
-
-
 def interarrivals(packets: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Gap of every packet to its predecessor in the flow, never negative.
 
-    Gaps inside chunks come from a window per (flow, chunk); the one gap per chunk that crosses
-    its edge comes from the chunk summaries. First packets of flows have none.
+    Gaps inside chunks come from a window per (flow, chunk). The one gap per chunk that crosses
+    its edge comes from a window per flow over the first and last packets of chunks only. First
+    packets of flows have none.
     """
     chunked = _in_chunks(packets, chunk_rows)
-    columns = [*FLOW, "packet_id", "ts", "previous_ts"]
-    crossing = _chunk_edges(chunked).select(*columns)
-    gaps = chunked.select(*columns).unionByName(crossing).where("previous_ts IS NOT NULL")
-    return gaps.select(
-        *FLOW,
-        "packet_id",
-        F.greatest(F.col("ts") - F.col("previous_ts"), F.lit(0.0)).alias("interarrival"),
+    edges = chunked.where("previous_ts is null or next_ts is null").withColumn(
+        "before", F.lag("ts").over(Window.partitionBy(*FLOW).orderBy("packet_id"))
+    )
+    crossing = edges.where("previous_ts is null and before is not null")
+    gap = "greatest(ts - {}, 0e0) as interarrival"
+    return (
+        chunked.where("previous_ts is not null")
+        .selectExpr(*FLOW, "packet_id", gap.format("previous_ts"))
+        .unionByName(crossing.selectExpr(*FLOW, "packet_id", gap.format("before")))
     )
 
 

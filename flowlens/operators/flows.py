@@ -2,37 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.functions.keys import flow_key, flow_pair, is_missing_text
+from flowlens.functions.keys import endpoint_sql, flow_key_sql, flow_pair_sql
 
 FLOW = ["capture_id", "flow_pair"]
+_ELIGIBLE = "protocol <> 'unknown' and source <> '' and destination <> ''"
 _ENDPOINT = ("source", "destination", "source_port", "destination_port")
+# packets sent by the smaller endpoint; self-conversations always count as such
+_FORWARD = (
+    f"{endpoint_sql('source', 'source_port')} <= {endpoint_sql('destination', 'destination_port')}"
+)
 
 
 def eligible(packets: DataFrame) -> DataFrame:
     """Packets that belong to a flow: known protocol and both addresses present."""
-    usable = ~is_missing_text(F.col("source")) & ~is_missing_text(F.col("destination"))
-    return packets.where((F.col("protocol") != "unknown") & usable)
-
-
-def pair_column() -> Column:
-    return flow_pair(*[F.col(c) for c in (*_ENDPOINT, "protocol", "ip_version")])
+    return packets.where(_ELIGIBLE)
 
 
 def with_flow_pair(packets: DataFrame) -> DataFrame:
     """Eligible packets carrying their undirected flow key."""
-    return eligible(packets).withColumn("flow_pair", pair_column())
-
-
-def _is_reference_direction() -> Column:
-    """True for packets sent by the smaller endpoint; self-conversations are always True."""
-    source = F.concat("source", F.lit(":"), F.coalesce(F.col("source_port").cast("string"), F.lit("x")))
-    target = F.concat(
-        "destination", F.lit(":"), F.coalesce(F.col("destination_port").cast("string"), F.lit("x"))
-    )
-    return source <= target
+    return eligible(packets).selectExpr("*", f"{flow_pair_sql()} as flow_pair")
 
 
 def build_flows(packets: DataFrame) -> DataFrame:
@@ -43,24 +34,20 @@ def build_flows(packets: DataFrame) -> DataFrame:
     smaller endpoint's side and turned into up/down once the first packet is known, so no window
     over the packets of a flow is needed.
     """
-    rows = with_flow_pair(packets).select(
+    head = ", ".join(
+        f"'{c}', {c}" for c in ("packet_id", *_ENDPOINT, "protocol", "transport", "ip_version")
+    )
+    rows = with_flow_pair(packets).selectExpr(
         *FLOW,
         "packet_id",
         "ts",
-        F.col("length").cast("bigint").alias("length"),
-        F.coalesce("esp.spi", "ah.spi").alias("spi"),
-        F.col("ike").isNotNull().cast("bigint").alias("is_ike"),
-        F.col("esp").isNotNull().cast("bigint").alias("is_esp"),
-        F.col("ah").isNotNull().cast("bigint").alias("is_ah"),
-        _is_reference_direction().alias("forward"),
-        F.struct(
-            F.col("packet_id"),
-            *[F.col(c) for c in _ENDPOINT],
-            F.col("protocol"),
-            F.col("transport"),
-            F.col("ip_version"),
-            _is_reference_direction().alias("forward"),
-        ).alias("head"),
+        "cast(length as bigint) as length",
+        "coalesce(esp.spi, ah.spi) as spi",
+        "cast(ike is not null as bigint) as is_ike",
+        "cast(esp is not null as bigint) as is_esp",
+        "cast(ah is not null as bigint) as is_ah",
+        f"{_FORWARD} as forward",
+        f"named_struct({head}, 'forward', {_FORWARD}) as head",
     )
     forward = F.col("forward")
     by_spi = rows.groupBy(*FLOW, "spi").agg(
@@ -92,40 +79,33 @@ def build_flows(packets: DataFrame) -> DataFrame:
         F.sum("esp_packets").alias("esp_packets"),
         F.sum("ah_packets").alias("ah_packets"),
     )
-    first_forward = F.col("head.forward")
-    up_packets = F.when(first_forward, F.col("forward_packets")).otherwise(
-        F.col("packet_count") - F.col("forward_packets")
-    )
-    up_bytes = F.when(first_forward, F.col("forward_bytes")).otherwise(
-        F.col("byte_count") - F.col("forward_bytes")
+    sides = merged.selectExpr(
+        "*",
+        "if(head.forward, forward_packets, packet_count - forward_packets) as upstream_packets",
+        "if(head.forward, forward_bytes, byte_count - forward_bytes) as upstream_bytes",
     )
-    sides = merged.withColumn("upstream_packets", up_packets).withColumn("upstream_bytes", up_bytes)
-    down = F.col("packet_count") - F.col("upstream_packets")
-    return sides.select(
+    return sides.selectExpr(
         *FLOW,
-        flow_key(
-            *[F.col(f"head.{c}") for c in (*_ENDPOINT, "protocol", "ip_version")]
-        ).alias("flow_key"),
-        F.col("head.source").alias("source_ip"),
-        F.col("head.destination").alias("destination_ip"),
-        F.col("head.source_port").alias("source_port"),
-        F.col("head.destination_port").alias("destination_port"),
-        F.col("head.protocol").alias("protocol"),
-        F.col("head.transport").alias("transport"),
-        F.col("head.ip_version").alias("ip_version"),
+        f"{flow_key_sql('head.')} as flow_key",
+        "head.source as source_ip",
+        "head.destination as destination_ip",
+        "head.source_port",
+        "head.destination_port",
+        "head.protocol",
+        "head.transport",
+        "head.ip_version",
         "start_time",
         "end_time",
-        F.greatest(F.col("end_time") - F.col("start_time"), F.lit(0.0)).alias("duration"),
+        "greatest(end_time - start_time, 0e0) as duration",
         "packet_count",
         "byte_count",
         "upstream_packets",
-        down.alias("downstream_packets"),
+        "packet_count - upstream_packets as downstream_packets",
         "upstream_bytes",
-        (F.col("byte_count") - F.col("upstream_bytes")).alias("downstream_bytes"),
-        F.when(down > F.col("upstream_packets"), "reverse")
-        .when(down == F.col("upstream_packets"), "unknown")
-        .otherwise("first_seen")
-        .alias("direction"),
+        "byte_count - upstream_bytes as downstream_bytes",
+        """case when packet_count - upstream_packets > upstream_packets then 'reverse'
+            when packet_count - upstream_packets = upstream_packets then 'unknown'
+            else 'first_seen' end as direction""",
         "spi",
         "ike_packets",
         "esp_packets",
@@ -139,36 +119,23 @@ def orient(packets: DataFrame, flows: DataFrame) -> DataFrame:
     A left join on the flow: one flow row meets all its packets, so a hot flow is split by the
     adaptive skew join. Packets outside any flow keep a NULL key and direction ``unknown``.
     """
-    keyed = packets.withColumn(
-        "flow_pair",
-        F.when(
-            (F.col("protocol") != "unknown")
-            & ~is_missing_text(F.col("source"))
-            & ~is_missing_text(F.col("destination")),
-            pair_column(),
-        ),
-    )
-    heads = flows.select(
+    keyed = packets.selectExpr("*", f"case when {_ELIGIBLE} then {flow_pair_sql()} end as flow_pair")
+    heads = flows.selectExpr(
         *FLOW,
         "flow_key",
-        F.col("source_ip").alias("_source"),
-        F.col("destination_ip").alias("_destination"),
-        F.col("source_port").alias("_source_port"),
-        F.col("destination_port").alias("_destination_port"),
-    )
-    same = (
-        (F.col("source") == F.col("_source"))
-        & (F.col("destination") == F.col("_destination"))
-        & F.col("source_port").eqNullSafe(F.col("_source_port"))
-        & F.col("destination_port").eqNullSafe(F.col("_destination_port"))
+        "source_ip as _source",
+        "destination_ip as _destination",
+        "source_port as _source_port",
+        "destination_port as _destination_port",
     )
     return (
         keyed.join(heads, FLOW, "left")
-        .withColumn(
-            "direction",
-            F.when(F.col("flow_key").isNull(), "unknown")
-            .when(same, "upstream")
-            .otherwise("downstream"),
+        .selectExpr(
+            "*",
+            """case when flow_key is null then 'unknown'
+                when source = _source and destination = _destination
+                  and source_port <=> _source_port and destination_port <=> _destination_port
+                then 'upstream' else 'downstream' end as direction""",
         )
         .drop("_source", "_destination", "_source_port", "_destination_port")
     )

@@ -371,12 +371,15 @@ def replay(tables: Tables) -> Result:
 def dual_protection(tables: Tables) -> Result:
     keys = ["capture_id", "spi", "direction"]
     shared = tables["esp"].select(*keys).intersect(tables["ah"].select(*keys))
-    names = F.array_sort(F.collect_list(F.struct("spi", "direction")))
-    # the pairs are listed in the finding; they are SAs, not packets
-    groups = shared.groupBy("capture_id").agg(F.count("*").alias("n"), names.alias("pairs"))
-    listed = F.array_join(
-        F.transform("pairs", lambda p: F.concat_ws("/", p["spi"], p["direction"])), ", "
+    # the finding names every shared SA; they are sorted and joined per SPI range, then in range
+    # order, so the sort of one capture is spread
+    entry = F.concat_ws("/", "spi", "direction")
+    ranges = shared.groupBy("capture_id", F.substring("spi", 1, 2).alias("range")).agg(
+        F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(entry)), ", ").alias("part")
     )
+    ordered = F.array_sort(F.collect_list(F.struct("range", "part")))
+    groups = ranges.groupBy("capture_id").agg(F.sum("n").alias("n"), ordered.alias("parts"))
+    listed = F.array_join(F.col("parts.part"), ", ")
     heads = _head(
         groups,
         "shared",
