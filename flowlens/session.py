@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -31,17 +32,26 @@ def build_session(app: str = "flowlens", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so a lost executor costs no recompute.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where unset."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    folder = configured or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="flowlens-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. A local one is made only
-    where nothing is configured, as in tests.
+
+def store(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Later stages scan the columns they need from there, and a lost executor does not recompute
+    what led to it.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="flowlens-checkpoint-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship_by_value(module: str) -> None:

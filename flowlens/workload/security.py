@@ -2,30 +2,27 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.operators import dims, findings, replay, rules, views
-from flowlens.operators.decode import ah_packets, esp_packets
 from flowlens.operators.detect import observations, verdict
-from flowlens.operators.flows import build_flows
 from flowlens.workload.base import PACKETS_SQL, PROPOSALS_SQL, messages, packets, proposals
-from flowlens.workload.traffic import COUNTED_SQL, FLOWS_SQL
+from flowlens.workload.stored import stored
+from flowlens.workload.traffic import COUNTED_SQL, FLOWS_SQL, ah_table, esp_table
 
 
 def tables(spark: SparkSession, folder: str) -> rules.Tables:
-    rows = packets(spark, folder)
-    flow_rows = build_flows(rows)
-    return {
-        "analyses": verdict(rows),
-        "messages": messages(spark, folder),
-        "proposals": proposals(spark, folder),
-        "esp": esp_packets(rows, flow_rows),
-        "ah": ah_packets(rows, flow_rows),
-        "observations": observations(rows),
+    """The stored analysis tables every rule reads."""
+    builders = {
+        "analyses": lambda s, d: verdict(packets(s, d)),
+        "messages": messages,
+        "proposals": proposals,
+        "esp": esp_table,
+        "ah": ah_table,
+        "observations": lambda s, d: observations(packets(s, d)),
     }
+    return {name: stored(spark, folder, name, build) for name, build in builders.items()}
 
 
 SHOWN = [
@@ -57,25 +54,29 @@ def finding_table(spark: SparkSession, folder: str) -> DataFrame:
     return rules.evaluate_rules(tables(spark, folder))[0]
 
 
+def stored_findings(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(spark, folder, "findings", finding_table)
+
+
 def _stored(found: DataFrame) -> DataFrame:
     """Findings as an earlier run left them: those of every other capture."""
     return found.where("cast(substr(capture_id, 5) as int) % 2 = 0")
 
 
 def _summary(spark: SparkSession, folder: str) -> DataFrame:
-    found = finding_table(spark, folder)
+    found = stored_findings(spark, folder)
     return findings.assessment_summary(found, _stored(found), [r.rule_id for r in rules.RULES])
 
 
 def _fresh(spark: SparkSession, folder: str) -> DataFrame:
-    found = finding_table(spark, folder)
+    found = stored_findings(spark, folder)
     return findings.new_findings(found, _stored(found)).select(
         "capture_id", "rule_id", "group_key", "evidence_digest"
     )
 
 
 def _numbered(spark: SparkSession, folder: str) -> DataFrame:
-    found = finding_table(spark, folder)
+    found = stored_findings(spark, folder)
     none = found.where("false").withColumn("finding_id", F.lit(None).cast("string"))
     return findings.number_findings(found, none).select("finding_id", "evidence_digest", "capture_id")
 
@@ -89,11 +90,11 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _severities(spark: SparkSession, folder: str) -> DataFrame:
-    return findings.severity_counts(finding_table(spark, folder))
+    return findings.severity_counts(stored_findings(spark, folder))
 
 
 def _newest_findings(spark: SparkSession, folder: str) -> DataFrame:
-    dated = finding_table(spark, folder).withColumn(
+    dated = stored_findings(spark, folder).withColumn(
         "created_at", F.conv(F.substring("evidence_digest", 1, 8), 16, 10).cast("bigint")
     )
     return views.newest_first(dated, "created_at", "evidence_digest").select(
