@@ -43,14 +43,14 @@ def _address(n: str, net4: str, net6: str, text: str) -> str:
 
     four = _ADDRESS4.format(net=net4, n=n, div65536=div(65536), div256=div(256), S=text)
     six = (
-        f"concat('{net6}:0000:0000:0000:0000:0000:', "
+        f"concat('{net6}:0000:0000:0000:0000:', "
         f"lpad(lower(hex({div(65536)})), 4, '0'), ':', lpad(lower(hex({n} % 65536)), 4, '0'))"
     )
     return f"case when ipv = 6 then {six} else {four} end"
 
 
 _ROWS = """
-  select event_id, user_id, cap, flip, kind, an, bn,
+  select event_id, user_id, cap, flip, kind, an, bn, us,
     concat('CAP-', lpad(cast(cap + 1 as {S}), 6, '0')) as capture_id,
     event_id + 1 as packet_id,
     us / 1e6 as ts,
