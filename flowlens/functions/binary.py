@@ -42,3 +42,8 @@ def expand(df: DataFrame, columns: list[str], fields: str, keep: str) -> DataFra
     """
     rows = f"inline(filter(array({fields}), x -> coalesce({keep}, false)))"
     return df.selectExpr(*columns, rows)
+
+
+def once(df: DataFrame, columns: list[str], fields: str) -> DataFrame:
+    """``columns`` plus the fields of a struct evaluated once per row, for every row."""
+    return df.selectExpr(*columns, f"inline(array({fields}))")

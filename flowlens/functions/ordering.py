@@ -24,10 +24,10 @@ def number_rows(
     inside = Window.partitionBy("_bucket").orderBy(*order)
     first = start if isinstance(start, Column) else F.lit(start)
     return (
-        tagged.withColumn("_position", F.row_number().over(inside))
+        tagged.withColumn("_in_bucket", F.row_number().over(inside))
         .join(offsets, "_bucket")
-        .withColumn(output, (F.col("_before") + F.col("_position") - 1 + first).cast("bigint"))
-        .drop("_bucket", "_position", "_before")
+        .withColumn(output, (F.col("_before") + F.col("_in_bucket") - 1 + first).cast("bigint"))
+        .drop("_bucket", "_in_bucket", "_before")
     )
 
 
