@@ -15,6 +15,7 @@ from flowlens.contract import (
     SPLIT_SEED,
 )
 from flowlens.functions.numeric import round_half_even, round_sql
+from flowlens.session import exists
 
 MODEL_TYPE = "random_forest"
 # ---- fixed values: forest size and seed; unlimited depth is bounded by Spark at 30 ---------
@@ -152,6 +153,8 @@ def register(spark: SparkSession, registry: str, row: dict) -> None:
 
 
 def registered(spark: SparkSession, registry: str) -> DataFrame:
+    if not exists(spark, registry):
+        return spark.createDataFrame([], REGISTRY)
     return spark.read.schema(REGISTRY).json(registry)
 
 

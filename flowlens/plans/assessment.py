@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import findings, rules
 from flowlens.operators.sinks import read_tables
-from flowlens.session import store
+from flowlens.session import exists, store
 
 _TABLES = ["analyses", "messages", "proposals", "esp", "ah", "observations"]
 
@@ -45,15 +45,10 @@ def run_assessment(spark: SparkSession, folder: str) -> DataFrame:
     captures = read_tables(spark, folder, ["captures"])["captures"]
     tables["analyses"] = assessable(tables["analyses"], captures)
     existing = None
-    if _exists(spark, f"{folder}/findings"):
+    if exists(spark, f"{folder}/findings"):
         existing = store(spark.read.parquet(f"{folder}/findings"), "known_findings")
     fresh, cited, summary = assess(tables, existing)
     fresh, cited, summary = store(fresh, "fresh"), store(cited, "cited"), store(summary, "summary")
     cited.write.mode("append").parquet(f"{folder}/finding_evidence")
     fresh.write.mode("append").parquet(f"{folder}/findings")
     return summary
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)

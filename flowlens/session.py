@@ -54,6 +54,12 @@ def store(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on the file system it names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def ship_by_value(module: str) -> None:
     """Send a module's functions to the workers inside the task, so no package install is needed."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
