@@ -18,7 +18,6 @@ from flowlens.contract import (
     TRAIN_RATIO,
     UNKNOWN_CLASS,
     VALIDATION_RATIO,
-    Feature,
 )
 from flowlens.functions.binary import once
 from flowlens.functions.numeric import round_half_even
@@ -40,29 +39,71 @@ LABEL_BAD_SHA = "capture_sha256 is not a 64-char hex digest"
 
 
 # ---- feature rows -------------------------------------------------------------------------
-def _range_check(feature: Feature, value: str) -> str:
-    bounds = []
-    if feature.minimum is not None:
-        bounds.append(f"{value} < {feature.minimum!r}D")
-    if feature.maximum is not None:
-        bounds.append(f"{value} > {feature.maximum!r}D")
-    return " or ".join(bounds) or "false"
+def _entries(value: str, **extra: str) -> str:
+    """Array of one struct per feature, in contract order. ``{f}`` stands for the feature name."""
 
+    def number(bound: float | None) -> str:
+        return "cast(null as double)" if bound is None else f"{bound!r}D"
 
-def _problem(reason: str, feature: str) -> str:
-    return f"named_struct('reason', '{reason}', 'feature', '{feature}')"
+    items = []
+    for feature in FEATURES:
+        more = "".join(f", '{k}', {v.format(f=feature.name)}" for k, v in extra.items())
+        items.append(
+            f"named_struct('name', '{feature.name}', 'nullable', {str(feature.nullable).lower()}, "
+            f"'low', {number(feature.minimum)}, 'high', {number(feature.maximum)}, "
+            f"'value', {value.format(f=feature.name)}{more})"
+        )
+    return f"array({', '.join(items)})"
+
+
+_ABSENT = f"if(x.nullable, cast(null as string), '{NULL_VALUE}')"
+_NUMBER = (
+    f"when isnan(x.value) or abs(x.value) = double('Infinity') then '{NOT_FINITE}' "
+    f"when x.value < x.low or x.value > x.high then '{OUT_OF_RANGE}' end"
+)
+_TYPED_CHECK = f"case when x.value is null then {_ABSENT} {_NUMBER}"
+_JSON_CHECK = (
+    f"case when x.kind is null or x.kind = 'VOID' then {_ABSENT} "
+    f"when x.kind = 'BOOLEAN' then '{BOOLEAN}' "
+    f"when x.kind = 'STRING' and x.text in ('#NaN', '#Infinity', '#-Infinity') then '{NOT_FINITE}' "
+    f"when not (x.kind in ('BIGINT', 'DOUBLE') or x.kind like 'DECIMAL%') then '{WRONG_TYPE}' "
+    f"{_NUMBER}"
+)
+
+
+def _first_problem(entries: str, check: str) -> str:
+    judged = f"transform({entries}, x -> named_struct('reason', {check}, 'feature', x.name))"
+    return f"try_element_at(filter({judged}, p -> p.reason is not null), 1)"
 
 
-def _with_reason(rows: DataFrame, checks: list[str]) -> DataFrame:
-    version = (
-        f"case when not (feature_schema_version <=> '{FEATURE_SCHEMA_VERSION}') then "
-        f"named_struct('reason', '{VERSION_MISMATCH}', 'feature', cast(null as string)) end"
+def _clean(value: str) -> str:
+    """True for rows without any problem, as one flat expression, so most rows skip the search.
+
+    A sum is finite only if every value is; NaN compares as larger than infinity.
+    """
+    tests, terms = [], []
+    for feature in FEATURES:
+        number = value.format(f=feature.name)
+        bounds = [f"{number} >= {feature.minimum!r}D"] if feature.minimum is not None else []
+        if feature.maximum is not None:
+            bounds.append(f"{number} <= {feature.maximum!r}D")
+        test = " and ".join(bounds) or f"{number} is not null"
+        tests.append(f"coalesce({test}, {str(feature.nullable).lower()})")
+        terms.append(f"coalesce({number}, 0D)")
+    return f"({' and '.join(tests)} and {' + '.join(terms)} < double('Infinity'))"
+
+
+def _with_reason(rows: DataFrame, columns: list[str], problem: str) -> DataFrame:
+    other_version = f"not (feature_schema_version <=> '{FEATURE_SCHEMA_VERSION}')"
+    first = (
+        f"case when {other_version} then named_struct('reason', '{VERSION_MISMATCH}', "
+        f"'feature', cast(null as string)) else {problem} end"
     )
-    nothing = "cast(null as struct<reason:string,feature:string>)"
-    first = f"coalesce({', '.join([version, *checks, nothing])})"
-    judged = once(rows, rows.columns, f"named_struct('_problem', {first})")
+    judged = once(rows, columns, f"named_struct('_problem', {first})")
     return judged.selectExpr(
-        *rows.columns, "_problem.reason as reject_reason", "_problem.feature as reject_feature"
+        "* except (_problem)",
+        "_problem.reason as reject_reason",
+        "_problem.feature as reject_feature",
     )
 
 
@@ -71,58 +112,53 @@ def validate_features(rows: DataFrame) -> DataFrame:
 
     Values are judged, never clipped or filled.
     """
-    checks = []
-    for feature in FEATURES:
-        value = f"cast({feature.name} as double)"
-        null = "false" if feature.nullable else f"{feature.name} is null"
-        # NULL never reaches the later arms: their conditions are then not true
-        checks.append(
-            f"case when {null} then {_problem(NULL_VALUE, feature.name)} "
-            f"when isnan({value}) or abs({value}) = double('Infinity') "
-            f"then {_problem(NOT_FINITE, feature.name)} "
-            f"when {_range_check(feature, value)} then {_problem(OUT_OF_RANGE, feature.name)} end"
-        )
-    return _with_reason(rows, checks)
+    value = "cast({f} as double)"
+    found = _first_problem(_entries(value), _TYPED_CHECK)
+    problem = f"case when not {_clean(value)} then {found} end"
+    return _with_reason(rows, rows.columns, problem)
 
 
 def validate_feature_json(rows: DataFrame) -> DataFrame:
     """The same for features stored as one JSON document in ``feature_json``.
 
     Unreadable documents count as empty. JSON types are told apart, so ``true`` and ``"7"`` are
-    not numbers; the non-standard tokens NaN and Infinity are recognised.
+    not numbers; the non-standard tokens NaN and Infinity are recognised. Documents of numbers and
+    nulls are read in one typed pass; only the others are parsed again to name what is wrong.
     """
+    schema = ", ".join([*(f"{name} double" for name in FEATURE_NAMES), "_corrupt string"])
+    read = (
+        f"from_json(feature_json, '{schema}', map('mode', 'PERMISSIVE', "
+        "'columnNameOfCorruptRecord', '_corrupt'))"
+    )
+    typed = once(rows, rows.columns, f"named_struct('_typed', {read})")
+    odd = (
+        "feature_json is null or _typed is null or _typed._corrupt is not null "
+        "or feature_json rlike '\"[-+]?(NaN|INF|Infinity)\"'"
+    )
     marked = r"regexp_replace(feature_json, ':\\s*(NaN|-?Infinity)', ':\"#$1\"')"
-    parsed = once(rows, rows.columns, f"named_struct('_json', try_parse_json({marked}))")
-    values = ", ".join(
-        f"'_{f.name}', try_variant_get(_json, '$.{f.name}', 'variant')" for f in FEATURES
+    parsed = once(
+        typed,
+        [*rows.columns, "_typed"],
+        f"named_struct('_odd', {odd}, '_json', try_parse_json(case when {odd} then {marked} end))",
     )
-    found = once(parsed, rows.columns, f"named_struct({values})")
-    kinds = ", ".join(
-        f"'_t_{f.name}', schema_of_variant(_{f.name}), "
-        f"'{f.name}', try_variant_get(_{f.name}, '$', 'double')"
-        for f in FEATURES
+    variant = "try_variant_get(_json, '$.{f}', 'variant')"
+    detailed = _entries(
+        "try_variant_get(_json, '$.{f}', 'double')",
+        kind=f"schema_of_variant({variant})",
+        text=f"cast({variant} as string)",
+    )
+    plain = "_typed.{f}"
+    problem = (
+        f"case when _odd then {_first_problem(detailed, _JSON_CHECK)} when not {_clean(plain)} "
+        f"then {_first_problem(_entries(plain), _TYPED_CHECK)} end"
+    )
+    judged = _with_reason(parsed, [*rows.columns, "_typed", "_odd", "_json"], problem)
+    return judged.selectExpr(
+        *rows.columns,
+        *[f"if(_odd, try_variant_get(_json, '$.{n}', 'double'), _typed.{n}) as {n}" for n in FEATURE_NAMES],
+        "reject_reason",
+        "reject_feature",
     )
-    kept = [*rows.columns, *[f"_{f.name}" for f in FEATURES]]
-    typed = once(found, kept, f"named_struct({kinds})")
-    checks = []
-    for f in FEATURES:
-        kind, text = f"_t_{f.name}", f"cast(_{f.name} as string)"
-        null = f"{kind} is null or {kind} = 'VOID'"
-        absent = (
-            f"case when {null} then cast(null as struct<reason:string,feature:string>)"
-            if f.nullable
-            else f"case when {null} then {_problem(NULL_VALUE, f.name)}"
-        )
-        checks.append(
-            f"{absent} when {kind} = 'BOOLEAN' then {_problem(BOOLEAN, f.name)} "
-            f"when {kind} = 'STRING' and {text} in ('#NaN', '#Infinity', '#-Infinity') "
-            f"then {_problem(NOT_FINITE, f.name)} "
-            f"when not ({kind} in ('BIGINT', 'DOUBLE') or {kind} like 'DECIMAL%') "
-            f"then {_problem(WRONG_TYPE, f.name)} "
-            f"when {_range_check(f, f.name)} then {_problem(OUT_OF_RANGE, f.name)} end"
-        )
-    kept = [*rows.columns, *FEATURE_NAMES]
-    return _with_reason(typed, checks).select(*kept, "reject_reason", "reject_feature")
 
 
 def latest_analyses(analyses: DataFrame) -> DataFrame:
