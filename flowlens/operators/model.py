@@ -81,6 +81,14 @@ def vector_columns(indicators: list[str]) -> list[str]:
     return [*FEATURE_NAMES, *[f"{name}_missing" for name in indicators]]
 
 
+def standardise(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Zero mean and unit sample deviation as an array column ``scaled``."""
+    assembled = VectorAssembler(inputCols=columns, outputCol="_assembled").transform(rows)
+    scaler = StandardScaler(inputCol="_assembled", outputCol="_scaled", withMean=True).fit(assembled)
+    scaled = scaler.transform(assembled).withColumn("scaled", vector_to_array("_scaled"))
+    return scaled.drop("_assembled", "_scaled")
+
+
 def categorical_stages(columns: list[str]) -> list:
     """Encoders for categorical features; contract 1.0 declares none. Unseen values get a slot."""
     stages: list = []

@@ -6,13 +6,16 @@ where real features matter, ``lineitem``, ``orders`` and ``documents`` where vol
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.contract import FEATURE_NAMES, FEATURES, TRAFFIC_CLASSES
 from flowlens.operators import dataset as ds
 from flowlens.operators import metrics, model, predictions, views
-from flowlens.plans import training
+from flowlens.plans import scoring, training
+from flowlens.session import shared_folder
 from flowlens.workload.base import read
 from flowlens.workload.stored import stored
 from flowlens.workload.traffic import FEATURES_SQL, feature_table, r
@@ -178,6 +181,25 @@ def _imputed(spark: SparkSession, folder: str) -> DataFrame:
     return ready.select("flow_id", "interarrival_std", "interarrival_std_missing", F.round("weight", 9).alias("weight"))
 
 
+def _standardised(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ("packet_count", "packet_size_mean")
+    rows = model.standardise(_real_features(spark, folder), list(columns))
+    return rows.select(
+        "flow_id", *[F.round(F.col("scaled")[i], 9).alias(c) for i, c in enumerate(columns)]
+    )
+
+
+def _classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Train on the labelled captures, register, load and score every flow."""
+    rows = stored_dataset(spark, folder)
+    target = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    trained = training.train(rows, "v1", target, "2024-01-01T00:00:00", trees=10, depth=5)
+    if trained.status != "OK":
+        raise ValueError(f"{trained.status}: {trained.shortfalls}")
+    scored = scoring.score_features(_real_features(spark, folder), target)[1]
+    return scored.drop("probabilities")
+
+
 # ---- metrics -------------------------------------------------------------------------------
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
     names = ", ".join(f"'{c}'" for c in TRAFFIC_CLASSES[:6])
@@ -364,6 +386,8 @@ QUERIES = {
     "M5_sufficiency_gate": _gate,
     "M6_feature_medians": _medians,
     "M6_imputed_rows": _imputed,
+    "M7_standardised_features": _standardised,
+    "M9_M11_M13_M14_train_and_score": _classifier,
     "A35_confusion_matrix": lambda s, d: metrics.confusion_matrix(_scores(s, d)),
     "A36_class_report": lambda s, d: metrics.class_report(_scores(s, d)),
     "A36_summary": lambda s, d: metrics.summary(_scores(s, d)),
@@ -601,6 +625,11 @@ ORACLES = {
       select concat(capture_id, '>', flow_key) as flow_id, coalesce(interarrival_std, m) as interarrival_std,
       case when interarrival_std is null then 1e0 else 0e0 end as interarrival_std_missing,
       round(whole / (k * n), 9) as weight from gf join cw using (capture_id), med""",
+    "M7_standardised_features": FEATURES_SQL
+    + """, st as (select avg(packet_count) as a, stddev_samp(packet_count) as b, avg(packet_size_mean) as c,
+        stddev_samp(packet_size_mean) as d from feat)
+      select concat(capture_id, '>', flow_key) as flow_id, round((packet_count - a) / b, 9) as packet_count,
+      round((packet_size_mean - c) / d, 9) as packet_size_mean from feat, st""",
     "A35_confusion_matrix": _SCORES_SQL + " select label, predicted, count(*) as n from sc group by 1, 2",
     "A36_class_report": _SCORES_SQL
     + f" select class_name, {r('p', 4)} as precision, {r('rc', 4)} as recall, {r('f', 4)} as f1, support from raw",
