@@ -91,7 +91,18 @@ def _template(text: str, micros: str) -> str:
     )
 
 
-_SPARK = _template("string", "unix_micros(cast(ts as timestamp))")
+def micros_sql(column: str) -> str:
+    """Microseconds since 1970 of a zone-less stamp, whatever the session's time zone."""
+    since = f"({column} - timestamp_ntz'1970-01-01 00:00:00')"
+    whole = (
+        f"extract(day from {since}) * 86400 + extract(hour from {since}) * 3600 "
+        f"+ extract(minute from {since}) * 60"
+    )
+    fraction = f"cast(extract(second from {since}) * 1000000 as bigint)"
+    return f"(cast({whole} as bigint) * 1000000 + {fraction})"
+
+
+_SPARK = _template("string", micros_sql("ts"))
 # ---- DuckDB: "with recursive" so that oracles may add recursive parts ----------------------
 PACKETS_SQL = "with recursive " + _template("varchar", "epoch_us(ts)")
 

@@ -16,7 +16,7 @@ from flowlens.operators import dataset as ds
 from flowlens.operators import metrics, model, predictions, views
 from flowlens.plans import scoring, training
 from flowlens.session import shared_folder
-from flowlens.workload.base import read
+from flowlens.workload.base import micros_sql, read
 from flowlens.workload.stored import stored
 from flowlens.workload.traffic import FEATURES_SQL, feature_table, r
 
@@ -324,7 +324,7 @@ def _jobs(spark: SparkSession, folder: str) -> DataFrame:
         "concat('JOB-', lpad(cast(o_orderkey as string), 6, '0')) as job_id",
         "concat('CAP-', lpad(cast(o_custkey as string), 6, '0')) as capture_id",
         "case o_orderstatus when 'F' then 'completed' when 'O' then 'queued' else 'running' end as status",
-        "unix_micros(cast(o_orderdate as timestamp)) as created_at",
+        f"{micros_sql('o_orderdate')} as created_at",
     )
 
 

@@ -39,7 +39,7 @@ _KEY_BITS = "64 * (event_id % 5)"
 _CIPHER, _MAC, _PRF, _DH = (
     "1 + event_id % 26", "event_id % 14", "1 + event_id % 9", "event_id % 32",
 )
-_ATTRIBUTE = f"if(event_id % 3 = 0, '', concat('800E', {_h(_KEY_BITS, 4)}))".replace("800E", "8E00")
+_ATTRIBUTE = f"if(event_id % 3 = 0, '', concat('8E00', {_h(_KEY_BITS, 4)}))"
 
 
 def _proposal(number: int, protocol: str, transforms: list[str], more: int) -> str:
@@ -216,9 +216,6 @@ def _v1_proposals(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_HOP, _DEST = "'0000000000000000'", "concat({next}, '01', repeat('00', 14))"
-
-
 def _extension_frames(spark: SparkSession, folder: str) -> DataFrame:
     """IPv6 packets behind 0 to 3 extension headers, some of them fragments."""
     proto = _h(_PROTO, 2)
@@ -273,14 +270,15 @@ def pcap_files(spark: SparkSession, folder: str) -> DataFrame:
     """Big-endian µs, little-endian µs and big-endian ns captures."""
     layout = "cast(substr(capture_id, 5) as int) % 3"
     size = "octet_length(data)"
-    header = f"""case {layout} when 0 then 'A1B2C3D4000200040000000000000000000000FFFF00000001'
-        when 1 then 'D4C3B2A1020004000000000000000000FFFF000001000000'
-        else 'A1B23C4D000200040000000000000000000000FFFF00000001' end"""
+    # magic, version 2.4, zone, accuracy, snap length, Ethernet
+    rest = "00020004" + "00000000" * 2 + "0000FFFF" + "00000001"
+    header = f"""case {layout} when 0 then 'A1B2C3D4{rest}'
+        when 1 then 'D4C3B2A1{"02000400" + "00000000" * 2 + "FFFF0000" + "01000000"}'
+        else 'A1B23C4D{rest}' end"""
     big = f"concat({_h('seconds', 8)}, {{}}, {_h(size, 8)}, {_h(size, 8)}, hex(data))"
     record = f"""case {layout} when 0 then {big.format(_h('micros', 8))}
         when 1 then concat({_le('seconds', 4)}, {_le('micros', 4)}, {_le(size, 4)}, {_le(size, 4)}, hex(data))
         else {big.format(_h('micros * 1000', 8))} end"""
-    header = header.replace("0002000400000000000000000000" + "00FFFF", "00020004000000000000000000" + "00FFFF")
     return _joined(frame_rows(spark, folder), header, record)
 
 
@@ -441,7 +439,6 @@ QUERIES = {
 }
 
 _IKE_TEXT = "case kind when 'click' then 'IKE header parsed (IKEv2)' when 'error' then 'ESP header parsed (protocol 50)' when 'purchase' then 'AH header parsed (protocol 51)' else '' end"
-_SIZE = "8 + 4"
 
 
 def _arms(table: dict, key: str, prefix: str) -> str:
