@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import decontaminate, line_dedup
+from flowlens.llm import decontaminate, line_dedup, quality_rules
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -33,9 +33,16 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", "text")
+    fitted = quality_rules.fit(docs, _read(spark, folder, "labels"))
+    return quality_rules.judge(docs, fitted).select("doc_id", "verdict.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_line_dedup": op4_line_dedup,
+    "op7_quality_rules": op7_quality_rules,
 }
 
 _OP2 = """
