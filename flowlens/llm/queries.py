@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import decontaminate, line_dedup, quality_rules
+from flowlens.llm import decontaminate, jaccard_join, line_dedup, quality_rules
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -39,10 +39,15 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(docs, fitted).select("doc_id", "verdict.*")
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_read(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
 _OP2 = """
@@ -96,7 +101,40 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
 from marked group by doc_id, r
 """
 
+_OP9 = """
+with recursive words as (
+  select doc_id, row_number() over () as r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+shingles as (
+  select distinct r, md5(array_to_string(w[i:i + 4], ' ')) as g
+  from (select r, w, unnest(generate_series(1, greatest(1, len(w) - 4))) as i
+        from words where len(w) > 0)),
+sizes as (select r, count(*) as n from shingles group by r),
+sets as (
+  select r, n, md5(g) as k from
+    (select r, count(*) as n, string_agg(g, '' order by g) as g from shingles group by r)),
+reps as (select k, n, min(r) as rep from sets group by k, n),
+kept as (select s.r, s.g, p.n from shingles s join reps p on p.rep = s.r),
+pairs as (
+  select a.r as a, b.r as b from kept a join kept b on a.g = b.g and a.r < b.r
+    and 4 * a.n >= 3 * b.n and 4 * b.n >= 3 * a.n
+  group by a.r, b.r, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+links as (
+  select a, b from pairs union select b, a from pairs
+  union select s.r, p.rep from sets s join reps p using (k, n)
+  union select p.rep, s.r from sets s join reps p using (k, n)),
+reach as (
+  select r as node, r as seen from words
+  union select reach.node, links.b from reach join links on links.a = reach.seen),
+ends as (select node, min(doc_id) as component_id from reach join words on words.r = seen group by node)
+select w.doc_id, coalesce(s.n, 0) as n_shingles, e.component_id
+from words w join ends e on e.node = w.r left join sizes s on s.r = w.r
+"""
+
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": _OP2,
     "op4_line_dedup": _OP4,
+    "op9_ngram_jaccard_join": _OP9,
 }
