@@ -7,8 +7,8 @@ document are merged into removal spans. Documents are never shuffled.
 
 Words are compared by 64-bit hashes, so a phrase of 13 words matches wrongly with a chance below
 2**-60. Defined results: null and empty texts have no words; null items are ignored; repeated items
-and rows are answered each; an empty table gives an empty result. Only ``doc_id``, ``text`` and the
-benchmark's ``item_id`` and ``text`` are read, so further columns cannot clash.
+and rows are answered each; an empty table gives an empty result. The documents' columns come back
+in a struct, so none of them can clash with the result's.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlens.llm import words as W
 from flowlens.llm.fm_index import FMIndex
@@ -34,6 +36,7 @@ PIECE_WORDS = 1 << 19
 PHRASE_BYTES = 16 << 20
 
 _SPANS = "array<struct<start:int,end:int>>"
+_LAST = f"n_words long, n_hit long, spans {_SPANS}"
 _RANGE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -116,6 +119,10 @@ def find_hits(data: np.ndarray, bounds: np.ndarray, phrases: Phrases, piece: int
     return words, step, np.unique(np.concatenate(pairs), axis=0)
 
 
+def _text(batch: pa.RecordBatch) -> pa.Array:
+    return pc.struct_field(batch["row"], "text")
+
+
 def _runs(hit: np.ndarray) -> np.ndarray:
     """Ranges of consecutive true values."""
     edges = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
@@ -133,12 +140,11 @@ def _characters(data: np.ndarray, edges: list[int], start: int) -> list[int]:
 
 
 def _search(docs: DataFrame, phrases: Phrases, last: bool) -> DataFrame:
-    """Search one block of phrases and add its hits to those that ``docs`` carries."""
+    """Search one block of phrases in ``row.text`` and add its hits to those ``docs`` carries."""
     held = docs.sparkSession.sparkContext.broadcast(phrases)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def texts(batch: pa.RecordBatch, a: int, b: int) -> pa.RecordBatch:
-        data, bounds = W.column_bytes(batch["text"].slice(a, b - a))
+        data, bounds = W.column_bytes(_text(batch).slice(a, b - a))
         data = W.LOWER[data]
         words, step, pairs = find_hits(data, bounds, held.value)
         items = [set(x) for x in batch["items"].slice(a, b - a).to_pylist()]
@@ -170,17 +176,18 @@ def _search(docs: DataFrame, phrases: Phrases, last: bool) -> DataFrame:
                 "spans": pa.array(spans, _RANGE),
             }
         else:
-            found |= {"text": batch["text"].slice(a, b - a), "ranges": pa.array(ranges, _RANGE)}
-        return pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].slice(a, b - a)} | found)
+            found |= {"ranges": pa.array(ranges, _RANGE)}
+        return pa.RecordBatch.from_pydict({"row": batch["row"].slice(a, b - a)} | found)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, bounds = W.column_bytes(batch["text"])
+            _, bounds = W.column_bytes(_text(batch))
             for a, b in W.blocks(bounds, SHARD_BYTES):
                 yield texts(batch, a, b)
 
-    found = "n_words long, n_hit long, spans " + _SPANS if last else "text string, ranges " + _SPANS
-    return docs.mapInArrow(task, f"doc_id {kind}, items array<string>, {found}")
+    found = "items array<string>, " + (_LAST if last else f"ranges {_SPANS}")
+    schema = T.StructType([docs.schema["row"], *T.StructType.fromDDL(found)])
+    return docs.mapInArrow(task, schema)
 
 
 def _blocks(benchmark: DataFrame, width: int, most: int) -> Iterator[Phrases]:
@@ -204,16 +211,17 @@ def find_contamination(
 ) -> DataFrame:
     """Benchmark occurrences in every document.
 
-    Result, one row for each row of ``docs``: ``doc_id``, ``n_words``, ``n_hit`` (words inside an
-    occurrence), ``items`` (ids of the items that occur, sorted as strings) and ``spans`` (merged
-    character ranges to remove). A benchmark of more than ``phrase_bytes`` is searched in blocks,
+    Result, one row for each row of ``docs``: the struct ``row`` of all its columns, ``n_words``,
+    ``n_hit`` (words inside an occurrence), ``items`` (ids of the items that occur, sorted as
+    strings) and ``spans`` (merged character ranges to remove). A benchmark of more than ``phrase_bytes`` is searched in blocks,
     one pass over the documents each; a pass adds to what the one before has found.
     """
     nothing = {
         "items": F.expr("cast(array() as array<string>)"),
         "ranges": F.expr(f"cast(array() as {_SPANS})"),
     }
-    carried = docs.select("doc_id", "text").withColumns(nothing)
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    carried = carried.withColumns(nothing)
     waiting = None
     for phrases in _blocks(benchmark, width, phrase_bytes):
         if waiting is not None:

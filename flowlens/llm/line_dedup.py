@@ -6,9 +6,9 @@ a minimal perfect hash with fingerprint, count and first-holder arrays. Document
 line hashes to the shards; lines themselves are never joined. The few keys that would make a shard
 hot form one more index of at most ``HOT_MOST`` keys that every task probes on the spot.
 
-Defined results: a null or empty text is one empty line and keeps it; rows that share a ``doc_id``
+Defined results: a null or empty text is one empty line and becomes the empty text; rows that share a ``doc_id``
 are one document; null ids together are one document that comes after all others; an empty table
-gives an empty result. Only ``doc_id`` and ``text`` are read, so further columns cannot clash.
+gives an empty result. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -162,44 +162,43 @@ def probe(keys: DataFrame, index: DataFrame, shards: int) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame, drops: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc_id``, ``text`` without the dropped lines, ``n_lines`` before, ``n_dropped``."""
+    """``docs`` with the dropped lines out of ``text``, and ``n_lines`` before and ``n_dropped``.
+
+    All other columns stay, but for those that have the names of the two counts.
+    """
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
+    schema = schema.add("n_lines", "long").add("n_dropped", "long")
     by_doc = drops.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("drops"))
-    joined = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "doc_id", "text"
-    ).join(by_doc, "id", "left")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    body = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), body)
+    joined = keyed.join(by_doc, "id", "left").select("drops", "row.*")
+    # the list of drops goes first, where no other column's name can hide it
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lines, dropped = [], [], []
-            flat = batch["drops"].flatten()
+            texts, counts, dropped = [], [], []
+            flat = batch.column(0).flatten()
             digests = np.stack([flat.field(i).to_numpy() for i in (0, 1)], axis=1)
-            cuts = np.concatenate(
-                [[0], np.cumsum(batch["drops"].value_lengths().fill_null(0).to_numpy())]
-            )
-            for i, text in enumerate(_texts(batch["text"])):
+            sizes = batch.column(0).value_lengths().fill_null(0).to_numpy()
+            cuts = np.concatenate([[0], np.cumsum(sizes)])
+            for i, text in enumerate(_texts(batch.column(1 + kept.index("text")))):
                 own = text.split(b"\n")
                 gone = {d.tobytes() for d in digests[cuts[i] : cuts[i + 1]]}
-                keep = own
+                stay = own
                 if gone:
                     low = text.translate(_LOWER).split(b"\n")
-                    keep = [a for a, b in zip(own, low, strict=True) if line_key(b, min_chars) not in gone]
-                texts.append(b"\n".join(keep))
-                lines.append(len(own))
-                dropped.append(len(own) - len(keep))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"],
-                    pa.array(texts, pa.binary()).cast(pa.string()),
-                    pa.array(lines, pa.int64()),
-                    pa.array(dropped, pa.int64()),
-                ],
-                ["doc_id", "text", "n_lines", "n_dropped"],
-            )
+                    pairs = zip(own, low, strict=True)
+                    stay = [a for a, b in pairs if line_key(b, min_chars) not in gone]
+                texts.append(b"\n".join(stay))
+                counts.append(len(own))
+                dropped.append(len(own) - len(stay))
+            out = list(batch.columns[1:])
+            out[kept.index("text")] = pa.array(texts, pa.binary()).cast(pa.string())
+            out += [pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays(out, [*kept, "n_lines", "n_dropped"])
 
-    return joined.select("doc_id", "text", "drops").mapInArrow(
-        kept, f"doc_id {kind}, text string, n_lines long, n_dropped long"
-    )
+    return joined.mapInArrow(lines, schema)
 
 
 def dedup_lines(
@@ -208,8 +207,8 @@ def dedup_lines(
     """Drop every line that an earlier document holds too.
 
     Lines whose key has at least ``min_chars`` characters and is found in two or more documents
-    stay only in the document with the smallest ``doc_id``. Result: ``doc_id``, ``text`` (the lines
-    kept), ``n_lines``, ``n_dropped``, one row for each row of ``docs``.
+    stay only in the document with the smallest ``doc_id``. Result: one row for each row of
+    ``docs`` with all its columns, ``text`` being the lines kept, and ``n_lines``, ``n_dropped``.
     """
     keys = store(line_keys(docs, min_chars), "line-keys")
     rows = keys.count()  # from the files' footers

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import decontaminate, jaccard_join, line_dedup, quality_rules
+from flowlens.llm import decontaminate, jaccard_join, line_dedup, quality_rules, sentencepiece
+from flowlens.llm.resources import tokenizer_file
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -15,11 +17,10 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    found = decontaminate.find_contamination(
-        _read(spark, folder, "documents"), _read(spark, folder, "benchmark")
-    )
+    docs = _read(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, _read(spark, folder, "benchmark"))
     return found.select(
-        "doc_id",
+        "row.doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
@@ -29,7 +30,7 @@ def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 
 
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(_read(spark, folder, "documents"))
+    kept = line_dedup.dedup_lines(_read(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -43,11 +44,25 @@ def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(_read(spark, folder, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", "text")
+    model = tokenizer_file("piece_bpe_32k.model")
+    both = sentencepiece.decode(sentencepiece.encode(docs, model), model)
+    return both.select(
+        "doc_id",
+        F.size("pieces").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join("pieces", ","), 256).alias("pieces_sha256"),
+        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_sentencepiece": op10_sentencepiece,
+    "pipeline": corpus_pipeline.run,
 }
 
 _OP2 = """
