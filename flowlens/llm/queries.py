@@ -8,7 +8,15 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import decontaminate, jaccard_join, line_dedup, quality_rules, sentencepiece
+from flowlens.llm import (
+    decontaminate,
+    jaccard_join,
+    line_dedup,
+    quality_rules,
+    sentencepiece,
+    token_counts,
+    unit_dedup,
+)
 from flowlens.llm.resources import tokenizer_file
 
 
@@ -34,12 +42,27 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", "text")
+    kept = unit_dedup.dedup_units(docs)
+    return kept.select(
+        "doc_id", "n_units", "n_removed", "spans", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents").select("doc_id", "text")
     fitted = quality_rules.fit(docs, _read(spark, folder, "labels"))
     return quality_rules.judge(docs, fitted).select("doc_id", "verdict.*")
 
 
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", "text")
+    ranked = token_counts.ranked_pieces(tokenizer_file("piece_bpe_32k.model"))
+    counted = token_counts.count_tokens(docs, token_counts.zipf_scores(ranked))
+    return counted.select("doc_id", "n_pretokens", "n_tokens")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(_read(spark, folder, "documents"))
 
@@ -59,7 +82,9 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_line_dedup": op4_line_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_token_counts": op8_token_counts,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_sentencepiece": op10_sentencepiece,
     "pipeline": corpus_pipeline.run,
