@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import (
     decontaminate,
+    html_text,
     jaccard_join,
     line_dedup,
     quality_rules,
@@ -24,6 +25,12 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _read(spark, folder, "pages").select("page_id", "html")
+    text = html_text.extract_text(pages)
+    return text.select("page_id", F.char_length("text").cast("long").alias("n_chars"), "text")
+
+
 def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, _read(spark, folder, "benchmark"))
@@ -80,6 +87,7 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
