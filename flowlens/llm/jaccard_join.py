@@ -2,14 +2,15 @@
 
 Every document's set of word n-grams is put in one global order, frequent n-grams last. Documents
 that hold the same set are one class, known by its smallest ``doc_id``. Two sets as similar as
-asked share at least ``SHARED`` n-grams among the first few of each (the usual prefix bound), so:
+asked share a number of n-grams among the first ones of each (the prefix bound), so:
 
 1. ``describe`` reads all texts for set sizes, set digests and n-gram counts; the most frequent
    n-grams, ``FREQUENT_MOST`` at most, go last in the order. The choice touches speed only.
 2. ``prefixes`` deals the first n-grams of every class to buckets and keeps those of two classes or
    more.
-3. In each n-gram's group the class with the smallest digest leads. Members are probed against their
-   leader; the links found join near copies into components, without listing pairs of a group.
+3. Some classes of each n-gram's group, the same for most n-grams of near copies, lead. Members that
+   share enough with a leader are probed against it, and the links join near copies into components
+   without listing the pairs of a group. Groups that stay apart get other leaders, a few times.
 4. Components that still share enough first n-grams are probed against each other in blocks.
 
 A probe stores one side's ordered sets in a prefix tree and walks it with a set of the other side:
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm import words as W
@@ -38,10 +39,15 @@ from flowlens.session import ship_by_value, store
 
 WIDTH = 5
 PERCENT = 75
-#: n-grams that two linked sets share at least among their first ones
-SHARED = 3
-#: n-grams found in more classes than this among the first ones go last, the most frequent first
+#: share of a set, in percent, that its first n-grams have in common with those of a linked set; a
+#: greater share makes more first n-grams and fewer candidates
+SHARED = 10
+#: n-grams found in more classes than this among the first ones go last in the order
 FREQUENT = 16
+#: leaders of a group of more classes than FREQUENT, and how often such groups get new ones
+LEADERS, ROUNDS = 6, 3
+#: classes of an n-gram that meet in one bucket; more are dealt to several
+TOGETHER = 1 << 18
 #: at most so many of them (8 MB for each task)
 FREQUENT_MOST = 1 << 20
 #: texts whose sets are built together
@@ -49,7 +55,7 @@ BLOCK_BYTES = 4 << 20
 #: n-grams a task holds before it deals them out
 HELD = 2 << 20
 #: buckets at the least; more where a bucket would hold more than BUCKET n-grams
-BUCKETS, BUCKET = 512, 2 << 20
+BUCKETS, BUCKET = 256, 2 << 20
 #: sets of a tree, and sets walked through it, in one group
 TREE, PROBES = 256, 256
 
@@ -90,16 +96,25 @@ def least_overlap(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
-def shared_least(percent: int) -> int:
-    """First n-grams that any two different, linked sets share, ``SHARED`` if that many.
+def shared_least(size: int, percent: int) -> int:
+    """First n-grams that a set of this size shares with any different set it links to.
 
-    The smallest set that can link to a different one has ``percent / (100 - percent)`` n-grams.
+    The overlap of two different, linked sets is at least ``percent / (100 - percent)``.
     """
-    return SHARED if percent >= 100 else max(1, min(SHARED, percent // (100 - percent)))
+    most = size if percent >= 100 else percent // (100 - percent)
+    return max(1, min(most, 3), min(SHARED * size // 100, least_overlap(size, percent)))
+
+
+def _shared(size: Column, percent: int) -> Column:
+    """``shared_least`` as an expression."""
+    least = F.ceil(F.lit(percent) * size / 100)
+    most = size if percent >= 100 else F.lit(percent // (100 - percent))
+    share = F.least(F.floor(F.lit(SHARED) * size / 100), least)
+    return F.greatest(F.lit(1), F.least(most, F.lit(3)), share)
 
 
 def _prefix(size: int, percent: int) -> int:
-    return min(size, size - least_overlap(size, percent) + shared_least(percent))
+    return min(size, size - least_overlap(size, percent) + shared_least(size, percent))
 
 
 def _digest(grams: np.ndarray) -> tuple[int, int]:
@@ -161,8 +176,8 @@ def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
     )
 
 
-def _frequent(described: DataFrame) -> np.ndarray:
-    """The most frequent first n-grams, sorted; ``FREQUENT_MOST`` at most reach the driver."""
+def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent first n-grams, sorted, and their counts; the bound holds on the driver."""
 
     def count(table: pa.Table) -> pa.Table:
         grams = np.concatenate([np.frombuffer(x, "<u8") for x in table["grams"].to_pylist()])
@@ -178,96 +193,86 @@ def _frequent(described: DataFrame) -> np.ndarray:
         .groupBy("bucket")
         .applyInArrow(count, "gram long, n long")
     )
-    most = counted.orderBy(F.desc("n"), "gram").limit(FREQUENT_MOST).select("gram").toArrow()
-    return np.sort(most["gram"].to_numpy().view("u8"))
+    most = counted.orderBy(F.desc("n"), "gram").limit(FREQUENT_MOST).toArrow()
+    grams = most["gram"].to_numpy().view("u8")
+    by = np.argsort(grams)
+    return grams[by], most["n"].to_numpy()[by]
 
 
 def prefixes(docs: DataFrame, frequent, width: int, percent: int, buckets: int) -> DataFrame:
-    """First n-grams that two classes or more hold: ``gram``, ``id``, ``lead``.
-
-    ``id`` is the class's smallest document, ``lead`` that of the class that leads the n-gram.
-    """
-
-    def dealt(held: list[tuple]) -> pa.RecordBatch:
-        """Held classes as one row a bucket: n-grams, their class numbers, and the classes."""
-        classes = {}
-        for id_, d1, d2, grams in held:
-            key = (d1, d2)
-            if key not in classes or classes[key][0] > id_:
-                classes[key] = (id_, grams)
-        table = np.array([(i, *key) for key, (i, _) in classes.items()], dtype="<i8")
-        sizes = [len(g) for _, g in classes.values()]
-        grams = np.concatenate([g for _, g in classes.values()])
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        bucket = (W.mixed(grams) % np.uint64(buckets)).astype(np.int64)
+    """First n-grams that two classes or more hold: ``gram``, ``d1``, ``d2`` (16 bits of it)."""
+
+    def dealt(held: dict) -> pa.RecordBatch:
+        """Held classes as one row a bucket: n-grams and digests of their classes."""
+        grams = np.concatenate(list(held.values()))
+        sizes = [len(g) for g in held.values()]
+        keys = np.repeat(np.array(list(held), dtype=np.int64), sizes, axis=0)
+        often, times = frequent.value
+        place = np.zeros(len(grams), dtype=np.uint64)
+        if len(often):
+            plain = grams & ~_TOP
+            at = np.minimum(np.searchsorted(often, plain), len(often) - 1)
+            parts = np.where(often[at] == plain, times[at] // TOGETHER, 0) + 1
+            place = (keys[:, 0] % parts).astype(np.uint64)
+        bucket = (W.mixed(grams + place) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
-        grams, owner, bucket = grams[by], owner[by], bucket[by]
+        grams, keys, bucket = grams[by], keys[by], bucket[by]
         starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        out = {"bucket": [], "grams": [], "owners": [], "classes": []}
-        for a, z in zip(starts, [*starts[1:], len(bucket)], strict=True):
-            own, at = np.unique(owner[a:z], return_inverse=True)
-            out["bucket"].append(int(bucket[a]))
-            out["grams"].append(grams[a:z].tobytes())
-            out["owners"].append(at.astype("<i4").tobytes())
-            out["classes"].append(table[own].tobytes())
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        cuts = list(zip(starts, [*starts[1:], len(bucket)], strict=True))
+        short = (keys[:, 1] & 0x7FFF).astype("<i2")
         return pa.RecordBatch.from_arrays(
-            [pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out)
+            [
+                pa.array(bucket[starts]),
+                pa.array([grams[a:z].tobytes() for a, z in cuts], pa.binary()),
+                pa.array([keys[a:z, 0].tobytes() for a, z in cuts], pa.binary()),
+                pa.array([short[a:z].tobytes() for a, z in cuts], pa.binary()),
+            ],
+            ["bucket", "grams", "d1", "d2"],
         )
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n = {}, 0
         for batch in batches:
-            ids = batch["id"].to_numpy()
-            for i, grams in grams_of(batch["text"], width):
-                if len(grams):
-                    first = ordered(grams, frequent.value)[: _prefix(len(grams), percent)].copy()
-                    held.append((int(ids[i]), *_digest(grams), first))
+            for _, grams in grams_of(batch["text"], width):
+                if len(grams) and (key := _digest(grams)) not in held:
+                    first = ordered(grams, frequent.value[0])[: _prefix(len(grams), percent)]
+                    held[key] = first.copy()
                     n += len(first)
             if n > HELD:
                 yield dealt(held)
-                held, n = [], 0
+                held, n = {}, 0
         if held:
             yield dealt(held)
 
     def meet(table: pa.Table) -> pa.Table:
-        grams, owners, classes, base = [], [], [], 0
-        for g, o, c in zip(*[table[k].to_pylist() for k in ("grams", "owners", "classes")], strict=True):
-            grams.append(np.frombuffer(g, "<u8"))
-            owners.append(np.frombuffer(o, "<i4").astype(np.int64) + base)
-            classes.append(np.frombuffer(c, "<i8").reshape(-1, 3))
-            base += len(classes[-1])
-        grams, owners = np.concatenate(grams), np.concatenate(owners)
-        classes = np.concatenate(classes)
-        # classes that several tasks hold are one; its smallest document stands for it
-        by = np.lexsort((classes[:, 0], classes[:, 2], classes[:, 1]))
-        fresh = np.ones(len(by), dtype=bool)
-        fresh[1:] = (classes[by][1:, 1:] != classes[by][:-1, 1:]).any(axis=1)
-        number = np.empty(len(by), dtype=np.int64)
-        number[by] = np.cumsum(fresh) - 1
-        kept = classes[by][fresh]
-        owners = number[owners]
-        by = np.lexsort((owners, grams))
-        grams, owners = grams[by], owners[by]
-        once = np.ones(len(by), dtype=bool)
-        once[1:] = (grams[1:] != grams[:-1]) | (owners[1:] != owners[:-1])
-        grams, owners = grams[once], owners[once]
-        starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else []
-        sizes = np.diff(np.concatenate([starts, [len(grams)]]).astype(np.int64))
-        shared = np.repeat(sizes > 1, sizes)
-        lead = np.repeat(owners[starts], sizes) if len(grams) else owners  # classes are in digest order
+        kinds = {"grams": "<u8", "d1": "<i8", "d2": "<i2"}
+        grams, d1, d2 = (
+            np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()])
+            for c, t in kinds.items()
+        )
+        by = np.lexsort((d2, d1, grams))
+        grams, d1, d2 = grams[by], d1[by], d2[by]
+        same = grams[1:] == grams[:-1]
+        copy = same & (d1[1:] == d1[:-1]) & (d2[1:] == d2[:-1])  # a class that several tasks hold
+        keep = np.concatenate([[True], ~copy])
+        grams, d1, d2 = grams[keep], d1[keep], d2[keep]
+        same = np.concatenate([[False], grams[1:] == grams[:-1], [False]])
+        shared = same[:-1] | same[1:]
+        often, times = frequent.value
+        if len(often):  # classes of a very frequent n-gram may lie in other buckets
+            plain = grams & ~_TOP
+            at = np.minimum(np.searchsorted(often, plain), len(often) - 1)
+            shared |= (often[at] == plain) & (times[at] >= TOGETHER)
         return pa.table(
             {
                 "gram": pa.array(grams[shared].view("i8")),
-                "id": pa.array(kept[owners[shared], 0]),
-                "lead": pa.array(kept[lead[shared], 0]),
+                "d1": pa.array(d1[shared]),
+                "d2": pa.array(d2[shared]),
             }
         )
 
-    packed = _narrow(docs).mapInArrow(
-        deal, "bucket long, grams binary, owners binary, classes binary"
-    )
-    return packed.groupBy("bucket").applyInArrow(meet, "gram long, id long, lead long")
+    packed = _narrow(docs).mapInArrow(deal, "bucket long, grams binary, d1 binary, d2 binary")
+    return packed.groupBy("bucket").applyInArrow(meet, "gram long, d1 long, d2 short")
 
 
 def _blocks(df: DataFrame, key: str, id_: str, most: int) -> DataFrame:
@@ -301,7 +306,7 @@ def probe(texts: DataFrame, pairs: DataFrame, frequent, width: int, percent: int
         ids, tree = table["id"].to_numpy(), table["tree"].to_numpy(zero_copy_only=False)
         sets: list[np.ndarray] = [None] * len(ids)
         for i, grams in grams_of(table["text"].combine_chunks(), width):
-            sets[i] = ordered(grams, frequent.value)
+            sets[i] = ordered(grams, frequent.value[0])
         links = set()
         stored = [i for i in np.flatnonzero(tree) if len(sets[i])]
         root = PrefixTree([sets[i] for i in stored], percent)
@@ -321,31 +326,58 @@ def probe(texts: DataFrame, pairs: DataFrame, frequent, width: int, percent: int
     )
 
 
-def _starred(recs: DataFrame, shared: int) -> DataFrame:
-    """Pairs for ``probe``: each n-gram group's leader walks through its members."""
-    near = recs.where("id <> lead").groupBy("lead", "id").count().where(f"count >= {shared}")
-    members = near.select(F.col("lead").alias("key"), "id", F.lit(True).alias("tree"))
-    leads = members.select("key", F.col("key").alias("id"), F.lit(False).alias("tree")).distinct()
-    return members.unionByName(leads)
+def _starred(known: DataFrame, seed: int, percent: int) -> DataFrame:
+    """Pairs for ``probe``: leaders of the n-grams' groups walk through members of other components.
+
+    ``known`` holds ``gram``, ``id``, ``size`` and ``comp``. A leader of a group has the smallest of
+    some hash of the id, so near copies meet the same few leaders in most of their groups.
+    """
+    hashes = [F.xxhash64("id", F.lit(seed * LEADERS + k)) for k in range(LEADERS)]
+    leads = known.groupBy("gram").agg(
+        F.count("*").alias("n"),
+        F.min("comp").alias("low"),
+        F.max("comp").alias("high"),
+        *[F.min_by(c, h).alias(f"{c}{k}") for k, h in enumerate(hashes) for c in ("id", "size", "comp")],
+    )
+    each = [F.struct(*[F.col(f"{c}{k}").alias(c) for c in ("id", "size", "comp")]) for k in range(LEADERS)]
+    leads = leads.where("low < high").withColumn(
+        "leads",
+        F.when(F.col("n") > FREQUENT, F.array_distinct(F.array(*each))).otherwise(F.array(each[0])),
+    )
+    pairs = known.join(leads.select("gram", F.explode("leads").alias("lead")), "gram")
+    pairs = pairs.where("comp <> lead.comp").select(
+        "id", "size", F.col("lead.id").alias("key"), F.col("lead.size").alias("lead_size")
+    )
+    need = F.least(_shared(F.col("size"), percent), _shared(F.col("lead_size"), percent))
+    near = pairs.groupBy("key", "lead_size", "id", "size").count().where(F.col("count") >= need)
+    members = store(near.select("key", "id", F.lit(True).alias("tree")), "jaccard-starred")
+    leaders = members.select("key", F.col("key").alias("id"), F.lit(False).alias("tree")).distinct()
+    return members.unionByName(leaders)
 
 
-def _remaining(recs: DataFrame, labels: DataFrame, shared: int) -> DataFrame:
+def _known(recs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``recs`` with each class's component, but for n-grams that only one component holds."""
+    placed = recs.join(labels, F.col("id") == F.col("node"), "left")
+    placed = placed.select("gram", "id", "size", F.coalesce("label", "id").alias("comp"))
+    open_ = placed.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return placed.join(open_.where("low < high").select("gram"), "gram")
+
+
+def _remaining(known: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs for ``probe``: components that share first n-grams, the larger one as the tree."""
-    nodes = recs.select("id").distinct().join(labels, F.col("id") == F.col("node"), "left")
-    nodes = store(nodes.select("id", F.coalesce("label", "id").alias("comp")), "jaccard-nodes")
-    groups = recs.select("gram", "id").join(nodes, "id").select("gram", "comp").distinct()
-    open_ = groups.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    groups = groups.join(open_, "gram")
+    groups = known.select("gram", "comp").distinct()
     other = groups.select("gram", F.col("comp").alias("with"))
     meeting = groups.join(other, "gram").where("comp < with").groupBy("comp", "with").count()
-    meeting = meeting.where(f"count >= {shared}").select("comp", "with")
-    sizes = nodes.groupBy("comp").agg(F.count("*").alias("n"))
+    sizes = nodes.groupBy("comp").agg(
+        F.count("*").alias("n"), F.min(_shared(F.col("size"), percent)).alias("need")
+    )
     sized = meeting.join(sizes, "comp").join(
-        sizes.select(F.col("comp").alias("with"), F.col("n").alias("m")), "with"
+        sizes.select(F.col("comp").alias("with"), F.col("n").alias("m"), F.col("need").alias("needs")),
+        "with",
     )
     swap = F.col("n") < F.col("m")
     sized = store(
-        sized.select(
+        sized.where("count >= least(need, needs)").select(
             F.when(swap, F.col("with")).otherwise(F.col("comp")).alias("key"),
             F.when(swap, F.col("comp")).otherwise(F.col("with")).alias("comp"),
         ),
@@ -362,32 +394,49 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     Two documents link when ``100 * intersection >= percent * union`` of their n-gram sets; the
     component is the smallest ``doc_id`` that links lead to, the document's own included.
     """
-    spark, shared = docs.sparkSession, shared_least(percent)
+    spark = docs.sparkSession
     described = store(describe(docs, width, percent), "jaccard-described")
     rows = described.where("bucket is null").select("id", "size", "d1", "d2")
     frequent = spark.sparkContext.broadcast(_frequent(described))
     total = rows.agg(F.sum("size")).first()[0] or 0
-    buckets = max(BUCKETS, int(total) * (100 - percent) // 100 // BUCKET)
-    recs = store(prefixes(docs, frequent, width, percent, buckets), "jaccard-prefixes")
-    active = recs.groupBy("id").count().where(f"count >= {shared}").select("id")
+    buckets = max(BUCKETS, int(total) * (100 - percent + SHARED) // 100 // BUCKET)
+    classes = rows.where("size > 0").groupBy("d1", "d2").agg(
+        F.min("id").alias("id"), F.min("size").alias("size")
+    )
+    short = classes.select("d1", F.col("d2").bitwiseAND(0x7FFF).cast("short").alias("d2"), "id", "size")
+    recs = prefixes(docs, frequent, width, percent, buckets).join(short, ["d1", "d2"])
+    # a class needs enough shared n-grams to be linked at all
+    recs = store(recs.select("gram", "id", "size"), "jaccard-prefixes")
+    active = recs.groupBy("id", "size").count().where(F.col("count") >= _shared(F.col("size"), percent))
+    active = store(active.select("id", "size"), "jaccard-active")
+    recs = store(recs.join(active.select("id"), "id", "left_semi"), "jaccard-recs")
     texts = store(_narrow(docs).join(active, "id", "left_semi"), "jaccard-texts")
 
-    links = store(probe(texts, _starred(recs, shared), frequent, width, percent), "jaccard-links")
-    labels = connected(links)
-    more = probe(texts, _remaining(recs, labels, shared), frequent, width, percent)
+    labels = spark.createDataFrame([], "node long, label long")
+    known = recs.withColumn("comp", F.col("id"))
+    for seed in range(ROUNDS):
+        links = store(probe(texts, _starred(known, seed, percent), frequent, width, percent), "links")
+        stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = connected(stars.unionByName(links))
+        known = store(_known(recs, labels), "jaccard-known")
+        if not known.groupBy("gram").count().where(f"count > {FREQUENT}").take(1):
+            break
+    nodes = active.join(labels, F.col("id") == F.col("node"), "left")
+    nodes = store(nodes.select("id", "size", F.coalesce("label", "id").alias("comp")), "jaccard-nodes")
+    more = probe(texts, _remaining(known, nodes, percent), frequent, width, percent)
 
-    reps = rows.where("size > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     several = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    reps = classes.select("d1", "d2", F.col("id").alias("rep"))
     same = rows.join(several, "id").join(reps, ["d1", "d2"]).where("rep <> id")
     same = same.select(F.col("rep").alias("a"), F.col("id").alias("b"))
     stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     labels = connected(stars.unionByName(more).unionByName(same))
 
-    classes = reps.join(labels, F.col("rep") == F.col("node"), "left").select(
+    placed = reps.join(labels, F.col("rep") == F.col("node"), "left").select(
         "d1", "d2", F.coalesce("label", "rep").alias("comp")
     )
     null = F.lit(LAST)
-    return rows.join(classes, ["d1", "d2"], "left").select(
+    return rows.join(placed, ["d1", "d2"], "left").select(
         F.nullif("id", null).alias("doc_id"),
         F.col("size").alias("n_shingles"),
         F.nullif(F.coalesce("comp", "id"), null).alias("component_id"),

@@ -17,6 +17,7 @@ from flowlens.llm import (
     sentencepiece,
     token_counts,
     unit_dedup,
+    warc_revisits,
 )
 from flowlens.llm.resources import tokenizer_file
 
@@ -44,6 +45,56 @@ def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     )
 
 
+#: captures derived from a page: a response, then revisits and now and then another response, under
+#: spellings of its URL that name the same resource, some with a validator that changed or is missing
+_CAPTURES = """
+  select page_id * 8 + c as record_id,
+    case c % 4 when 0 then url
+      when 1 then concat(replace(url, 'http:', 'HTTPS:'), '#part')
+      when 2 then concat(url, case when url like '%#%' then '' when url like '%?%'
+        then '&utm_campaign=x' else '?utm_campaign=x' end)
+      else replace(url, '://', '://www.') end as url,
+    page_id * 10 + c * 7 as ts,
+    case when c = 0 or (c = 3 and page_id % 7 = 0) then 200 else 304 end as status,
+    case when (page_id + c) % 6 = 5 then null
+      when (page_id + c) % 5 = 4 then concat('"', cast(page_id + c as {S}), '"')
+      when c > 0 and page_id % 2 = 0 then concat('W/"', cast(page_id as {S}), '"')
+      else concat('"', cast(page_id as {S}), '"') end as etag,
+    case when (page_id + c) % 3 = 0 then null
+      else concat('day ', cast(page_id % 30 as {S})) end as modified,
+    html
+  from (select page_id, url, html, {each} as c from pages)"""
+
+
+def captures(spark: SparkSession, folder: str) -> DataFrame:
+    """A crawl's captures with up to four visits of every page."""
+    _read(spark, folder, "pages").createOrReplaceTempView("pages_of_captures")
+    body = _CAPTURES.format(S="string", each="explode(sequence(0, page_id % 4))")
+    rows = spark.sql(body.replace("from pages)", "from pages_of_captures)"))
+    return rows.selectExpr(
+        "record_id",
+        "url",
+        "ts",
+        "status",
+        """map_filter(map('ETag', etag, 'Last-Modified', modified, 'Date', cast(ts as string),
+          'Content-Length', if(status = 200, cast(length(html) as string), '0'),
+          'X-Hop', cast(record_id as string), 'Connection', if(status = 304, 'close, x-hop', null)),
+          (k, v) -> v is not null) as headers""",
+        "if(status = 200, sha2(html, 256), null) as payload",
+    )
+
+
+def op3_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc_revisits.resolve(captures(spark, folder))
+    entries = F.transform(
+        F.array_sort(F.map_keys("headers")), lambda k: F.concat(k, F.lit("="), F.col("headers")[k])
+    )
+    return found.select(
+        "record_id", "key", "ts", "status", "base_id", "payload", "reason",
+        F.array_join(entries, ";").alias("headers"),
+    )
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_dedup.dedup_lines(_read(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -89,6 +140,7 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_warc_revisits": op3_warc_revisits,
     "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
@@ -131,6 +183,56 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(h.n_hit, 0) as n_hi
 from doc_words d left join hits h using (r) left join names n using (r)
 """
 
+_OP3 = (
+    """
+with raw as ("""
+    + _CAPTURES.format(S="varchar", each="unnest(generate_series(0, page_id % 4))")
+    + """),
+bare as (
+  select *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', '')
+    as u from raw),
+keyed as (
+  select *, concat(
+    regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), ':(80|443)$', ''), '^www[.]', ''),
+    regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', ''),
+    case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end) as key
+  from (select *, list_sort(list_filter(string_split(regexp_extract(u, '^[^?]*[?](.*)$', 1), '&'),
+          lambda x: x <> '' and not regexp_matches(x, '^utm_'))) as q from bare)),
+ranked as (
+  select *, row_number() over (partition by key order by ts, case status when 200 then 0 else 1 end,
+    record_id) as n from keyed),
+found as (
+  select r.*, b.record_id as b_id, b.etag as b_etag, b.modified as b_modified, b.ts as b_ts,
+    b.html as b_html
+  from ranked r asof left join (select * from ranked where status = 200) b
+    on r.key = b.key and r.n >= b.n),
+judged as (
+  select *, case when status <> 304 then null when b_id is null then 'no-response'
+    when etag is not null and b_etag is not null then
+      case when regexp_replace(etag, '^W/', '') <> regexp_replace(b_etag, '^W/', '') then 'changed' end
+    when modified is not null and b_modified is not null then
+      case when modified <> b_modified then 'changed' end
+    else 'no-validator' end as reason from found)
+select record_id, key, ts, status,
+  case when status = 200 then record_id when reason is null then b_id end as base_id,
+  case when status = 200 then sha256(html) when reason is null then sha256(b_html) end as payload,
+  reason,
+  case when status = 304 and reason is null then concat(
+      'content-length=', length(b_html), ';date=', ts,
+      case when coalesce(etag, b_etag) is not null then ';etag=' || coalesce(etag, b_etag) else '' end,
+      case when coalesce(modified, b_modified) is not null
+        then ';last-modified=' || coalesce(modified, b_modified) else '' end,
+      ';x-hop=', b_id)
+    else concat(
+      case when status = 304 then 'connection=close, x-hop;' else '' end,
+      'content-length=', case when status = 200 then length(html) else 0 end, ';date=', ts,
+      case when etag is not null then ';etag=' || etag else '' end,
+      case when modified is not null then ';last-modified=' || modified else '' end,
+      ';x-hop=', record_id) end as headers
+from judged
+"""
+)
+
 _OP4 = """
 with lines as (
   select doc_id, r, generate_subscripts(l, 1) as i, unnest(l) as line
@@ -183,6 +285,7 @@ from words w join ends e on e.node = w.r left join sizes s on s.r = w.r
 
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": _OP2,
+    "op3_warc_revisits": _OP3,
     "op4_line_dedup": _OP4,
     "op9_ngram_jaccard_join": _OP9,
 }
