@@ -33,8 +33,10 @@ from pyspark.sql import types as T
 from flowlens.llm import words as W
 from flowlens.session import ship_by_value
 
-#: text encoded at once; about thirty times as much memory while it is
-BLOCK_BYTES = 6 << 20
+#: text encoded at once; about forty times as much memory while it is
+BLOCK_BYTES = 2 << 20
+#: words a task remembers with their pieces
+KNOWN_WORDS = 1 << 19
 #: remembered answers whether a piece may follow another
 REMEMBERED = 1 << 20
 
@@ -197,6 +199,22 @@ class Encoder:
         self.known = np.full(REMEMBERED, -1, dtype=np.int64)
         self.answer = np.zeros(REMEMBERED, dtype=bool)
         self.spaces: dict[int, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        #: hashes of the words seen so far, ascending, and their pieces
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.ids = np.zeros(0, dtype=np.int32)
+        self.cuts = np.zeros(1, dtype=np.int64)
+
+    def _remember(self, keys: np.ndarray, ids: np.ndarray, cuts: np.ndarray) -> None:
+        """Add words that are not known yet."""
+        size = np.concatenate([np.diff(self.cuts), np.diff(cuts)])
+        begin = np.concatenate([self.cuts[:-1], cuts[:-1] + len(self.ids)])
+        every, both = np.concatenate([self.keys, keys]), np.concatenate([self.ids, ids])
+        by = np.argsort(every, kind="stable")
+        self.keys, self.cuts = every[by], np.concatenate([[0], np.cumsum(size[by])])
+        self.ids = both[np.repeat(begin[by] - self.cuts[:-1], size[by]) + np.arange(self.cuts[-1])]
 
     # ---- matching ----------------------------------------------------------------------
 
@@ -236,7 +254,7 @@ class Encoder:
             low[longer], high[longer] = ends
         found = high - low
         rows = np.repeat(low - (np.cumsum(found) - found), found) + np.arange(found.sum())
-        return order[rows], np.repeat(self.v.matched, found)
+        return order[rows].astype(np.int32), np.repeat(self.v.matched.astype(np.int32), found)
 
     @staticmethod
     def _bisect(chunk, order, low, high, target, skip: int, right: bool) -> np.ndarray:
@@ -280,7 +298,7 @@ class Encoder:
         """``_follows`` with a fixed-size memory; characters without a piece follow anything."""
         out = np.ones(len(a), dtype=bool)
         both = np.flatnonzero((a >= 0) & (b >= 0))
-        key = a[both] << 32 | b[both]
+        key = a[both].astype(np.int64) << 32 | b[both]
         slot = (W.mixed(key.view(np.uint64)) % np.uint64(REMEMBERED)).astype(np.int64)
         known = self.known[slot] == key
         out[both[known]] = self.answer[slot[known]]
@@ -307,22 +325,22 @@ class Encoder:
         source = np.repeat(starts - at[:-1], sizes + 1) + np.arange(at[-1])
         joined[inside] = data[source[inside]]
         start, piece = self.edges(joined)
-        end = start + np.diff(self.v.cuts)[piece]
+        end = start + np.diff(self.v.cuts).astype(np.int32)[piece]
         # a character without a piece of its own is an edge with a negative piece
         heads = np.flatnonzero(inside & ((joined & 0xC0) != 0x80))
-        width = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16)[joined[heads]]
+        width = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16, np.int32)[joined[heads]]
         single = np.zeros(len(joined) + 1, dtype=bool)
         single[start[self.v.rank[piece] == _LEAF]] = True
         lone = heads[~single[heads]]
         lone_width = width[~single[heads]]
-        start = np.concatenate([start, lone])
-        end = np.concatenate([end, lone + lone_width])
+        start = np.concatenate([start, lone.astype(np.int32)])
+        end = np.concatenate([end, lone.astype(np.int32) + lone_width])
         piece = np.concatenate([piece, -lone_width])
-        base = np.repeat(at[:-1], sizes + 1)
+        base = np.repeat(at[:-1].astype(np.int32), sizes + 1)
         offset = (end - 1 - base[start]).astype(np.int32)
         by = np.argsort(offset, kind="stable")
         start, end, piece, offset = start[by], end[by], piece[by], offset[by]
-        last = np.full(len(joined) + 1, np.iinfo(np.int64).min)
+        last = np.full(len(joined) + 1, np.iinfo(np.int32).min, dtype=np.int32)
         begins = np.zeros(len(joined) + 1, dtype=bool)
         begins[at[:-1]] = True
         levels = np.flatnonzero(np.concatenate([[True], offset[1:] != offset[:-1]])) if len(offset) else []
@@ -337,6 +355,7 @@ class Encoder:
     def _walk_back(self, joined, at, sizes, last):
         """Pieces of every word from the last pieces of its prefixes, in order."""
         lengths = np.diff(self.v.cuts)
+        byte_ids = self.v.bytes_.astype(np.int32)
         where, which = at[:-1] + sizes, np.arange(len(sizes))
         out_word, out_place, out_id = [], [], []
         open_ = np.flatnonzero(sizes > 0)
@@ -348,7 +367,7 @@ class Encoder:
                 own = np.flatnonzero((piece < 0) & (width >= back))
                 out_word.append(which[own])
                 out_place.append(where[own] - back)
-                out_id.append(self.v.bytes_[joined[where[own] - back]])
+                out_id.append(byte_ids[joined[where[own] - back]])
             own = np.flatnonzero(piece >= 0)
             where = where - width
             out_word.append(which[own])
@@ -358,7 +377,7 @@ class Encoder:
             where, which = where[on], which[on]
         place = np.concatenate([np.zeros(0, np.int64), *out_place])
         by = np.argsort(place, kind="stable")
-        ids = np.concatenate([np.zeros(0, np.int64), *out_id])[by]
+        ids = np.concatenate([np.zeros(0, np.int32), *out_id])[by]
         word = np.concatenate([np.zeros(0, np.int64), *out_word])[by]
         return ids, np.searchsorted(word, np.arange(len(sizes) + 1))
 
@@ -367,14 +386,14 @@ class Encoder:
     def _run(self, n: int) -> np.ndarray:
         if n not in self.spaces:
             sizes = spaces(n, self.v.runs)
-            self.spaces[n] = np.array([self.v.run_ids[k] for k in sizes], dtype=np.int64)
+            self.spaces[n] = np.array([self.v.run_ids[k] for k in sizes], dtype=np.int32)
         return self.spaces[n]
 
     def texts(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and each text's bounds."""
         data, bounds = prepared(data, bounds)
         if not len(data):
-            return np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
         space = data == 0x20
         opens = space.copy()
         opens[1:] &= ~space[:-1]
@@ -384,10 +403,20 @@ class Encoder:
         run = np.add.reduceat(space.astype(np.int64), starts)  # the spaces in front of each word
         words = W.Words(starts + run - 1, ends, bounds)
         key = W.hashes(data, words)
-        _, first, number = np.unique(key, return_index=True, return_inverse=True)
-        ids, cuts = self.words(data, words.starts[first], words.ends[first])
-        size = np.diff(cuts)[number]
-        begin = cuts[:-1][number]
+        kinds, first = np.unique(key, return_index=True)
+        if len(self.keys) + len(kinds) > KNOWN_WORDS:
+            self._forget()
+        new = np.ones(len(kinds), dtype=bool)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, kinds), len(self.keys) - 1)
+            new = self.keys[at] != kinds
+        if new.any():
+            own = first[new]
+            self._remember(kinds[new], *self.words(data, words.starts[own], words.ends[own]))
+        number = np.searchsorted(self.keys, key)
+        ids = self.ids
+        size = np.diff(self.cuts)[number]
+        begin = self.cuts[:-1][number]
         several = np.flatnonzero(run > 1)
         if len(several):
             return self._with_runs(ids, begin, size, run, starts, bounds)
@@ -406,7 +435,7 @@ class Encoder:
             front[extra == k] = len(pieces)
         size = size - skip
         total = np.concatenate([[0], np.cumsum(front + size)])
-        flat = np.empty(total[-1], dtype=np.int64)
+        flat = np.empty(total[-1], dtype=np.int32)
         place = np.repeat(total[:-1] + front - (np.cumsum(size) - size), size) + np.arange(size.sum())
         source = np.repeat(begin + skip - (np.cumsum(size) - size), size) + np.arange(size.sum())
         flat[place] = ids[source]
@@ -457,7 +486,7 @@ def _encoded(encoder: Encoder, column: pa.Array) -> pa.Array:
     parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     for a, b in W.blocks(bounds, BLOCK_BYTES):
         ids, cuts = encoder.texts(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
-        parts.append(ids.astype(np.int32))
+        parts.append(ids)
         sizes.append(np.diff(cuts))
     cuts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(parts)))
@@ -469,11 +498,15 @@ def decode(docs: DataFrame, model: bytes, column: str = "pieces", to: str = "dec
 
 
 def _decoded(encoder: Encoder, column: pa.Array) -> pa.Array:
-    ids = column.flatten().to_numpy().astype(np.int64)
+    ids = column.flatten().to_numpy()
     sizes = column.value_lengths().fill_null(0).to_numpy()
-    data, cuts = encoder.decoded(ids, np.concatenate([[0], np.cumsum(sizes)]))
-    buffers = [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]
-    return pa.StringArray.from_buffers(len(sizes), buffers[1], buffers[2])
+    bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    parts = []
+    for a, b in W.blocks(bounds, BLOCK_BYTES // 4):
+        data, cuts = encoder.decoded(ids[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+        buffers = [pa.py_buffer(x.tobytes()) for x in (cuts.astype(np.int32), data)]
+        parts.append(pa.StringArray.from_buffers(b - a, *buffers))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def _mapped(docs: DataFrame, model: bytes, column: str, to: str, kind: T.DataType, work) -> DataFrame:
