@@ -14,6 +14,7 @@ from flowlens.llm import (
     jaccard_join,
     line_dedup,
     quality_rules,
+    secret_scan,
     sentencepiece,
     token_counts,
     unit_dedup,
@@ -68,9 +69,8 @@ _CAPTURES = """
 
 def captures(spark: SparkSession, folder: str) -> DataFrame:
     """A crawl's captures with up to four visits of every page."""
-    _read(spark, folder, "pages").createOrReplaceTempView("pages_of_captures")
     body = _CAPTURES.format(S="string", each="explode(sequence(0, page_id % 4))")
-    rows = spark.sql(body.replace("from pages)", "from pages_of_captures)"))
+    rows = spark.sql(body.replace("from pages)", f"from parquet.`{folder}/pages.parquet`)"))
     return rows.selectExpr(
         "record_id",
         "url",
@@ -108,6 +108,10 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan(_read(spark, folder, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents").select("doc_id", "text")
     fitted = quality_rules.fit(docs, _read(spark, folder, "labels"))
@@ -143,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_revisits": op3_warc_revisits,
     "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
