@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.columns import free
 from flowlens.llm.minimal_hash import LineIndex
 from flowlens.session import ship_by_value, store
 
@@ -169,11 +170,11 @@ def drop_lines(docs: DataFrame, drops: DataFrame, min_chars: int = MIN_CHARS) ->
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
     schema = schema.add("n_lines", "long").add("n_dropped", "long")
-    by_doc = drops.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("drops"))
+    name = free(docs, "drops")
+    by_doc = drops.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias(name))
     body = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), body)
-    joined = keyed.join(by_doc, "id", "left").select("drops", "row.*")
-    # the list of drops goes first, where no other column's name can hide it
+    joined = keyed.join(by_doc, "id", "left").select(name, "row.*")
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,6 +21,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.columns import free
 from flowlens.session import store
 
 BUCKETS = 1 << 14
@@ -44,14 +45,6 @@ class Fitted(NamedTuple):
     threshold: float
 
 
-def _free(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def _once(df: DataFrame, name: str, keep: list[str], **columns: Column) -> DataFrame:
     """Columns evaluated once a row, as fields of ``name``; a generator keeps them from being inlined."""
     fields = F.struct(*[c.alias(k) for k, c in columns.items()])
@@ -192,14 +185,14 @@ def _log_ratio(n: int, t: int, n_raw: int, n_trusted: int) -> float:
 def judge(docs: DataFrame, fitted: Fitted, name: str = "verdict") -> DataFrame:
     """All columns of ``docs`` and a struct ``name`` of counts, ``base_failed``, ``score``, ``kept``."""
     columns = docs.columns
-    free = {k: _free(docs, k) for k in ("split_", "counts_", "grams_", "found_")}
+    names = {k: free(docs, k) for k in ("split_", "counts_", "grams_", "found_")}
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = _once(docs, free["split_"], columns, words=_words(text))
-    words = F.col(free["split_"])["words"]
+    split = _once(docs, names["split_"], columns, words=_words(text))
+    words = F.col(names["split_"])["words"]
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != "")
     counted = _once(
         split,
-        free["counts_"],
+        names["counts_"],
         columns,
         n_words=F.size(words).cast("long"),
         word_chars=F.char_length(F.array_join(words, "")).cast("long"),
@@ -207,13 +200,13 @@ def judge(docs: DataFrame, fitted: Fitted, name: str = "verdict") -> DataFrame:
         n_dup_lines=_let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         one=F.transform(words, lambda w: F.xxhash64(w)),
     )
-    counts = F.col(free["counts_"])
+    counts = F.col(names["counts_"])
     paired = counted.select(
         *[F.col(f"`{c}`") for c in columns],
-        free["counts_"],
-        F.explode(F.array(F.struct(_neighbours(counts["one"], 1).alias("two")))).alias(free["grams_"]),
+        names["counts_"],
+        F.explode(F.array(F.struct(_neighbours(counts["one"], 1).alias("two")))).alias(names["grams_"]),
     )
-    two = F.col(free["grams_"])["two"]
+    two = F.col(names["grams_"])["two"]
     grams = {"one": counts["one"], "two": two}
     score = (
         F.lit(None).cast("double") if fitted.weights is None else _score(grams, fitted.weights)
@@ -221,13 +214,13 @@ def judge(docs: DataFrame, fitted: Fitted, name: str = "verdict") -> DataFrame:
     kept = ("n_words", "word_chars", "n_symbols", "n_dup_lines")
     found = _once(
         paired,
-        free["found_"],
+        names["found_"],
         columns,
         **{k: counts[k] for k in kept},
         n_repeat_words=_repeated(two),
         score=score,
     )
-    found_ = F.col(free["found_"])
+    found_ = F.col(names["found_"])
     failed = (found_["n_words"] < MIN_WORDS) | (
         100 * found_["n_repeat_words"] > MAX_REPEAT_PERCENT * found_["n_words"]
     )

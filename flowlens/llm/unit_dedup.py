@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.llm.columns import free
 from flowlens.session import ship_by_value, store
 
 MIN_WORDS = 25
@@ -51,52 +52,57 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def digest(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
 def _digests(docs: DataFrame, unit: str) -> DataFrame:
-    """``id``, number of the unit, ``low``, ``high``, and whether the document had it before."""
+    """One row for each document row and distinct unit: ``id``, ``low``, ``high``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, numbers, again, digests = [], [], [], []
+            ids, digests = [], []
             for id_, text in zip(batch["id"].to_pylist(), _texts(batch["text"]), strict=True):
-                seen = set()
-                for k, (_, _, words) in enumerate(units(text, unit)):
-                    digest = xxhash.xxh3_128_digest(b" ".join(words))
-                    ids.append(id_)
-                    numbers.append(k)
-                    again.append(digest in seen)
-                    digests.append(digest)
-                    seen.add(digest)
+                found = {digest(words) for _, _, words in units(text, unit)}
+                ids += [id_] * len(found)
+                digests += found
             halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array(numbers, pa.int32()),
-                    pa.array(halves[:, 0]),
-                    pa.array(halves[:, 1]),
-                    pa.array(again, pa.bool_()),
-                ],
-                ["id", "unit", "low", "high", "again"],
+                [pa.array(ids, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
+                ["id", "low", "high"],
             )
 
     narrow = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "text")
-    return narrow.mapInArrow(task, "id long, unit int, low long, high long, again boolean")
+    return narrow.mapInArrow(task, "id long, low long, high long")
 
 
 def repeats(docs: DataFrame, unit: str = "sentence") -> DataFrame:
-    """``id`` and ``unit`` number of every occurrence but the earliest."""
+    """``id``, ``low``, ``high`` of every unit that an earlier document holds too."""
     every = store(_digests(docs, unit), "unit-digests")
-    first = every.where("not again")
-    shared = first.groupBy("low", "high").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    shared = every.groupBy("low", "high").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     # one row a digest on this side, so a digest that many documents hold can be split
-    later = first.join(shared.where("first <> last"), ["low", "high"]).where("id <> first")
-    return later.select("id", "unit").unionByName(every.where("again").select("id", "unit"))
+    later = every.join(shared.where("first <> last"), ["low", "high"])
+    return later.where("id <> first").select("id", "low", "high")
+
+
+def again(found: list[tuple[int, int, list[bytes]]], elsewhere: set[bytes]) -> set[int]:
+    """Numbers of the units that an earlier document holds, or the text itself before."""
+    out, seen = set(), set(elsewhere)
+    for k, (_, _, words) in enumerate(found):
+        own = digest(words)
+        if own in seen:
+            out.add(k)
+        seen.add(own)
+    return out
 
 
-def runs(found: list[tuple[int, int, list[bytes]]], again: set[int], least: int) -> list[tuple[int, int]]:
+def runs(
+    found: list[tuple[int, int, list[bytes]]], repeated: set[int], least: int
+) -> list[tuple[int, int]]:
     """Ranges of unit numbers of neighbouring repeats with enough words."""
     out, start, words = [], None, 0
     for k in range(len(found) + 1):
-        if k in again:
+        if k in repeated:
             start = k if start is None else start
             words += len(found[k][2])
         elif start is not None:
@@ -106,11 +112,13 @@ def runs(found: list[tuple[int, int, list[bytes]]], again: set[int], least: int)
     return out
 
 
-def cut(text: bytes, again: set[int], unit: str, least: int) -> tuple[bytes, int, int, list[dict]]:
+def cut(
+    text: bytes, elsewhere: set[bytes], unit: str, least: int
+) -> tuple[bytes, int, int, list[dict]]:
     """Text without the repeats, its units, those removed, and their character spans."""
     found = list(units(text, unit))
     spans, kept, at, chars, removed = [], [], 0, 0, 0
-    for a, b in runs(found, again, least):
+    for a, b in runs(found, again(found, elsewhere), least):
         start, end = found[a][0], found[b - 1][1]
         chars += len(text[at:start].decode("utf-8", "replace"))
         size = len(text[start:end].decode("utf-8", "replace"))
@@ -126,19 +134,23 @@ def dedup_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WO
     added = T.StructType.fromDDL(_RESULT)
     kept = [c for c in docs.columns if c.lower() not in added.names]
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
-    by_doc = repeats(docs, unit).groupBy("id").agg(F.collect_set("unit").alias("again"))
+    name = free(docs, "again")
+    by_doc = repeats(docs, unit).groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias(name))
     body = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), body)
-    joined = keyed.join(by_doc, "id", "left").select("again", "row.*")
+    joined = keyed.join(by_doc, "id", "left").select(name, "row.*")
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = kept.index("text")
         for batch in batches:
-            again = [set(x or ()) for x in batch.column(0).to_pylist()]
+            flat = batch.column(0).flatten()
+            halves = np.stack([flat.field(i).to_numpy() for i in (0, 1)], axis=1)
+            ends = np.cumsum(batch.column(0).value_lengths().fill_null(0).to_numpy())
+            lists = [{x.tobytes() for x in own} for own in np.split(halves, ends[:-1])] if len(ends) else []
             rows = [
                 cut(text, own, unit, min_words)
-                for text, own in zip(_texts(batch.column(1 + at)), again, strict=True)
+                for text, own in zip(_texts(batch.column(1 + at)), lists, strict=True)
             ]
             texts, *found = list(zip(*rows, strict=True)) or [(), (), (), ()]
             out = list(batch.columns[1:])
