@@ -4,14 +4,16 @@ Every document's set of word n-grams is put in one global order, frequent n-gram
 that hold the same set are one class, known by its smallest ``doc_id``. Two sets as similar as
 asked share a number of n-grams among the first ones of each (the prefix bound), so:
 
-1. ``describe`` reads all texts for set sizes, set digests and n-gram counts; the most frequent
-   n-grams, ``FREQUENT_MOST`` at most, go last in the order. The choice touches speed only.
+1. ``describe`` reads all texts for set sizes, set digests and the documents of every n-gram, by
+   its first 32 bits; the most frequent of those, ``FREQUENT_MOST`` at most, go last in the order.
+   The choice touches speed only.
 2. ``prefixes`` deals the first n-grams of every class to buckets and keeps those of two classes or
    more.
 3. Some classes of each n-gram's group, the same for most n-grams of near copies, lead. Members that
    share enough with a leader are probed against it, and the links join near copies into components
    without listing the pairs of a group. Groups that stay apart get other leaders, a few times.
-4. Components that still share enough first n-grams are probed against each other in blocks.
+4. Components that still share enough first n-grams are probed against each other; where an n-gram
+   is left with many, all classes that such n-grams connect are probed together in blocks.
 
 A probe stores one side's ordered sets in a prefix tree and walks it with a set of the other side:
 partial overlaps are shared along common starts, and a subtree is left as soon as the n-grams that
@@ -42,13 +44,15 @@ PERCENT = 75
 #: share of a set, in percent, that its first n-grams have in common with those of a linked set; a
 #: greater share makes more first n-grams and fewer candidates
 SHARED = 10
-#: n-grams found in more classes than this among the first ones go last in the order
+#: n-grams found in more documents than this go last in the order
 FREQUENT = 16
 #: leaders of a group of more classes than FREQUENT, and how often such groups get new ones
 LEADERS, ROUNDS = 6, 3
+#: components of an n-gram that are paired off; of n-grams with more, classes are probed in blocks
+PAIRED = 64
 #: classes of an n-gram that meet in one bucket; more are dealt to several
 TOGETHER = 1 << 18
-#: at most so many of them (8 MB for each task)
+#: at most so many of them (12 MB for each task)
 FREQUENT_MOST = 1 << 20
 #: texts whose sets are built together
 BLOCK_BYTES = 4 << 20
@@ -83,12 +87,24 @@ def grams_of(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield a + i, runs[:0]
 
 
-def ordered(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+def _head(grams: np.ndarray) -> np.ndarray:
+    """First 32 bits of n-grams, whether they carry the mark of frequent ones or not."""
+    return ((grams & ~_TOP) >> np.uint64(31)).astype(np.uint32)
+
+
+def _times(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Documents of the n-grams that are frequent, 0 for others."""
+    heads, counts = frequent
+    if not len(heads):
+        return np.zeros(len(grams), dtype=np.int64)
+    own = _head(grams)
+    at = np.minimum(np.searchsorted(heads, own), len(heads) - 1)
+    return np.where(heads[at] == own, counts[at], 0)
+
+
+def ordered(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The set in the global order, as ascending keys: frequent n-grams carry the top bit."""
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-        grams = np.sort(np.where(frequent[at] == grams, grams | _TOP, grams))
-    return grams
+    return np.sort(np.where(_times(grams, frequent) > 0, grams | _TOP, grams))
 
 
 def least_overlap(size: int, percent: int) -> int:
@@ -128,26 +144,26 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 
 def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Rows of documents (``id``, ``size``, ``d1``, ``d2``) and of counted first n-grams.
+    """Rows of documents (``id``, ``size``, ``d1``, ``d2``) and of counted n-grams.
 
-    A task deals its n-grams to ``BUCKETS`` buckets as packed arrays: ``grams`` and ``counts``.
+    A task deals its n-grams, by their first 32 bits, to ``BUCKETS`` ranges as packed arrays:
+    ``heads`` and ``counts``.
     """
-    names = ["id", "size", "d1", "d2", "bucket", "grams", "counts"]
+    names = ["id", "size", "d1", "d2", "bucket", "heads", "counts"]
     kinds = [pa.int64()] * 5 + [pa.binary()] * 2
 
     def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
-        grams, counts = np.unique(np.concatenate(parts), return_counts=True)
-        bucket = (W.mixed(grams) % np.uint64(BUCKETS)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[by], np.arange(BUCKETS + 1))
-        grams, counts = grams[by], counts[by].astype("<i4")
-        rows = [(int(b), a, z) for b, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > a]
+        heads, counts = np.unique(np.concatenate(parts), return_counts=True)
+        edges = np.arange(BUCKETS + 1, dtype=np.uint64) * np.uint64((1 << 32) // BUCKETS)
+        cuts = np.searchsorted(heads.astype(np.uint64), edges)
+        counts = counts.astype("<i4")
+        rows = [(b, a, z) for b, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if z > a]
         nothing = [pa.nulls(len(rows), pa.int64())] * 4
         return pa.RecordBatch.from_arrays(
             [
                 *nothing,
                 pa.array([b for b, _, _ in rows], pa.int64()),
-                pa.array([grams[a:z].tobytes() for _, a, z in rows], pa.binary()),
+                pa.array([heads[a:z].tobytes() for _, a, z in rows], pa.binary()),
                 pa.array([counts[a:z].tobytes() for _, a, z in rows], pa.binary()),
             ],
             names,
@@ -159,8 +175,8 @@ def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
             rows = np.zeros((len(batch), 3), dtype=np.int64)
             for i, grams in grams_of(batch["text"], width):
                 rows[i] = len(grams), *_digest(grams)
-                parts.append(grams[: _prefix(len(grams), percent)])
-                held += len(parts[-1])
+                parts.append(_head(grams))
+                held += len(grams)
             columns = [batch["id"], *[pa.array(rows[:, k]) for k in range(3)]]
             empty = [pa.nulls(len(batch), k) for k in kinds[4:]]
             yield pa.RecordBatch.from_arrays(columns + empty, names)
@@ -172,31 +188,31 @@ def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     return _narrow(docs).mapInArrow(
         task,
-        "id long, size long, d1 long, d2 long, bucket long, grams binary, counts binary",
+        "id long, size long, d1 long, d2 long, bucket long, heads binary, counts binary",
     )
 
 
 def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent first n-grams, sorted, and their counts; the bound holds on the driver."""
+    """Heads of the most frequent n-grams, sorted, and their counts; bounded on the driver."""
 
     def count(table: pa.Table) -> pa.Table:
-        grams = np.concatenate([np.frombuffer(x, "<u8") for x in table["grams"].to_pylist()])
+        heads = np.concatenate([np.frombuffer(x, "<u4") for x in table["heads"].to_pylist()])
         counts = np.concatenate([np.frombuffer(x, "<i4") for x in table["counts"].to_pylist()])
-        kinds, at = np.unique(grams, return_inverse=True)
+        kinds, at = np.unique(heads, return_inverse=True)
         n = np.bincount(at, weights=counts).astype(np.int64)
         many = n > FREQUENT
-        return pa.table({"gram": pa.array(kinds[many].view("i8")), "n": pa.array(n[many])})
+        return pa.table({"head": pa.array(kinds[many].astype("i8")), "n": pa.array(n[many])})
 
     counted = (
         described.where("bucket is not null")
-        .select("bucket", "grams", "counts")
+        .select("bucket", "heads", "counts")
         .groupBy("bucket")
-        .applyInArrow(count, "gram long, n long")
+        .applyInArrow(count, "head long, n long")
     )
-    most = counted.orderBy(F.desc("n"), "gram").limit(FREQUENT_MOST).toArrow()
-    grams = most["gram"].to_numpy().view("u8")
-    by = np.argsort(grams)
-    return grams[by], most["n"].to_numpy()[by]
+    most = counted.orderBy(F.desc("n"), "head").limit(FREQUENT_MOST).toArrow()
+    heads = most["head"].to_numpy().astype(np.uint32)
+    by = np.argsort(heads)
+    return heads[by], most["n"].to_numpy()[by]
 
 
 def prefixes(docs: DataFrame, frequent, width: int, percent: int, buckets: int) -> DataFrame:
@@ -207,13 +223,8 @@ def prefixes(docs: DataFrame, frequent, width: int, percent: int, buckets: int)
         grams = np.concatenate(list(held.values()))
         sizes = [len(g) for g in held.values()]
         keys = np.repeat(np.array(list(held), dtype=np.int64), sizes, axis=0)
-        often, times = frequent.value
-        place = np.zeros(len(grams), dtype=np.uint64)
-        if len(often):
-            plain = grams & ~_TOP
-            at = np.minimum(np.searchsorted(often, plain), len(often) - 1)
-            parts = np.where(often[at] == plain, times[at] // TOGETHER, 0) + 1
-            place = (keys[:, 0] % parts).astype(np.uint64)
+        parts = _times(grams, frequent.value) // TOGETHER + 1
+        place = (keys[:, 0] % parts).astype(np.uint64)
         bucket = (W.mixed(grams + place) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         grams, keys, bucket = grams[by], keys[by], bucket[by]
@@ -235,7 +246,7 @@ def prefixes(docs: DataFrame, frequent, width: int, percent: int, buckets: int)
         for batch in batches:
             for _, grams in grams_of(batch["text"], width):
                 if len(grams) and (key := _digest(grams)) not in held:
-                    first = ordered(grams, frequent.value[0])[: _prefix(len(grams), percent)]
+                    first = ordered(grams, frequent.value)[: _prefix(len(grams), percent)]
                     held[key] = first.copy()
                     n += len(first)
             if n > HELD:
@@ -258,11 +269,8 @@ def prefixes(docs: DataFrame, frequent, width: int, percent: int, buckets: int)
         grams, d1, d2 = grams[keep], d1[keep], d2[keep]
         same = np.concatenate([[False], grams[1:] == grams[:-1], [False]])
         shared = same[:-1] | same[1:]
-        often, times = frequent.value
-        if len(often):  # classes of a very frequent n-gram may lie in other buckets
-            plain = grams & ~_TOP
-            at = np.minimum(np.searchsorted(often, plain), len(often) - 1)
-            shared |= (often[at] == plain) & (times[at] >= TOGETHER)
+        # classes of a very frequent n-gram may lie in other buckets
+        shared |= _times(grams, frequent.value) >= TOGETHER
         return pa.table(
             {
                 "gram": pa.array(grams[shared].view("i8")),
@@ -306,7 +314,7 @@ def probe(texts: DataFrame, pairs: DataFrame, frequent, width: int, percent: int
         ids, tree = table["id"].to_numpy(), table["tree"].to_numpy(zero_copy_only=False)
         sets: list[np.ndarray] = [None] * len(ids)
         for i, grams in grams_of(table["text"].combine_chunks(), width):
-            sets[i] = ordered(grams, frequent.value[0])
+            sets[i] = ordered(grams, frequent.value)
         links = set()
         stored = [i for i in np.flatnonzero(tree) if len(sets[i])]
         root = PrefixTree([sets[i] for i in stored], percent)
@@ -363,29 +371,47 @@ def _known(recs: DataFrame, labels: DataFrame) -> DataFrame:
     return placed.join(open_.where("low < high").select("gram"), "gram")
 
 
+def _crowds(known: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Pairs for ``probe``: classes that crowded n-grams connect, but for the largest component's.
+
+    That component's sets are in the tree only, for its own links need no more proof.
+    """
+    held = known.join(crowded, "gram")
+    ends = held.groupBy("gram").agg(F.min("id").alias("b")).join(held.select("gram", "id"), "gram")
+    labels = connected(ends.select(F.col("id").alias("a"), "b"))
+    members = held.select("id", "comp").distinct().join(labels, F.col("id") == F.col("node"), "left")
+    members = members.select("id", "comp", (-1 - F.coalesce("label", "id")).alias("key"))
+    sizes = members.groupBy("key", "comp").count().groupBy("key")
+    largest = sizes.agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"))
+    every = members.select("key", "id", F.lit(True).alias("tree"))
+    others = members.join(largest, "key").where("comp <> largest")
+    return every.unionByName(others.select("key", "id", F.lit(False).alias("tree")))
+
+
 def _remaining(known: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs for ``probe``: components that share first n-grams, the larger one as the tree."""
-    groups = known.select("gram", "comp").distinct()
-    other = groups.select("gram", F.col("comp").alias("with"))
-    meeting = groups.join(other, "gram").where("comp < with").groupBy("comp", "with").count()
     sizes = nodes.groupBy("comp").agg(
         F.count("*").alias("n"), F.min(_shared(F.col("size"), percent)).alias("need")
     )
-    sized = meeting.join(sizes, "comp").join(
-        sizes.select(F.col("comp").alias("with"), F.col("n").alias("m"), F.col("need").alias("needs")),
-        "with",
-    )
-    swap = F.col("n") < F.col("m")
+    groups = store(known.select("gram", "comp").distinct(), "jaccard-groups")
+    many = F.count("*") > PAIRED
+    crowded = store(groups.groupBy("gram").agg(many.alias("many")).where("many").select("gram"), "crowded")
+    groups = groups.join(crowded, "gram", "left_anti").join(sizes, "comp")
+    other = groups.select("gram", *[F.col(c).alias(f"{c}_") for c in ("comp", "n", "need")])
+    sides = ["comp", "n", "comp_", "n_"]
+    meeting = groups.join(other, "gram").where("comp < comp_").groupBy(*sides, "need", "need_").count()
+    swap = F.col("n") < F.col("n_")
     sized = store(
-        sized.where("count >= least(need, needs)").select(
-            F.when(swap, F.col("with")).otherwise(F.col("comp")).alias("key"),
-            F.when(swap, F.col("comp")).otherwise(F.col("with")).alias("comp"),
+        meeting.where("count >= least(need, need_)").select(
+            F.when(swap, F.col("comp_")).otherwise(F.col("comp")).alias("key"),
+            F.when(swap, F.col("comp")).otherwise(F.col("comp_")).alias("comp"),
         ),
         "jaccard-meeting",
     )
     keys = sized.select("key", F.col("key").alias("comp"), F.lit(True).alias("tree")).distinct()
     walkers = sized.select("key", "comp", F.lit(False).alias("tree"))
-    return keys.unionByName(walkers).join(nodes, "comp").select("key", "id", "tree")
+    pairs = keys.unionByName(walkers).join(nodes, "comp").select("key", "id", "tree")
+    return pairs.unionByName(_crowds(known, crowded)) if crowded.take(1) else pairs
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
