@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import types as T
 
 # ---- fixed values: versions -------------------------------------------------------------
 FEATURE_SCHEMA_VERSION = "1.0"
@@ -15,12 +14,8 @@ RULES_VERSION = "1.0.0"
 EVIDENCE_VERSION = "1"
 LABEL_SOURCES = ("user_provided",)
 
-# ---- fixed values: capture limits -------------------------------------------------------
+# ---- fixed values: capture files --------------------------------------------------------
 CAPTURE_EXTENSIONS = ("pcap", "cap", "pcapng")
-MAX_CAPTURE_BYTES = 500 * 1024 * 1024
-MAX_PACKETS = 200_000
-MAX_FRAME_BYTES = 16_000_000
-MAX_BLOCK_BYTES = 64_000_000
 BURST_WINDOW_SECONDS = 0.1
 HISTOGRAM_EDGES = (0, 64, 256, 1024, 4096, 65536)
 
@@ -40,8 +35,7 @@ MIN_SAMPLES_FOR_METRICS = 20
 MIN_CONFIDENCE = 0.60
 LOW_CONFIDENCE = 0.75
 
-# ---- fixed values: severity order, finding categories -----------------------------------
-SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
+# ---- fixed values: finding categories -----------------------------------
 CATEGORIES = (
     "CRYPTOGRAPHY",
     "KEY_EXCHANGE",
@@ -97,21 +91,40 @@ FEATURE_NAMES = tuple(feature.name for feature in FEATURES)
 
 # ---- fixed values: columns that must never become features -------------------------------
 EXCLUDED_FIELDS = frozenset(
-    "id analysis_id capture_id flow_id flow_key prediction_id created_at updated_at start_time "
-    "end_time timestamp first_seen last_seen source_ip destination_ip source_port "
-    "destination_port spi transport protocol title description filename path user_agent category "
-    "packet_size_histogram severity finding_type rule_id evidence_digest".split()
+    (
+        "id",
+        "analysis_id",
+        "capture_id",
+        "flow_id",
+        "flow_key",
+        "prediction_id",
+        "created_at",
+        "updated_at",
+        "start_time",
+        "end_time",
+        "timestamp",
+        "first_seen",
+        "last_seen",
+        "source_ip",
+        "destination_ip",
+        "source_port",
+        "destination_port",
+        "spi",
+        "transport",
+        "protocol",
+        "title",
+        "description",
+        "filename",
+        "path",
+        "user_agent",
+        "category",
+        "packet_size_histogram",
+        "severity",
+        "finding_type",
+        "rule_id",
+        "evidence_digest",
+    )
 )
 
 assert len(FEATURE_NAMES) == len(set(FEATURE_NAMES)) == 27
 assert not EXCLUDED_FIELDS & set(FEATURE_NAMES)
-
-FRAMES = T.StructType(
-    [
-        T.StructField("capture_id", T.StringType()),
-        T.StructField("frame_number", T.LongType()),
-        T.StructField("ts", T.DoubleType()),
-        T.StructField("data", T.BinaryType()),
-        T.StructField("orig_length", T.LongType()),
-    ]
-)

@@ -31,8 +31,3 @@ def round_sql(value: str, digits: int) -> str:
 def round_half_even(value: str, digits: int) -> Column:
     """``round_sql`` of an expression text; name the operand first when it is costly."""
     return F.expr(round_sql(f"({value})", digits))
-
-
-def clamp_unit(value: Column) -> Column:
-    """Clamp into [0, 1]."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value.cast("double")))

@@ -237,15 +237,24 @@ def with_labels(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.join(labelled, "capture_id", "left")
 
 
+def capped(rows: DataFrame, max_rows: int | None) -> DataFrame:
+    """All rows, or the first ``max_rows`` by flow id."""
+    return rows if max_rows is None else rows.orderBy("flow_id").limit(max_rows)
+
+
 def build_dataset(
     features: DataFrame,
     flows: DataFrame,
     analyses: DataFrame,
     captures: DataFrame,
     keys: DataFrame,
+    max_rows: int | None = None,
 ) -> DataFrame:
-    """Feature rows with ``reject_reason`` and ``label``; samples are the labelled, accepted rows."""
-    linked = with_provenance(features, flows, analyses, captures)
+    """Feature rows with ``reject_reason`` and ``label``; samples are the labelled, accepted rows.
+
+    ``max_rows`` bounds the rows, the first by flow id, where a bounded set is wanted.
+    """
+    linked = capped(with_provenance(features, flows, analyses, captures), max_rows)
     checked = validate_features(linked)
     reason = F.coalesce("orphan_reason", "reject_reason")
     judged = checked.withColumn("reject_reason", reason).drop("orphan_reason")

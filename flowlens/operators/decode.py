@@ -36,7 +36,7 @@ TEXT_NATT_ESP = "ESP over UDP 4500 (NAT-T)"
 TEXT_ESP = "ESP header parsed (protocol 50)"
 TEXT_AH = "AH header parsed (protocol 51)"
 
-_IPV6_MAX_HEADERS = 64
+_IPV6_HEADER_BYTES = 8
 _EXTENSION_LIST = ", ".join(str(code) for code in IPV6_EXTENSIONS)
 
 
@@ -56,10 +56,7 @@ def strip_link_layer(frames: DataFrame) -> DataFrame:
 
 
 def _ipv6_walk() -> str:
-    """Follow extension headers from ``body`` to the transport header.
-
-    A walk longer than 64 headers is treated as malformed.
-    """
+    """Follow extension headers from ``body`` to the transport header."""
     following, fragment = uint("data", "s.offset", 1), f"s.next = {IPV6_FRAGMENT}"
     header = f"({uint('data', 's.offset + 1', 1)} + 1) * 8"
     malformed = f"s.offset + 2 > body_end or (not {fragment} and s.offset + {header} > body_end)"
@@ -77,9 +74,8 @@ def _ipv6_walk() -> str:
         "named_struct('next', proto, 'offset', body, 'fragmented', false, 'failed', false, "
         "'done', false)"
     )
-    return fold(
-        _IPV6_MAX_HEADERS, initial, f"case when {malformed} then {broken} else {advanced} end"
-    )
+    step = f"case when {malformed} then {broken} else {advanced} end"
+    return fold("data", _IPV6_HEADER_BYTES, initial, step)
 
 
 def parse_ip(frames: DataFrame) -> DataFrame:

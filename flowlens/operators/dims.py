@@ -143,7 +143,6 @@ DH_GROUPS = {
     30: "CURVE25519",
     31: "CURVE448",
 }
-ESN = {0: "NO_ESN", 1: "ESN"}
 IKEV1_ENCRYPTION = {
     1: "DES_CBC",
     2: "IDEA_CBC",
@@ -155,17 +154,6 @@ IKEV1_ENCRYPTION = {
     8: "AES_CTR",
 }
 IKEV1_CIPHER_TRANSFORMS = (1, 5, 7, 8)
-IKEV1_ATTRIBUTES = {
-    1: "life_type",
-    2: "life_duration",
-    3: "group_desc",
-    4: "key_length",
-    5: "auth_method",
-    6: "hash_alg",
-    7: "encapsulation_mode",
-    11: "key_length_isakmp",
-    12: "dh_field_size",
-}
 IKEV1_AUTH = {
     1: "PSK",
     2: "DSS",
@@ -239,10 +227,6 @@ def lookup(table: dict, key: str) -> Column:
     return F.expr(lookup_sql(table, key))
 
 
-def name_or_code(table: dict, key: str, prefix: str) -> Column:
-    return F.expr(name_or_code_sql(table, key, prefix))
-
-
 def is_unknown_value(value: Column) -> Column:
     return value.isNull() | value.isin(*UNKNOWN_MARKERS)
 

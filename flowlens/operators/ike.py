@@ -22,20 +22,24 @@ from flowlens.operators.dims import (
     name_or_code_sql,
 )
 
-# ---- fixed values: walk limits, payload numbers, attribute numbers ------------------------
-MAX_PAYLOADS, MAX_PROPOSALS, MAX_TRANSFORMS = 32, 16, 16
+# ---- fixed values: payload numbers, attribute numbers -------------------------------------
 PAYLOAD_SA_V2, PAYLOAD_SA_V1, PAYLOAD_SK = 33, 1, 46
 ATTR_KEY_LENGTH = 14
 KEY_IKE, ATTR_PHASE1_CIPHER = 1, 1
 V1_GROUP, V1_KEY, V1_AUTH, V1_HASH, V1_KEY_ISAKMP = 3, 4, 5, 6, 11
 
-_MAX_ATTRIBUTES = 64
+#: payloads, proposals, transforms and attributes take four bytes at least
+_STEP_BYTES = 4
 
 
-def fold(limit: int, initial: str, step: str) -> str:
-    """Apply ``step`` (text over ``s``) up to ``limit`` times while ``s.done`` is false."""
+def fold(data: str, step_bytes: int, initial: str, step: str) -> str:
+    """Apply ``step`` (text over ``s``) while ``s.done`` is false.
+
+    Every step takes ``step_bytes`` or more of ``data``, so its size bounds their number.
+    """
+    most = f"cast(coalesce({size(data)}, 0) div {step_bytes} + 1 as int)"
     return (
-        f"aggregate(sequence(1, {limit}), {initial}, "
+        f"aggregate(sequence(1, {most}), {initial}, "
         f"(s, i) -> case when s.done then s else {step} end)"
     )
 
@@ -76,17 +80,18 @@ def payload_walk(body: str, first: str, version: str) -> str:
         "'sa_payload', s.sa_payload, 'done', true, 'overrun', s.overrun)"
     )
     step = f"case when s.offset + 4 > {size('b')} then {stopped} else {let('h', head, seen)} end"
-    return let("b", body, fold(MAX_PAYLOADS, initial, step))
+    return let("b", body, fold("b", _STEP_BYTES, initial, step))
 
 
-def substructures(data: str, start: str, limit: str, maximum: int, chained: bool) -> str:
+def substructures(data: str, start: str, chained: bool, limit: str | None = None) -> str:
     """Bodies of length-prefixed substructures (header byte 0, length at 2..4, body from 4).
 
-    ``chained`` stops after a zero header byte.
+    ``chained`` stops after a zero header byte, and all stop at ``limit`` bodies if one is given.
     """
     fits = (
         f"s.offset + 4 <= {size(data)} and length >= 4 "
-        f"and s.offset + length <= {size(data)} and size(s.bodies) < {limit}"
+        f"and s.offset + length <= {size(data)}"
+        + (f" and size(s.bodies) < {limit}" if limit else "")
     )
     last = f"{uint(data, 's.offset', 1)} = 0" if chained else "false"
     initial = (
@@ -103,7 +108,7 @@ def substructures(data: str, start: str, limit: str, maximum: int, chained: bool
         uint(data, "s.offset + 2", 2),
         f"case when {fits} then {taken} else {stopped} end",
     )
-    return f"{fold(maximum, initial, step)}.bodies"
+    return f"{fold(data, _STEP_BYTES, initial, step)}.bodies"
 
 
 def key_length_attribute(attributes: str) -> str:
@@ -125,7 +130,7 @@ def key_length_attribute(attributes: str) -> str:
     stopped = "named_struct('offset', s.offset, 'value', s.value, 'done', true)"
     initial = "named_struct('offset', 0L, 'value', cast(null as bigint), 'done', false)"
     step = f"case when s.offset + 4 <= {size('a')} then {let('h', head, read)} else {stopped} end"
-    return f"{let('a', attributes, fold(_MAX_ATTRIBUTES, initial, step))}.value"
+    return f"{let('a', attributes, fold('a', _STEP_BYTES, initial, step))}.value"
 
 
 def ikev1_attributes(data: str) -> str:
@@ -153,7 +158,7 @@ def ikev1_attributes(data: str) -> str:
         "cast(array() as array<struct<type:bigint,value:bigint>>), 'done', false)"
     )
     step = let("h", head, f"case when {fits} then {read} else {stopped} end")
-    return f"{let('d', data, fold(_MAX_ATTRIBUTES, initial, step))}.items"
+    return f"{let('d', data, fold('d', _STEP_BYTES, initial, step))}.items"
 
 
 def _last(items: str, keep: str) -> str:
@@ -171,8 +176,8 @@ def v2_transforms(body: str) -> str:
     A transform of bare header length carries no type; the walk ends there and the row stays.
     """
     declared = uint(body, 3, 1)
-    limit = f"case when {declared} > 0 then least({declared}, {MAX_TRANSFORMS}) else {MAX_TRANSFORMS} end"
-    bodies = substructures(body, f"4 + {uint(body, 2, 1)}", limit, MAX_TRANSFORMS, chained=False)
+    limit = f"case when {declared} > 0 then {declared} else {size(body)} end"
+    bodies = substructures(body, f"4 + {uint(body, 2, 1)}", chained=False, limit=limit)
     return (
         f"transform(filter({bodies}, t -> {size('t')} >= 4), t -> named_struct("
         f"'type', {uint('t', 0, 1)}, 'id', {uint('t', 2, 2)}, "
@@ -187,7 +192,7 @@ def v1_transforms(body: str, attribute_offset: int) -> str:
     """
     spi_end = f"4 + {uint(body, 2, 1)}"
     start = f"case when {spi_end} <= {size(body)} then {spi_end} else 4 end"
-    bodies = substructures(body, start, str(MAX_TRANSFORMS), MAX_TRANSFORMS, chained=False)
+    bodies = substructures(body, start, chained=False)
     raw = (
         f"transform(filter({bodies}, t -> {size('t')} >= 3), t -> named_struct("
         f"'id', {uint('t', 1, 1)}, 'attributes', "
@@ -251,10 +256,10 @@ def v1_proposal(body: str, transforms: str) -> dict[str, str]:
 
 
 def proposal_bodies(sa_payload: str, version: str, v1_skip_doi: bool = False) -> str:
-    """Bodies of the proposals of an SA payload, at most 16.
+    """Bodies of the proposals of an SA payload.
 
     ``v1_skip_doi`` jumps the DOI and situation words that real IKEv1 SA bodies start with.
     """
     start = f"case when {version} <> 'IKEv2' then 8 else 0 end" if v1_skip_doi else "0"
-    bodies = substructures(sa_payload, start, str(MAX_PROPOSALS), MAX_PROPOSALS, chained=True)
+    bodies = substructures(sa_payload, start, chained=True)
     return f"filter({bodies}, b -> {size('b')} >= 4)"

@@ -10,14 +10,8 @@ from flowlens.functions.numeric import round_half_even
 from flowlens.functions.ordering import human_id, human_number, newest, number_rows
 
 KEY = ["flow_id", "model_version"]
-_UPDATED = (
-    "prediction",
-    "top_candidate",
-    "confidence",
-    "min_confidence_threshold",
-    "abstained",
-    "capture_id",
-)
+#: what a stored row keeps when its flow is scored again
+_KEPT = ("prediction_id", "created_at")
 
 
 def abstain(rows: DataFrame, threshold: float, confidence: str = "confidence") -> DataFrame:
@@ -30,37 +24,51 @@ def abstain(rows: DataFrame, threshold: float, confidence: str = "confidence") -
     )
 
 
-def upsert(existing: DataFrame, scored: DataFrame) -> DataFrame:
+def upsert(existing: DataFrame, scored: DataFrame, stamp: Column | None = None) -> DataFrame:
     """Full outer merge on (flow, model version) with ``change``: insert, update or keep.
 
-    Updated rows keep their id and creation stamp.
+    A scored row takes every column that the scoring gives; updated rows keep their id and creation
+    stamp, and inserted ones are stamped with ``stamp`` (by default the current time).
     """
-    carried = [c for c in existing.columns if c not in (*KEY, *_UPDATED)]
-    old = existing.select(
-        *KEY, *[F.col(c).alias(f"_old_{c}") for c in (*_UPDATED, *carried)], F.lit(True).alias("_stored")
-    )
-    new = scored.select(*KEY, *_UPDATED, F.lit(True).alias("_scored"))
+    stamp = F.current_timestamp() if stamp is None else stamp
+    given = [c for c in scored.columns if c not in (*KEY, *_KEPT)]
+    stored = [c for c in existing.columns if c not in KEY]
+    old = existing.select(*KEY, *[F.col(c).alias(f"_old_{c}") for c in stored], F.lit(True).alias("_stored"))
+    new = scored.select(*KEY, *given, F.lit(True).alias("_scored"))
     merged = old.join(new, KEY, "full_outer")
-    scored_now, stored = F.col("_scored").isNotNull(), F.col("_stored").isNotNull()
+    is_scored, is_stored = F.col("_scored").isNotNull(), F.col("_stored").isNotNull()
 
     def current(column: str) -> Column:
-        return F.when(scored_now, F.col(column)).otherwise(F.col(f"_old_{column}")).alias(column)
-
+        if column not in given:
+            return F.col(f"_old_{column}").alias(column)
+        before = F.col(f"_old_{column}") if column in stored else F.lit(None)
+        return F.when(is_scored, F.col(column)).otherwise(before).alias(column)
+
+    columns = [*given, *[c for c in stored if c not in given and c != "created_at"]]
+    created = F.lit(None)
+    if "created_at" in stored:
+        created = F.col("_old_created_at")
+        stamp = stamp.cast(existing.schema["created_at"].dataType)
     return merged.select(
         *KEY,
-        *[current(c) for c in _UPDATED],
-        *[F.col(f"_old_{c}").alias(c) for c in carried],
-        F.when(scored_now & stored, "update").when(scored_now, "insert").otherwise("keep").alias("change"),
+        *[current(c) for c in columns],
+        F.when(is_stored, created).otherwise(stamp).alias("created_at"),
+        F.when(is_scored & is_stored, "update").when(is_scored, "insert").otherwise("keep").alias("change"),
     )
 
 
-def stale(existing: DataFrame, flows: DataFrame) -> DataFrame:
-    """Stored predictions whose flow is gone."""
-    return existing.join(flows.select("flow_id").distinct(), "flow_id", "left_anti")
+def stale(existing: DataFrame, scored: DataFrame, analysed: DataFrame) -> DataFrame:
+    """Stored predictions of the captures and model versions in ``analysed`` not scored again."""
+    scope = analysed.select("capture_id", "model_version").distinct()
+    return existing.join(scope, ["capture_id", "model_version"], "left_semi").join(
+        scored.select(*KEY), KEY, "left_anti"
+    )
 
 
-def without_stale(existing: DataFrame, flows: DataFrame) -> DataFrame:
-    return existing.join(flows.select("flow_id").distinct(), "flow_id", "left_semi")
+def without_stale(existing: DataFrame, scored: DataFrame, analysed: DataFrame) -> DataFrame:
+    """``existing`` without its stale rows."""
+    gone = stale(existing, scored, analysed).select(*KEY)
+    return existing.join(gone, KEY, "left_anti")
 
 
 def number_predictions(fresh: DataFrame, existing: DataFrame) -> DataFrame:

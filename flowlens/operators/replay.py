@@ -21,7 +21,6 @@ from flowlens.session import ship_by_value
 
 # ---- fixed values ------------------------------------------------------------------------
 SEQUENCE_WRAP = 1 << 31
-MAX_ANOMALIES = 25
 SHOWN_ANOMALIES = 5
 
 SA = ["capture_id", "source_table", "spi", "direction"]
@@ -218,8 +217,11 @@ def replay_anomalies(observed: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataF
     )
 
 
-def first_anomalies(anomalies: DataFrame, limit: int = MAX_ANOMALIES) -> DataFrame:
-    """The reported anomalies: SAs by their first packet, then packet order, ``limit`` per table."""
+def first_anomalies(anomalies: DataFrame, limit: int = SHOWN_ANOMALIES) -> DataFrame:
+    """Anomalies to show: SAs by their first packet, then packet order, ``limit`` per table.
+
+    The rank filter is pushed below the shuffle, so a table's anomalies do not meet in one task.
+    """
     order = Window.partitionBy("capture_id", "source_table").orderBy(
         "sa_first_id", "spi", "direction", "packet_id"
     )

@@ -20,11 +20,11 @@ from flowlens.contract import CATEGORIES, RULES_VERSION
 from flowlens.operators import dims
 from flowlens.operators.findings import evidence_chunks, with_digest
 from flowlens.operators.replay import (
-    SHOWN_ANOMALIES,
     first_anomalies,
     replay_anomalies,
     sequence_observations,
 )
+from flowlens.session import store
 
 Tables = dict[str, DataFrame]
 Result = tuple[DataFrame, DataFrame]
@@ -339,16 +339,15 @@ def selected_sa(tables: Tables) -> Result:
 
 
 def replay(tables: Tables) -> Result:
-    reported = first_anomalies(
-        replay_anomalies(sequence_observations(tables["esp"], tables["ah"]))
+    # stored: the scan runs in Python, and counts, values and references all read it
+    reported = store(
+        replay_anomalies(sequence_observations(tables["esp"], tables["ah"])), "anomalies"
     )
+    keys = ["capture_id", "source_table"]
     ranked = F.array_sort(F.collect_list(F.struct("position", "sequence_number")))
-    groups = reported.groupBy("capture_id", "source_table").agg(
-        F.count("*").alias("n"), ranked.alias("ranked")
-    )
-    shown = F.array_join(
-        F.slice(F.col("ranked.sequence_number"), 1, SHOWN_ANOMALIES).cast("array<string>"), ", "
-    )
+    first = first_anomalies(reported).groupBy(*keys).agg(ranked.alias("ranked"))
+    groups = reported.groupBy(*keys).agg(F.count("*").alias("n")).join(first, keys)
+    shown = F.array_join(F.col("ranked.sequence_number").cast("array<string>"), ", ")
     heads = _head(
         groups,
         F.col("source_table"),

@@ -6,18 +6,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.session import exists, remove, store
 
-def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
+
+def write_tables(tables: dict[str, DataFrame], folder: str, captures: DataFrame | None = None) -> None:
     """One Parquet table per name, partitioned by capture where it has one.
 
-    Only the partitions present in the new data are replaced, so re-running a capture is
-    idempotent.
+    Only the partitions of the new data are replaced. Of the ``captures`` analysed, those that have
+    no row in a table lose the partition that an earlier run may have left there. Rows are
+    rebalanced by capture first, so a capture's rows make few files, and a large one several.
     """
     for name, table in tables.items():
-        writer = table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        if "capture_id" in table.columns:
-            writer = writer.partitionBy("capture_id")
-        writer.parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        if "capture_id" not in table.columns:
+            table.write.mode("overwrite").parquet(path)
+            continue
+        if captures is not None:
+            absent = captures.select("capture_id").join(
+                table.select("capture_id").distinct(), "capture_id", "left_anti"
+            )
+            delete_partitions(table.sparkSession, path, absent)
+        writer = table.hint("rebalance", "capture_id").write.mode("overwrite")
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy("capture_id")
+        writer.parquet(path)
+
+
+def delete_partitions(spark: SparkSession, path: str, captures: DataFrame) -> None:
+    """Remove the capture partitions of a stored table from storage."""
+    if not exists(spark, path):
+        return
+    held = spark.read.schema("capture_id string").parquet(path).distinct()
+    gone = held.join(captures.select("capture_id"), "capture_id", "left_semi")
+    for row in gone.toLocalIterator():  # one folder each; nothing is rewritten
+        remove(spark, f"{path}/capture_id={row['capture_id']}")
+
+
+def delete_captures(spark: SparkSession, folder: str, names: list[str], captures: DataFrame) -> None:
+    """Remove captures from the stored tables."""
+    for name in names:
+        delete_partitions(spark, f"{folder}/{name}", captures)
+
+
+def append_new(rows: DataFrame, path: str, key: list[str]) -> None:
+    """Append the rows whose key is not stored yet."""
+    spark = rows.sparkSession
+    if exists(spark, path):
+        known = store(spark.read.parquet(path).select(*key), "stored-keys")
+        rows = rows.join(known, key, "left_anti")
+    rows.write.mode("append").parquet(path)
 
 
 def read_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
@@ -51,7 +87,9 @@ def export_csv(table: DataFrame, folder: str) -> None:
     csv_columns(table).write.mode("overwrite").option("header", True).csv(folder)
 
 
-def feature_documents(features: DataFrame, feature_columns: list[str], per_document: int = 5000) -> DataFrame:
+def feature_documents(
+    features: DataFrame, feature_columns: list[str], per_document: int = 5000
+) -> DataFrame:
     """Feature export as JSON documents per capture.
 
     A document lists at most ``per_document`` flows and carries its position, so a capture with

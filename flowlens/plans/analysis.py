@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.contract import BURST_WINDOW_SECONDS, MAX_PACKETS
+from flowlens.contract import BURST_WINDOW_SECONDS
 from flowlens.operators import decode, detect, features, flows
-from flowlens.operators.sinks import write_tables
-from flowlens.session import store
+from flowlens.operators.sinks import append_new, write_tables
+from flowlens.session import exists, store
 from flowlens.sources import catalogue, frames
 
 
 def analyse_frames(
     frame_rows: DataFrame,
     burst_window: float = BURST_WINDOW_SECONDS,
-    max_packets: int | None = MAX_PACKETS,
+    max_packets: int | None = None,
     keep: bool = True,
 ) -> dict[str, DataFrame]:
     """All analysis tables of a frames table.
@@ -57,24 +57,34 @@ def run_analysis(
     source: str,
     target: str,
     burst_window: float = BURST_WINDOW_SECONDS,
-    max_packets: int | None = MAX_PACKETS,
+    max_packets: int | None = None,
 ) -> None:
-    """Scan a folder of captures and write every table, partitioned by capture."""
-    checked = catalogue.catalogue(catalogue.read_files(spark, source))
-    captures = catalogue.accepted_captures(checked)
-    scanned = frames.scan_frames(captures)
-    scanned = store(scanned, "frames")
+    """Scan a folder of captures and write every table, partitioned by capture.
+
+    Tables of earlier runs stay. A file that is already stored keeps its capture id, and all its
+    rows are replaced; new files get the next ids. ``max_packets`` bounds the frames of a capture.
+    """
+    files = catalogue.read_files(spark, source)
+    checked = store(catalogue.catalogue(files), "catalogue")
+    known = None
+    if exists(spark, f"{target}/captures"):
+        known = store(spark.read.parquet(f"{target}/captures").select("capture_id", "sha256", "filename"), "known")
+    captures = store(catalogue.accepted_captures(checked, known), "accepted")
+    # a path's frames meet its id only after the scan, so content is not shuffled
+    found = frames.scan_frames(files.where("content is not null"), "path")
+    names = captures.select("path", "capture_id")
+    scanned = store(found.join(names, "path").drop("path"), "frames")
     readable = frames.readable_frames(scanned)
     tables = analyse_frames(readable, burst_window, max_packets)
-    identity = captures.drop("content")
-    status = catalogue.capture_status(identity, tables["packets"])
-    notes = catalogue.truncated_captures(readable, max_packets or MAX_PACKETS).join(
+    status = catalogue.capture_status(captures, tables["packets"])
+    notes = catalogue.truncated_captures(readable, max_packets).join(
         frames.read_errors(scanned), "capture_id", "full_outer"
     )
     tables["captures"] = (
-        identity.join(status, "capture_id")
+        captures.join(status, "capture_id")
         .join(notes.select("capture_id", "truncated", "read_error"), "capture_id", "left")
         .withColumn("truncated", F.coalesce("truncated", F.lit(False)))
     )
-    tables["rejected_files"] = checked.where("reject_reason is not null").drop("content")
-    write_tables(tables, target)
+    rejected = checked.where("reject_reason is not null")
+    write_tables(tables, target, captures.select("capture_id"))
+    append_new(rejected, f"{target}/rejected_files", ["path", "file_size", "reject_reason"])

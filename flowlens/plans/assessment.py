@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.operators import findings, rules
-from flowlens.operators.sinks import read_tables
+from flowlens.operators.sinks import append_new, read_tables
 from flowlens.session import exists, store
 
 _TABLES = ["analyses", "messages", "proposals", "esp", "ah", "observations"]
@@ -26,7 +26,7 @@ def assess(
     Running twice on the same tables adds nothing the second time.
     """
     found, chunks = rules.evaluate_rules(tables)
-    found = store(found, "findings")
+    found, chunks = store(found, "findings"), store(chunks, "chunks")
     if existing is None:
         existing = found.where("false").withColumn("finding_id", F.lit(None).cast("string"))
     fresh = findings.new_findings(found, existing)
@@ -46,9 +46,11 @@ def run_assessment(spark: SparkSession, folder: str) -> DataFrame:
     tables["analyses"] = assessable(tables["analyses"], captures)
     existing = None
     if exists(spark, f"{folder}/findings"):
-        existing = store(spark.read.parquet(f"{folder}/findings"), "known_findings")
+        stored = spark.read.parquet(f"{folder}/findings")
+        existing = store(stored.select("finding_id", *findings.IDENTITY), "known_findings")
     fresh, cited, summary = assess(tables, existing)
     fresh, cited, summary = store(fresh, "fresh"), store(cited, "cited"), store(summary, "summary")
-    cited.write.mode("append").parquet(f"{folder}/finding_evidence")
+    # evidence of findings that a broken run did not store is not appended again
+    append_new(cited, f"{folder}/finding_evidence", [*findings.FINDING, "kind", "chunk", "chunk_digest"])
     fresh.write.mode("append").parquet(f"{folder}/findings")
     return summary

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.contract import MIN_CONFIDENCE
@@ -40,6 +40,9 @@ def score_features(
         "flow_id",
         "capture_id",
         F.lit(row["model_version"]).alias("model_version"),
+        F.lit(row["model_type"]).alias("model_type"),
+        F.lit(row["dataset_version"]).alias("dataset_version"),
+        F.lit(row["feature_schema_version"]).alias("feature_schema_version"),
         "prediction",
         "top_candidate",
         "confidence",
@@ -50,12 +53,29 @@ def score_features(
     ), rejected
 
 
+def scoring_input(features: DataFrame, flows: DataFrame) -> DataFrame:
+    """Features of flows that are stored, with the flow's key and capture."""
+    known = flows.select("flow_id", *[c for c in ("flow_key", "capture_id") if c in flows.columns])
+    return features.select("flow_id", *[c for c in features.columns if c not in known.columns]).join(
+        known, "flow_id"
+    )
+
+
 def merge_predictions(
-    existing: DataFrame, scored: DataFrame, flows: DataFrame
+    existing: DataFrame,
+    scored: DataFrame,
+    captures: DataFrame,
+    model_version: str,
+    stamp: Column | None = None,
 ) -> DataFrame:
-    """Stored predictions after a run: updated, inserted with new ids, stale ones dropped."""
-    kept = predictions.without_stale(existing, flows)
-    merged = predictions.upsert(kept, scored)
+    """Stored predictions after a run over ``captures`` with one model.
+
+    Scored rows are updated or inserted with new ids; of the captures' other rows of that model,
+    those not scored again are dropped. Everything else stays.
+    """
+    analysed = captures.select("capture_id", F.lit(model_version).alias("model_version"))
+    kept = predictions.without_stale(existing, scored, analysed)
+    merged = predictions.upsert(kept, scored, stamp)
     inserted = merged.where("change = 'insert'")
     numbered = predictions.number_predictions(inserted.drop("prediction_id"), existing)
     return merged.where("change <> 'insert'").unionByName(numbered)

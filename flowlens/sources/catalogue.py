@@ -5,37 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.contract import CAPTURE_EXTENSIONS, MAX_CAPTURE_BYTES, MAX_PACKETS
-from flowlens.functions.ordering import human_id, number_rows
+from flowlens.contract import CAPTURE_EXTENSIONS
+from flowlens.functions.ordering import human_id, human_number, number_rows
 
 # ---- fixed values: file magics ------------------------------------------------------------
 PCAP_MAGICS = ("D4C3B2A1", "A1B2C3D4", "4D3CB2A1", "A1B23C4D")
 PCAPNG_MAGIC = "0A0D0D0A"
+# ---- fixed values: texts of stored rows ------------------------------------------------------
+NO_PACKETS = "No parseable packets found in the capture."
 
+#: bytes that one binary value can hold
+LARGEST_VALUE = 2**31 - 1024
 
-def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_CAPTURE_BYTES) -> DataFrame:
+
+def read_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """Files under ``path`` as (filename, path, length, content).
 
-    Content is loaded only up to the size limit, so an oversized file costs one directory entry.
+    Content is loaded only up to ``max_bytes`` (by default up to what one value can hold), so a
+    larger file costs one directory entry.
     """
+    limit = LARGEST_VALUE if max_bytes is None else min(max_bytes, LARGEST_VALUE)
     found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(path)
         .withColumn("filename", F.element_at(F.split("path", "/"), -1))
     )
-    small = found.where(F.col("length") <= max_bytes).select("filename", "path", "length", "content")
-    large = found.where(F.col("length") > max_bytes).select(
+    small = found.where(F.col("length") <= limit).select("filename", "path", "length", "content")
+    large = found.where(F.col("length") > limit).select(
         "filename", "path", "length", F.lit(None).cast("binary").alias("content")
     )
     return small.unionByName(large)
 
 
-def catalogue(files: DataFrame, max_bytes: int = MAX_CAPTURE_BYTES) -> DataFrame:
-    """Format, size, SHA-256 and the first failing check of every file.
+def catalogue(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Format, size, SHA-256 and the first failing check of every file, without its content.
 
     Checks in order: name, path separators, extension, empty, size, magic.
     """
+    limit = LARGEST_VALUE if max_bytes is None else min(max_bytes, LARGEST_VALUE)
     extensions = ", ".join(f"'.{name}'" for name in CAPTURE_EXTENSIONS)
     magics = ", ".join(f"'{magic}'" for magic in (*PCAP_MAGICS, PCAPNG_MAGIC))
     checked = files.selectExpr(
@@ -48,7 +56,7 @@ def catalogue(files: DataFrame, max_bytes: int = MAX_CAPTURE_BYTES) -> DataFrame
             when filename like '%/%' or filename like '%\\\\%' then 'path_separator_in_name'
             when extension not in ({extensions}) then 'unsupported_extension'
             when length = 0 then 'empty_file'
-            when length > {max_bytes} then 'file_too_large'
+            when length > {limit} then 'file_too_large'
             when magic is null or magic not in ({magics}) then 'unrecognised_content'
             end as reject_reason""",
     )
@@ -59,33 +67,45 @@ def catalogue(files: DataFrame, max_bytes: int = MAX_CAPTURE_BYTES) -> DataFrame
             then if(magic = '{PCAPNG_MAGIC}', 'pcapng', 'pcap') end as capture_format""",
         "case when reject_reason is null then sha2(content, 256) end as sha256",
         "reject_reason",
-        *[c for c in files.columns if c not in ("filename", "length")],
+        *[c for c in files.columns if c not in ("filename", "length", "content")],
     )
 
 
-def accepted_captures(checked: DataFrame) -> DataFrame:
-    """Accepted files with a human id, numbered by content hash so re-runs give the same ids."""
+def accepted_captures(checked: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Accepted files with a human id.
+
+    A file already ``stored`` (same content under the same name) keeps its id; others are numbered
+    by content hash after the highest stored number.
+    """
     good = checked.where("reject_reason is null")
+    if stored is None:
+        highest = F.lit(0)
+        known = good.where("false").select("sha256", "filename", F.lit("").alias("capture_id"))
+    else:
+        number = F.max(human_number("CAP", F.col("capture_id")))
+        highest = stored.agg(F.coalesce(number, F.lit(0)).alias("n")).scalar()
+        known = stored.groupBy("sha256", "filename").agg(F.min("capture_id").alias("capture_id"))
+    names = ["sha256", "filename"]
+    order = [F.col("sha256"), F.col("filename")]
     numbered = number_rows(
-        good,
-        [F.col("sha256"), F.col("filename")],
-        F.substring("sha256", 1, 3),
-        "number",
+        good.join(known, names, "left_anti"), order, F.substring("sha256", 1, 3), "number"
     )
-    return numbered.withColumn("capture_id", human_id("CAP", F.col("number"))).drop("number")
+    fresh = numbered.withColumn("capture_id", human_id("CAP", F.col("number") + highest))
+    return good.join(known, names).unionByName(fresh.drop("number"))
 
 
-def cap_frames(frames: DataFrame, limit: int = MAX_PACKETS) -> DataFrame:
+def cap_frames(frames: DataFrame, limit: int) -> DataFrame:
     """Frames up to ``limit`` per capture; the limit is the feature (it bounds one analysis)."""
     return frames.where(F.col("frame_number") <= limit)
 
 
-def truncated_captures(frames: DataFrame, limit: int = MAX_PACKETS) -> DataFrame:
-    """Frame counts per capture and whether the frame limit cut it."""
+def truncated_captures(frames: DataFrame, limit: int | None = None) -> DataFrame:
+    """Frame counts per capture and whether the frame limit cut it; without one, none is cut."""
+    kept = F.lit(True) if limit is None else F.col("frame_number") <= limit
     return frames.groupBy("capture_id").agg(
         F.count("*").alias("frames"),
-        F.count_if(F.col("frame_number") <= limit).alias("kept_frames"),
-        (F.max("frame_number") > limit).alias("truncated"),
+        F.count_if(kept).alias("kept_frames"),
+        F.coalesce(F.max(~kept), F.lit(False)).alias("truncated"),
     )
 
 
@@ -99,5 +119,5 @@ def capture_status(captures: DataFrame, packets: DataFrame) -> DataFrame:
         F.coalesce("packet_count", F.lit(0)).alias("packet_count"),
         F.when(empty, "failed").otherwise("completed").alias("status"),
         F.when(empty, "PARSER_ERROR").alias("error_code"),
-        F.when(empty, "No parseable packets found in the capture.").alias("error_message"),
+        F.when(empty, NO_PACKETS).alias("error_message"),
     )

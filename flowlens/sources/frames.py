@@ -1,13 +1,14 @@
 """Frame scans of pcap and pcapng files.
 
-A capture is one file of at most the catalogue's size limit, so it is the unit of work: files
-spread over tasks and each is cut into frames with constant extra memory.
+A file is the unit of work: files spread over tasks and each is cut into frames with constant
+extra memory. File content goes straight from the scan into the splitter, never through a shuffle.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,7 +51,7 @@ def pcap_frames(data: memoryview) -> Iterator[Frame]:
     while at + 16 <= len(data):
         seconds, fraction, captured, wire = header.unpack_from(data, at)
         if captured > MAX_FRAME:
-            raise CaptureError(f"implausible packet length {captured} at #{number}")
+            raise CaptureError(f"record {number + 1} claims {captured} bytes")
         at += 16
         if at + captured > len(data):
             return
@@ -90,7 +91,7 @@ def pcapng_frames(data: memoryview) -> Iterator[Frame]:
             order, interfaces = found, []
         kind, size = struct.unpack_from(order + "II", data, at)
         if not MIN_BLOCK <= size <= MAX_BLOCK:
-            raise CaptureError(f"implausible pcapng block length {size}")
+            raise CaptureError(f"block at byte {at} claims {size} bytes")
         if at + size > len(data):
             return
         body = data[at + 8 : at + size - 4]
@@ -124,14 +125,15 @@ _SCHEMA = pa.schema(
 )
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    schema = _SCHEMA.set(0, pa.field(key, pa.string()))
     rows: list[tuple] = []
     held = 0
 
     def flush() -> pa.RecordBatch:
         columns = zip(*rows, strict=True)
-        arrays = [pa.array(c, type=f.type) for c, f in zip(columns, _SCHEMA, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, schema=_SCHEMA)
+        arrays = [pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     for batch in batches:
         for capture, content in zip(batch.column(0), batch.column(1), strict=True):
@@ -149,16 +151,16 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def scan_frames(captures: DataFrame) -> DataFrame:
-    """Frames of every capture (capture_id, content), numbered by position.
+def scan_frames(captures: DataFrame, key: str = "capture_id") -> DataFrame:
+    """Frames of every capture (``key``, content), numbered by position.
 
     A damaged capture adds one row without a frame that carries ``read_error``.
     """
     ddl = (
-        "capture_id string, frame_number bigint, ts double, data binary, orig_length bigint, "
+        f"{key} string, frame_number bigint, ts double, data binary, orig_length bigint, "
         "read_error string"
     )
-    return captures.select("capture_id", "content").mapInArrow(_split, ddl)
+    return captures.select(key, "content").mapInArrow(partial(_split, key=key), ddl)
 
 
 def readable_frames(scanned: DataFrame) -> DataFrame:

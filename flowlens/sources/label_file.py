@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.contract import CLASS_DEFINITION_VERSION, FEATURE_SCHEMA_VERSION, LABEL_SOURCES
+from flowlens.session import ship_by_value
+
+ship_by_value(__name__)
 
 ENTRY = (
     "traffic_type string, capture_id string, capture_sha256 string, note string"
@@ -26,16 +31,24 @@ def yaml_to_json(text: str) -> str:
     return json.dumps(yaml.safe_load(text), default=str)
 
 
+def _as_json(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [yaml_to_json(x) for x in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of the JSON label file(s) at ``path`` with their position and source.
+    """Entries of the label file(s) at ``path`` with their position and source.
 
-    Header problems raise; a bad entry only becomes a rejected row later.
+    Files are YAML unless the path ends in ``.json``. Header problems raise; a bad entry only
+    becomes a rejected row later.
     """
-    raw = (
-        spark.read.schema(f"{_HEADER}, labels array<struct<{ENTRY}>>")
-        .option("multiLine", "true")
-        .json(path)
-    )
+    schema = f"{_HEADER}, labels array<struct<{ENTRY}>>"
+    if path.lower().endswith(".json"):
+        raw = spark.read.schema(schema).option("multiLine", "true").json(path)
+    else:
+        texts = spark.read.text(path, wholetext=True).mapInArrow(_as_json, "value string")
+        raw = texts.select(F.from_json("value", schema).alias("file")).select("file.*")
     headers = raw.select(
         F.coalesce("label_source", F.lit(LABEL_SOURCES[0])).alias("source"),
         "feature_schema_version",

@@ -136,7 +136,7 @@ def _provenance(spark: SparkSession, folder: str) -> DataFrame:
 def _scoring_input(spark: SparkSession, folder: str) -> DataFrame:
     features = _real_features(spark, folder).select("flow_id", "packet_count")
     flows = _real_features(spark, folder).where("byte_count % 19 <> 3").select("flow_id", "flow_key")
-    return features.join(flows, "flow_id")
+    return scoring.scoring_input(features, flows)
 
 
 def _allocation(spark: SparkSession, folder: str) -> DataFrame:
@@ -231,7 +231,8 @@ def prediction_table(spark: SparkSession, folder: str) -> DataFrame:
     from flowlens.workload.base import _split
 
     text = _PREDICTION.format(S="string", classes=_CLASS_SPARK)
-    return read(spark, folder, "orders").selectExpr(*[c.strip() for c in _split(text)])
+    rows = read(spark, folder, "orders").selectExpr(*[c.strip() for c in _split(text)])
+    return rows.withColumn("probabilities", F.create_map("top_candidate", "confidence"))
 
 
 def _rescored(spark: SparkSession, folder: str) -> DataFrame:
@@ -240,22 +241,24 @@ def _rescored(spark: SparkSession, folder: str) -> DataFrame:
     fresh = rows.withColumn(
         "model_version", F.expr("if(model_version = 'm1', 'm9', model_version)")
     ).withColumn("confidence", F.lit(0.9))
-    return fresh.drop("prediction_id", "created_at")
+    fresh = fresh.withColumn("probabilities", F.create_map("top_candidate", "confidence"))
+    return fresh.withColumn("model_type", F.lit("forest")).drop("prediction_id", "created_at")
 
 
 def _upserted(spark: SparkSession, folder: str) -> DataFrame:
-    merged = predictions.upsert(prediction_table(spark, folder), _rescored(spark, folder))
-    return merged.groupBy("change", "model_version").agg(
-        F.count("*").alias("rows"), F.count("prediction_id").alias("with_id"),
-        F.sum("confidence").cast("decimal(18,4)").cast("double").alias("confidence"),
-    )
+    """Whole rows, inserted, updated and kept."""
+    stamp = F.lit(777).cast("bigint")
+    merged = predictions.upsert(prediction_table(spark, folder), _rescored(spark, folder), stamp)
+    top = F.col("probabilities")[F.col("top_candidate")]
+    return merged.withColumn("p_top", top).drop("probabilities")
 
 
 def _stale(spark: SparkSession, folder: str) -> DataFrame:
-    flows = read(spark, folder, "orders").where("o_orderstatus <> 'F'").selectExpr(
-        "concat('F-', cast(cast(floor(o_orderkey / 3.0e0) as bigint) as string)) as flow_id"
-    )
-    return predictions.stale(prediction_table(spark, folder), flows).groupBy("model_version").agg(
+    """Ten captures scored again with two of the models; half of their flows are left."""
+    stored_rows = prediction_table(spark, folder)
+    analysed = stored_rows.where("capture_id < 'CAP-000010' and model_version <> 'm1'")
+    scored = analysed.where("created_at % 20 = 0")
+    return predictions.stale(stored_rows, scored, analysed).groupBy("capture_id", "model_version").agg(
         F.count("*").alias("rows")
     )
 
@@ -376,7 +379,7 @@ QUERIES = {
     "J6_scoring_input": _scoring_input,
     "M2_dataset_audit": lambda s, d: ds.audit_rows(stored_dataset(s, d)),
     "A33_M16_dataset_counters": lambda s, d: training.dataset_report(stored_dataset(s, d)),
-    "L9_dataset_row_cap": lambda s, d: stored_dataset(s, d).orderBy("flow_id").limit(100).select("flow_id"),
+    "L9_dataset_row_cap": lambda s, d: ds.capped(stored_dataset(s, d), 100).select("flow_id"),
     "A32_class_distribution": _distribution,
     "U3_class_union": _classes,
     "A34_dataset_digest": _digest,
@@ -655,17 +658,21 @@ ORACLES = {
     "W6_latest_prediction": _PRED_SQL
     + " select flow_id, arg_max(prediction_id, created_at) as prediction_id from pred group by 1",
     "J11_prediction_upsert": _PRED_SQL
-    + """, nw as (select flow_id, case when model_version = 'm1' then 'm9' else model_version end as model_version,
-        0.9e0 as confidence from pred where created_at % 20 = 0),
-      me as (select flow_id, model_version, coalesce(n.confidence, p.confidence) as confidence, prediction_id,
-        case when n.confidence is not null and p.confidence is not null then 'update'
-          when n.confidence is not null then 'insert' else 'keep' end as change
-        from pred p full join nw n using (flow_id, model_version))
-      select change, model_version, count(*) as rows, count(prediction_id) as with_id,
-        cast(cast(sum(confidence) as decimal(18, 4)) as double) as confidence from me group by 1, 2""",
+    + """, nw as (select * replace (0.9e0 as confidence,
+        case when model_version = 'm1' then 'm9' else model_version end as model_version)
+        from pred where created_at % 20 = 0)
+      select flow_id, model_version, coalesce(n.capture_id, p.capture_id) as capture_id,
+        coalesce(n.prediction, p.prediction) as prediction,
+        coalesce(n.top_candidate, p.top_candidate) as top_candidate,
+        coalesce(n.confidence, p.confidence) as confidence, coalesce(n.confidence, p.confidence) as p_top,
+        0.6e0 as min_confidence_threshold, coalesce(n.abstained, p.abstained) as abstained,
+        case when n.flow_id is not null then 'forest' end as model_type, p.prediction_id,
+        case when p.flow_id is null then 777 else p.created_at end as created_at,
+        case when n.flow_id is null then 'keep' when p.flow_id is null then 'insert' else 'update' end as change
+      from pred p full join nw n using (flow_id, model_version)""",
     "J12_stale_predictions": _PRED_SQL
-    + """ select model_version, count(*) as rows from pred where flow_id not in (
-      select concat('F-', o_orderkey // 3) from orders where o_orderstatus <> 'F') group by 1""",
+    + """ select capture_id, model_version, count(*) as rows from pred
+      where capture_id < 'CAP-000010' and model_version <> 'm1' and created_at % 20 <> 0 group by 1, 2""",
     "W8_prediction_numbers": _PRED_SQL
     + """, mx as (select max(cast(substr(prediction_id, 6) as bigint)) as top from pred),
       nn as (select flow_id, model_version, top + row_number() over (order by

@@ -119,7 +119,7 @@ def _long_sa(spark: SparkSession, folder: str) -> DataFrame:
 
 def _capped(spark: SparkSession, folder: str) -> DataFrame:
     found = replay.replay_anomalies(_wide_observations(spark, folder))
-    return replay.first_anomalies(found).select(
+    return replay.first_anomalies(found, 25).select(
         "capture_id", "source_table", "position", "packet_id", "sequence_number"
     )
 
@@ -420,9 +420,8 @@ RULE_SQL = {
               "concat(count(*), ' non-increasing sequence observation(s); out-of-order delivery cannot"
               " be excluded.')", "concat(count(*), ' non-increasing sequence(s)')", "'medium'",
               "'medium'", _V, "source_table")
-        + " from capped where position <= 25 group by capture_id, source_table",
-        "select capture_id, source_table as group_key, 'packet' as kind, packet_id from capped"
-        " where position <= 25",
+        + " from capped group by capture_id, source_table",
+        "select capture_id, source_table as group_key, 'packet' as kind, packet_id from capped",
     ),
     "IPSEC-COMPOSITE-001": (
         _item("'ah_packets'", "spi",

@@ -87,7 +87,7 @@ def message(spark, body: bytes, first: int = 33, version: int = 0x20, flags: int
         (cb.payload(46, b"") + cb.payload(35, b"z"), 33, ["SA", "SK"]),
         (b"\x00\x00", 33, []),
         (cb.payload(99, b"") + struct.pack(">BBH", 34, 0, 2), 33, ["SA", "PAYLOAD_99"]),
-        (b"".join(cb.payload(41, b"") for _ in range(40)), 41, ["NOTIFY"] * 32),
+        (b"".join(cb.payload(41, b"") for _ in range(40)), 41, ["NOTIFY"] * 40),
     ],
 )
 def test_payload_chain(spark, body, first, names):

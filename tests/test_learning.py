@@ -7,7 +7,9 @@ from flowlens.contract import FEATURE_NAMES, FEATURES
 from flowlens.operators import dataset as ds
 from flowlens.operators import model, predictions
 from flowlens.plans import scoring, training
+from flowlens.session import store
 from flowlens.sources import label_file
+from pyspark.sql import functions as F
 
 CLASSES = ("WEB", "VOIP", "EMAIL", "VIDEO")
 COLUMNS = ", ".join(f"{name} double" for name in FEATURE_NAMES)
@@ -122,13 +124,18 @@ def test_train_score_and_merge(spark, tmp_path):
     assert {r["prediction"] for r in unsure.collect()} == {"UNKNOWN"}
 
     existing = scored.where("false").selectExpr("*", "cast(null as string) as prediction_id", "cast(null as bigint) as created_at")
-    flows = features.select("flow_id")
-    first = scoring.merge_predictions(existing, scored, flows)
+    captures = features.select("capture_id").distinct()
+    first = scoring.merge_predictions(existing, scored, captures, "v1")
     ids = sorted(r["prediction_id"] for r in first.collect())
     assert ids[0] == "PRED-000001" and len(set(ids)) == 200
-    again = scoring.merge_predictions(first.drop("change"), scored, flows.where("flow_id not like 'CAP-000000%'"))
+    whole = ("probabilities", "model_type", "dataset_version", "observation_status", "created_at")
+    assert first.where(" or ".join(f"{c} is null" for c in whole)).count() == 0
+    fewer = scored.where("flow_id not like 'CAP-000000%'")
+    other = first.limit(3).withColumn("model_version", F.lit("v0"))
+    stored_rows = store(first.unionByName(other).drop("change"), "stored")
+    again = scoring.merge_predictions(stored_rows, fewer, captures, "v1")
     changes = {r["change"]: r["count"] for r in again.groupBy("change").count().collect()}
-    assert changes == {"update": 190, "insert": 10}
+    assert changes == {"update": 190, "keep": 3}
 
 
 def test_training_is_repeatable(spark, tmp_path):

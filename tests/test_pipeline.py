@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import capture_bytes as cb
 import pytest
-from flowlens.operators import findings, rules
+from flowlens.operators import findings, rules, sinks
 from flowlens.plans import analysis, assessment
 
 
@@ -70,6 +70,45 @@ def test_assessment_is_idempotent(spark, analysed):
     assert spark.read.parquet(f"{folder}/findings").count() == len(found)
 
 
+def test_runs_into_one_target_keep_each_other(spark, tmp_path):
+    folders = {n: tmp_path / n for n in ("a", "b", "tables")}
+    for folder in folders.values():
+        folder.mkdir()
+    (folders["a"] / "a.pcap").write_bytes(cb.pcap(cb.demo_frames()))
+    (folders["b"] / "b.pcap").write_bytes(cb.pcap(cb.plain_frames()))
+    (folders["b"] / "b.txt").write_bytes(b"no")
+    target = str(folders["tables"])
+
+    def state():
+        found = {}
+        for table in ("captures", "packets", "esp", "proposals", "flows"):
+            counted = spark.read.schema("capture_id string").parquet(f"{target}/{table}")
+            counted = counted.groupBy("capture_id").count().collect()
+            found[table] = {r["capture_id"]: r["count"] for r in counted}
+        return found
+
+    analysis.run_analysis(spark, str(folders["a"]), target)
+    first = state()
+    assert first["packets"] == {"CAP-000001": 22} and first["esp"] == {"CAP-000001": 12}
+    analysis.run_analysis(spark, str(folders["b"]), target)
+    both = state()
+    assert both["packets"] == {"CAP-000001": 22, "CAP-000002": 12}
+    assert both["esp"] == first["esp"] and both["proposals"] == first["proposals"]
+    analysis.run_analysis(spark, str(folders["a"]), target)
+    analysis.run_analysis(spark, str(folders["b"]), target)
+    assert state() == both
+    assert spark.read.parquet(f"{target}/rejected_files").count() == 1
+    # fewer frames leave nothing of the fuller run behind
+    analysis.run_analysis(spark, str(folders["a"]), target, max_packets=4)
+    assert state()["packets"] == {"CAP-000001": 4, "CAP-000002": 12}
+    assert state()["esp"] == {}
+    cut = {r["capture_id"]: r["truncated"] for r in spark.read.parquet(f"{target}/captures").collect()}
+    assert cut == {"CAP-000001": True, "CAP-000002": False}
+    gone = spark.createDataFrame([("CAP-000001",)], "capture_id string")
+    sinks.delete_captures(spark, target, ["captures", "packets", "flows", "esp"], gone)
+    assert state()["packets"] == {"CAP-000002": 12} and set(state()["captures"]) == {"CAP-000002"}
+
+
 def test_digest_ignores_row_order(spark):
     ddl = "capture_id string, rule_id string, group_key string, kind string, packet_id long"
     refs = [("c", "r", "g", "packet", i) for i in (5, 12_000, 3, 5)]
