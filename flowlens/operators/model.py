@@ -89,6 +89,28 @@ def standardise(rows: DataFrame, columns: list[str]) -> DataFrame:
     return scaled.drop("_assembled", "_scaled")
 
 
+def fit_modes(train: DataFrame, columns: list[str]) -> dict[str, str | None]:
+    """Most frequent value of every column, the smallest of equally frequent ones."""
+    modes = {}
+    for column in columns:
+        counted = train.where(F.col(column).isNotNull()).groupBy(column).count()
+        top = counted.orderBy(F.desc("count"), column).first()
+        modes[column] = top[0] if top else None
+    return modes
+
+
+def encode_categories(
+    train: DataFrame, rows: DataFrame, columns: list[str]
+) -> tuple[DataFrame, PipelineModel]:
+    """``rows`` with gaps filled by the training rows' modes, and indexes and one-hot vectors.
+
+    Values are indexed by their frequency in training; unseen ones share a last index.
+    """
+    modes = {c: m for c, m in fit_modes(train, columns).items() if m is not None}
+    fitted = Pipeline(stages=categorical_stages(columns)).fit(train.fillna(modes))
+    return fitted.transform(rows.fillna(modes)), fitted
+
+
 def categorical_stages(columns: list[str]) -> list:
     """Encoders for categorical features; contract 1.0 declares none. Unseen values get a slot."""
     stages: list = []
@@ -150,6 +172,7 @@ def score(rows: DataFrame, model: PipelineModel) -> DataFrame:
         round_half_even("_max", 4).alias("confidence"),
         F.col("_max").alias("raw_confidence"),
         F.map_from_arrays(labels, rounded).alias("probabilities"),
+        F.map_from_arrays(labels, "_p").alias("raw_probabilities"),
     )
     return named
 

@@ -27,6 +27,7 @@ SA = ["capture_id", "source_table", "spi", "direction"]
 ship_by_value(__name__)
 _BEFORE_FIRST = -1  # entry value of a block that starts its SA
 _TOP = 1 << 62
+_WINDOW = 64
 
 
 def transfer_function(sequence: np.ndarray) -> tuple[list[int], list[int]]:
@@ -82,19 +83,25 @@ def apply_transfer(bounds: list[int], values: list[int], entry: int) -> int:
 
 
 def scan_block(sequence: np.ndarray, entry: int) -> np.ndarray:
-    """Anomaly mask of a block entered with maximum ``entry`` (-1 at the start of an SA)."""
+    """Anomaly mask of a block entered with maximum ``entry`` (-1 at the start of an SA).
+
+    Runs between counter wraps are found in windows that grow while no wrap is met and start small
+    after one, so the work stays in proportion to the block however many wraps it has.
+    """
     flags = np.zeros(len(sequence), dtype=bool)
-    start = 0
+    start, width = 0, _WINDOW
     while start < len(sequence):
-        rest = sequence[start:]
-        reached = np.maximum.accumulate(np.concatenate(([entry], rest)))[:-1]
-        wrapped = np.flatnonzero(reached - rest > SEQUENCE_WRAP)
+        rest = sequence[start : start + width]
+        reached = np.maximum.accumulate(np.concatenate(([entry], rest)))
+        wrapped = np.flatnonzero(reached[:-1] - rest > SEQUENCE_WRAP)
         end = int(wrapped[0]) if wrapped.size else len(rest)
         flags[start : start + end] = rest[:end] <= reached[:end]
-        if not wrapped.size:
-            break
-        entry = int(rest[end])
-        start += end + 1
+        if wrapped.size:
+            entry, width = int(rest[end]), _WINDOW
+            start += end + 1
+        else:
+            entry, width = int(reached[-1]), 2 * width
+            start += end
     return flags
 
 

@@ -49,7 +49,7 @@ def scored_for_metrics(rows: DataFrame, fitted: PipelineModel) -> DataFrame:
         "label",
         F.col("top_candidate").alias("predicted"),
         F.col("raw_confidence").alias("confidence"),
-        F.coalesce(F.try_element_at("probabilities", "label"), F.lit(0.0)).alias("p_true"),
+        F.coalesce(F.try_element_at("raw_probabilities", "label"), F.lit(0.0)).alias("p_true"),
     )
 
 

@@ -189,6 +189,16 @@ def _standardised(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _categories(spark: SparkSession, folder: str) -> DataFrame:
+    """Order states with gaps; one state is not seen in training."""
+    rows = read(spark, folder, "orders").selectExpr(
+        "o_orderkey", "case when o_custkey % 7 = 0 then null else o_orderstatus end as state"
+    )
+    seen = rows.where("o_orderkey % 2 = 0 and (state is null or state <> 'P')")
+    encoded, _ = model.encode_categories(seen, rows, ["state"])
+    return encoded.select("o_orderkey", "state", "state_index")
+
+
 def _classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Train on the labelled captures, register, load and score every flow."""
     rows = stored_dataset(spark, folder)
@@ -390,6 +400,7 @@ QUERIES = {
     "M6_feature_medians": _medians,
     "M6_imputed_rows": _imputed,
     "M7_standardised_features": _standardised,
+    "M8_categorical_encode": _categories,
     "M9_M11_M13_M14_train_and_score": _classifier,
     "A35_confusion_matrix": lambda s, d: metrics.confusion_matrix(_scores(s, d)),
     "A36_class_report": lambda s, d: metrics.class_report(_scores(s, d)),
@@ -588,6 +599,17 @@ ORACLES = {
       count(distinct capture_id) filter (reject_reason is distinct from 'orphan_flow_feature') as capture_count,
       count(distinct capture_id) filter (reject_reason is null and label is not null) as labeled_capture_count
       from dset""",
+    "M8_categorical_encode": """
+      with rows as (select o_orderkey, case when o_custkey % 7 = 0 then null else o_orderstatus end as state
+        from orders),
+      seen as (select state, count(*) as n from rows where o_orderkey % 2 = 0 and state <> 'P' group by 1),
+      gaps as (select count(*) as n from rows where o_orderkey % 2 = 0 and state is null),
+      filled as (select state, n + case when row_number() over (order by n desc, state) = 1
+        then (select n from gaps) else 0 end as n from seen),
+      codes as (select state, row_number() over (order by n desc, state) - 1 as code from filled),
+      whole as (select o_orderkey, coalesce(state, (select state from codes where code = 0)) as state from rows)
+      select o_orderkey, w.state, cast(coalesce(code, (select count(*) from codes)) as double) as state_index
+      from whole w left join codes using (state)""",
     "L9_dataset_row_cap": DATASET_SQL + " select flow_id from dset order by 1 limit 100",
     "A32_class_distribution": f"""with d as (select case lang when 'en' then 'WEB' when 'de' then 'VOIP' when 'fr'
         then 'EMAIL' else upper(lang) end as label from documents),
