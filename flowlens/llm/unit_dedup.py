@@ -3,9 +3,9 @@
 A unit is a line, or a part of one that ends in ``.``, ``!`` or ``?`` before white space; with
 ``unit="line"`` or ``"paragraph"`` (text between empty lines) it is that whole. Units are normalised
 (A-Z in lower case, runs of white space as one space), hashed to 128 bits and grouped over all
-documents. The earliest occurrence, by ``doc_id`` and place, stays; the others are repeats, and runs
-of neighbouring repeats with at least ``min_words`` words are cut out. Spans count the characters
-of the original text.
+documents. The earliest occurrence, by ``doc_id`` and place, stays; the others are repeats and are cut
+out, neighbours as one span. ``min_words`` above 1 keeps runs of neighbouring repeats with fewer words.
+Spans count the characters of the original text.
 
 Defined results: null and empty texts have no units and become the empty text; rows that share a
 ``doc_id`` are one document; null ids together are one document after all others; an empty table
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from flowlens.llm.columns import free
 from flowlens.session import ship_by_value, store
 
-MIN_WORDS = 25
+MIN_WORDS = 1
 
 LAST = 2**63 - 1  # stands for a null id
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))

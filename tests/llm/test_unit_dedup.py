@@ -76,3 +76,11 @@ def test_spans_point_into_the_original(spark):
 
 def test_empty_table(spark):
     assert unit_dedup.dedup_units(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_short_repeats_go_by_default(spark):
+    line = "licensed under version 3."
+    rows = [(2, f"b text\n{line}"), (1, f"{line}\na text\n{line}"), (3, "私は元気。\nc text"), (4, "d text\n私は元気。")]
+    out = unit_dedup.dedup_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = {r["doc_id"]: (r["text"], r["n_removed"]) for r in out}
+    assert kept == {1: (f"{line}\na text\n", 1), 2: ("b text\n", 1), 3: ("私は元気。\nc text", 0), 4: ("d text\n", 1)}
