@@ -203,7 +203,7 @@ def _classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Train on the labelled captures, register, load and score every flow."""
     rows = stored_dataset(spark, folder)
     target = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
-    trained = training.train(rows, "v1", target, "2024-01-01T00:00:00", trees=10, depth=5)
+    trained = training.train(rows, "v1", target, "2024-01-01T00:00:00")
     if trained.status != "OK":
         raise ValueError(f"{trained.status}: {trained.shortfalls}")
     scored = scoring.score_features(_real_features(spark, folder), target)[1]
