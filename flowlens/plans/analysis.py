@@ -64,16 +64,19 @@ def run_analysis(
     Tables of earlier runs stay. A file that is already stored keeps its capture id, and all its
     rows are replaced; new files get the next ids. ``max_packets`` bounds the frames of a capture.
     """
-    files = catalogue.read_files(spark, source)
+    # one pass over every file gives its frames and its hash
+    found = store(frames.scan_files(spark, source), "frames", session=spark)
+    seen = found.where("sha256 is not null").select("uri", "magic", "sha256")
+    files = catalogue.list_files(spark, source).join(seen, "uri", "left")
     checked = store(catalogue.catalogue(files), "catalogue")
     known = None
     if exists(spark, f"{target}/captures"):
         known = store(spark.read.parquet(f"{target}/captures").select("capture_id", "sha256", "filename"), "known")
     captures = store(catalogue.accepted_captures(checked, known), "accepted")
-    # a path's frames meet its id only after the scan, so content is not shuffled
-    found = frames.scan_frames(files.where("content is not null"), "path")
-    names = captures.select("path", "capture_id")
-    scanned = store(found.join(names, "path").drop("path"), "frames")
+    # a file's frames meet its id only after the scan, so content is not shuffled
+    names = captures.select("uri", "capture_id")
+    scanned = found.where("sha256 is null").drop("magic", "sha256").join(names, "uri").drop("uri")
+    captures = captures.drop("uri")
     readable = frames.readable_frames(scanned)
     tables = analyse_frames(readable, burst_window, max_packets)
     status = catalogue.capture_status(captures, tables["packets"])
@@ -85,6 +88,6 @@ def run_analysis(
         .join(notes.select("capture_id", "truncated", "read_error"), "capture_id", "left")
         .withColumn("truncated", F.coalesce("truncated", F.lit(False)))
     )
-    rejected = checked.where("reject_reason is not null")
+    rejected = checked.where("reject_reason is not null").drop("uri")
     write_tables(tables, target, captures.select("capture_id"))
     append_new(rejected, f"{target}/rejected_files", ["path", "file_size", "reject_reason"])

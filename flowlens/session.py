@@ -52,13 +52,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def store(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def store(
+    df: DataFrame, name: str, *partition_by: str, session: SparkSession | None = None
+) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 
     Later stages scan the columns they need from there, and a lost executor does not recompute
-    what led to it.
+    what led to it. It is read by ``session``, by default the frame's own.
     """
-    spark = df.sparkSession
+    spark = session or df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -14,42 +14,34 @@ PCAPNG_MAGIC = "0A0D0D0A"
 # ---- fixed values: texts of stored rows ------------------------------------------------------
 NO_PACKETS = "No parseable packets found in the capture."
 
-#: bytes that one binary value can hold
-LARGEST_VALUE = 2**31 - 1024
 
-
-def read_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """Files under ``path`` as (filename, path, length, content).
-
-    Content is loaded only up to ``max_bytes`` (by default up to what one value can hold), so a
-    larger file costs one directory entry.
-    """
-    limit = LARGEST_VALUE if max_bytes is None else min(max_bytes, LARGEST_VALUE)
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .withColumn("filename", F.element_at(F.split("path", "/"), -1))
-    )
-    small = found.where(F.col("length") <= limit).select("filename", "path", "length", "content")
-    large = found.where(F.col("length") > limit).select(
-        "filename", "path", "length", F.lit(None).cast("binary").alias("content")
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files under ``path`` as (filename, path, length, uri); none is opened."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.select(
+        F.element_at(F.split("path", "/"), -1).alias("filename"),
+        "path",
+        "length",
+        F.col("_metadata.file_path").alias("uri"),
     )
-    return small.unionByName(large)
 
 
 def catalogue(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Format, size, SHA-256 and the first failing check of every file, without its content.
 
-    Checks in order: name, path separators, extension, empty, size, magic.
+    ``files`` have ``content``, or ``magic`` and ``sha256`` of a scan. Checks in order: name, path
+    separators, extension, empty, size (where ``max_bytes`` is given), magic.
     """
-    limit = LARGEST_VALUE if max_bytes is None else min(max_bytes, LARGEST_VALUE)
+    if "content" in files.columns:
+        files = files.selectExpr(
+            "* except (content)", "hex(substring(content, 1, 4)) as magic", "sha2(content, 256) as sha256"
+        )
+    limit = "null" if max_bytes is None else max_bytes
     extensions = ", ".join(f"'.{name}'" for name in CAPTURE_EXTENSIONS)
     magics = ", ".join(f"'{magic}'" for magic in (*PCAP_MAGICS, PCAPNG_MAGIC))
     checked = files.selectExpr(
         "*",
         r"lower(regexp_extract(filename, '^[.]*[^.].*?([.][^.]*)$', 1)) as extension",
-        "hex(substring(content, 1, 4)) as magic",
     ).selectExpr(
         "*",
         rf"""case when filename is null or filename in ('', '.', '..') then 'no_file_selected'
@@ -65,9 +57,9 @@ def catalogue(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
         "length as file_size",
         f"""case when reject_reason is null
             then if(magic = '{PCAPNG_MAGIC}', 'pcapng', 'pcap') end as capture_format""",
-        "case when reject_reason is null then sha2(content, 256) end as sha256",
+        "case when reject_reason is null then sha256 end as sha256",
         "reject_reason",
-        *[c for c in files.columns if c not in ("filename", "length", "content")],
+        *[c for c in files.columns if c not in ("filename", "length", "magic", "sha256")],
     )
 
 

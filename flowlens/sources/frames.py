@@ -2,16 +2,21 @@
 
 A file is the unit of work: files spread over tasks and each is cut into frames with constant
 extra memory. File content goes straight from the scan into the splitter, never through a shuffle.
+``scan_files`` reads files of any size through Spark's line reader: the stretches between bytes 0A
+arrive in order and are hashed and cut on the way. Only a stretch of 2 GB without that byte fails.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.session import ship_by_value
@@ -40,24 +45,48 @@ class CaptureError(ValueError):
     """The capture is damaged beyond this point; frames read so far stand."""
 
 
-def pcap_frames(data: memoryview) -> Iterator[Frame]:
+class Pieces:
+    """Bytes that arrive in pieces; what is read is given up."""
+
+    def __init__(self, pieces: Iterable[bytes | memoryview]) -> None:
+        self._pieces, self._held, self._at = iter(pieces), memoryview(b""), 0
+
+    def peek(self, size: int) -> memoryview | None:
+        """The next bytes, None where fewer are left."""
+        parts, held = [self._held[self._at :]], len(self._held) - self._at
+        while held < size:
+            piece = next(self._pieces, None)
+            if piece is None:
+                break
+            parts, held = [*parts, piece] if held else [piece], held + len(piece)
+        if len(parts) > 1 or held > len(self._held) - self._at:
+            self._held, self._at = memoryview(parts[0] if len(parts) == 1 else b"".join(parts)), 0
+        return self._held[self._at : self._at + size] if held >= size else None
+
+    def read(self, size: int) -> memoryview | None:
+        found = self.peek(size)
+        self._at += 0 if found is None else size
+        return found
+
+
+def pcap_frames(data: Pieces) -> Iterator[Frame]:
     """Records of a classic capture: number, stamp, bytes, wire length. A short tail ends it."""
-    layout = PCAP_LAYOUTS.get(bytes(data[:4]))
-    if layout is None or len(data) < 24:
+    start = data.read(24)
+    layout = None if start is None else PCAP_LAYOUTS.get(bytes(start[:4]))
+    if layout is None:
         return
     order, unit = layout
     header = struct.Struct(order + "IIII")
-    at, number = 24, 0
-    while at + 16 <= len(data):
-        seconds, fraction, captured, wire = header.unpack_from(data, at)
+    number = 0
+    while (head := data.read(16)) is not None:
+        seconds, fraction, captured, wire = header.unpack(head)
         if captured > MAX_FRAME:
             raise CaptureError(f"record {number + 1} claims {captured} bytes")
-        at += 16
-        if at + captured > len(data):
+        body = data.read(captured)
+        if body is None:
             return
         number += 1
-        yield number, float(seconds) + float(fraction) * unit, data[at : at + captured], wire
-        at += captured
+        yield number, float(seconds) + float(fraction) * unit, body, wire
 
 
 def timestamp_resolution(options: memoryview, order: str) -> float:
@@ -75,7 +104,7 @@ def timestamp_resolution(options: memoryview, order: str) -> float:
     return 1e-6
 
 
-def pcapng_frames(data: memoryview) -> Iterator[Frame]:
+def pcapng_frames(data: Pieces) -> Iterator[Frame]:
     """Enhanced packets of Ethernet interfaces, after the public pcapng block layout.
 
     Other packets are counted but not returned. Every section carries its own byte order and
@@ -83,18 +112,19 @@ def pcapng_frames(data: memoryview) -> Iterator[Frame]:
     """
     order, at, number = "<", 0, 0
     interfaces: list[tuple[int, float]] = []
-    while at + 12 <= len(data):
-        if bytes(data[at : at + 4]) == b"\x0a\x0d\x0d\x0a":
-            found = BYTE_ORDERS.get(bytes(data[at + 8 : at + 12]))
+    while (head := data.peek(12)) is not None:
+        if bytes(head[:4]) == b"\x0a\x0d\x0d\x0a":
+            found = BYTE_ORDERS.get(bytes(head[8:]))
             if found is None:
                 return
             order, interfaces = found, []
-        kind, size = struct.unpack_from(order + "II", data, at)
+        kind, size = struct.unpack_from(order + "II", head)
         if not MIN_BLOCK <= size <= MAX_BLOCK:
             raise CaptureError(f"block at byte {at} claims {size} bytes")
-        if at + size > len(data):
+        block = data.read(size)
+        if block is None:
             return
-        body = data[at + 8 : at + size - 4]
+        body = block[8 : size - 4]
         at += size
         if kind == INTERFACE and len(body) >= 8:
             link = struct.unpack_from(order + "H", body)[0]
@@ -108,9 +138,10 @@ def pcapng_frames(data: memoryview) -> Iterator[Frame]:
                 yield number, stamp, body[20 : 20 + captured], wire
 
 
-def frames_of(content: bytes) -> Iterator[Frame]:
-    view = memoryview(content)
-    return pcapng_frames(view) if bytes(view[:4]) == b"\x0a\x0d\x0d\x0a" else pcap_frames(view)
+def frames_of(pieces: Iterable[bytes | memoryview]) -> Iterator[Frame]:
+    data = Pieces(pieces)
+    magic = data.peek(4)
+    return pcapng_frames(data) if magic == b"\x0a\x0d\x0d\x0a" else pcap_frames(data)
 
 
 _SCHEMA = pa.schema(
@@ -139,7 +170,7 @@ def _split(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBat
         for capture, content in zip(batch.column(0), batch.column(1), strict=True):
             name = capture.as_py()
             try:
-                for number, stamp, data, wire in frames_of(content.as_buffer()):
+                for number, stamp, data, wire in frames_of([memoryview(content.as_buffer())]):
                     rows.append((name, number, stamp, bytes(data), wire, None))
                     held += len(data)
                     if len(rows) >= _BATCH_FRAMES or held >= _BATCH_BYTES:
@@ -163,6 +194,90 @@ def scan_frames(captures: DataFrame, key: str = "capture_id") -> DataFrame:
     return captures.select(key, "content").mapInArrow(partial(_split, key=key), ddl)
 
 
+#: bytes that count as one file at least, so that scans neither split nor pack files
+_WHOLE = 1 << 42
+_FILES = pa.schema([_SCHEMA.field(0).with_name("uri"), *list(_SCHEMA)[1:], ("magic", pa.string()), ("sha256", pa.string())])
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
+    """File, its size, and lines of it with their ends."""
+    for batch in batches:
+        uri, size, block, lines = batch.columns
+        if pc.any(pc.not_equal(size, block)).as_py():
+            raise ValueError(f"a file above {_WHOLE} bytes was split")
+        found, start = pc.run_end_encode(uri), 0
+        for end, name in zip(found.run_ends.to_pylist(), found.values.to_pylist(), strict=True):
+            yield name, size[start].as_py(), b"\n".join([*lines.slice(start, end - start).to_pylist(), b""])
+            start = end
+
+
+def _split_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        arrays = [pa.array(c, type=f.type) for c, f in zip(columns, _FILES, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, schema=_FILES)
+
+    for name, found in groupby(_stretches(batches), key=lambda stretch: stretch[0]):
+        hashed, first, left = hashlib.sha256(), b"", None
+
+        def pieces(found: Iterator = found, hashed=hashed) -> Iterator[bytes]:
+            nonlocal first, left
+            for _, size, piece in found:
+                left = size if left is None else left
+                # the last line may have no end
+                piece = piece[:left]
+                left -= len(piece)
+                first = (first + piece[:4])[:4]
+                hashed.update(piece)
+                yield piece
+
+        stream = pieces()
+        try:
+            for number, stamp, data, wire in frames_of(stream):
+                rows.append((name, number, stamp, bytes(data), wire, None, None, None))
+                held += len(data)
+                if len(rows) >= _BATCH_FRAMES or held >= _BATCH_BYTES:
+                    yield flush()
+                    rows, held = [], 0
+        except CaptureError as error:
+            rows.append((name, None, None, None, None, str(error), None, None))
+        for _ in stream:
+            pass
+        # the line reader leaves out a byte order mark, which no capture begins with
+        magic = first.hex().upper() if left == 0 else ""
+        rows.append((name, None, None, None, None, None, magic, hashed.hexdigest()))
+    if rows:
+        yield flush()
+
+
+def scan_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """Frames of all files under ``path``, by ``uri``, and a row of ``magic`` and ``sha256`` for each.
+
+    Files above ``max_bytes`` and empty ones have no rows. The frame has a session of its own, where
+    scans leave files whole.
+    """
+    session = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(_WHOLE))
+    session.conf.set("spark.sql.files.openCostInBytes", str(_WHOLE))
+    lines = session.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    if max_bytes is not None:
+        lines = lines.where(F.col("_metadata.file_size") <= max_bytes)
+    named = lines.select(
+        F.col("_metadata.file_path").alias("uri"),
+        F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_length").alias("block"),
+        F.col("value").cast("binary").alias("line"),
+    )
+    ddl = (
+        "uri string, frame_number bigint, ts double, data binary, orig_length bigint, "
+        "read_error string, magic string, sha256 string"
+    )
+    return named.mapInArrow(_split_files, ddl)
+
+
 def readable_frames(scanned: DataFrame) -> DataFrame:
     return scanned.where(F.col("frame_number").isNotNull()).drop("read_error")
 

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import hashlib
+
 import capture_bytes as cb
 import pytest
+from flowlens.session import store
 from flowlens.sources import catalogue, frames
 
 
@@ -60,3 +63,40 @@ def test_catalogue_checks_in_order(spark):
         assert rows[name]["reject_reason"] == reason, name
         assert rows[name]["capture_format"] == kind
     assert len(rows["a.pcap"]["sha256"]) == 64
+
+
+def test_no_size_is_refused_without_a_limit(spark):
+    row = ("a.pcap", 3 << 30, bytearray(cb.pcap(cb.plain_frames())))
+    table = spark.createDataFrame([row], "filename string, length long, content binary")
+    assert catalogue.catalogue(table).first()["reject_reason"] is None
+
+
+def test_files_are_read_in_pieces(spark, tmp_path):
+    lines = [(float(i), b"\n" * (i % 4) + bytes([i]) * 40 + b"\n" * (i % 3)) for i in range(40)]
+    contents = {
+        "a b.pcap": cb.pcap(lines),
+        "cut.pcap": cb.pcap(lines) + b"\n\n",
+        "c.pcapng": cb.pcapng(lines),
+        "damaged.pcap": cb.pcap(lines[:2]) + b"\x00" * 8 + b"\xff\xff\xff\x7f" + b"\n" * 40,
+        "mark.pcap": b"\xef\xbb\xbf" + cb.pcap(lines),
+    }
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = store(frames.scan_files(spark, str(tmp_path)), "found", session=spark)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    files = catalogue.list_files(spark, str(tmp_path))
+    got = {n: [] for n in contents}
+    for r in found.join(files, "uri").orderBy("frame_number").collect():
+        if r["frame_number"]:
+            got[r["filename"]].append((r["ts"], bytes(r["data"])))
+    assert got["a b.pcap"] == got["cut.pcap"] == got["c.pcapng"] == lines
+    assert got["damaged.pcap"] == lines[:2] and found.where("read_error like '%claims%'").count() == 1
+    seen = found.where("sha256 is not null").select("uri", "magic", "sha256")
+    rows = {r["filename"]: r for r in catalogue.catalogue(files.join(seen, "uri", "left")).collect()}
+    for name in ("a b.pcap", "cut.pcap", "c.pcapng", "damaged.pcap"):
+        assert rows[name]["sha256"] == hashlib.sha256(contents[name]).hexdigest()
+    assert rows["mark.pcap"]["reject_reason"] == "unrecognised_content"
