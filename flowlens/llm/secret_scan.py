@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives; DataFrame functions only.
 
-Every run of key characters in a text is a candidate. A forest over its length, character
+Every run of 16 key characters or more in a text is a candidate, and every quoted or assigned value
+after a name like ``password`` or ``api_key``, whatever its length and characters. A forest over its length, character
 transitions, coverage by frequent words, the document's path and the neighbouring words tells
 secrets from look-alikes. It is fitted on labelled findings, at most ``SAMPLE`` of each label by hash;
 the frequent words are counted over all documents.
@@ -33,6 +34,16 @@ CANDIDATE = "[A-Za-z0-9_+/-]{16,}={0,2}"
 #: characters of the neighbouring text that are looked at, on either side
 NEAR = 40
 _NAMES = "pass|pwd|secret|token|key|auth|cred"
+_ASSIGNED = f"(?i:{_NAMES})[A-Za-z0-9_]{{0,24}}[\"']?[ \\t]{{0,4}}(?::=|=>|[=:])[ \\t]{{0,4}}"
+#: values after a name; the first two conditions are cheap and fail nearly everywhere
+NAMED = (
+    "(?<=[=:> \\t\"'])(?<=[=:>][ \\t]{0,4}[\"']?)(?:"
+    f"(?<={_ASSIGNED}\")[^\"\\n]+(?=\")|(?<={_ASSIGNED}')[^'\\n]+(?=')"
+    f"|(?<={_ASSIGNED})[^\\s\"'=:>][^\\s\"']*(?<![,;.)}}\\]]))"
+)
+FOUND = f"{NAMED}|{CANDIDATE}"
+#: MD5 and SHA digests, UUIDs
+LOOK_ALIKE = "(?i)^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})$"
 #: transitions between two characters, counted and divided by the candidate's length
 TRANSITIONS = {
     "lower_lower": "[a-z](?=[a-z])",
@@ -46,7 +57,7 @@ TRANSITIONS = {
     "vowel_consonant": "[aeiouAEIOU](?=[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z])",
     "consonants": "[b-df-hj-np-tv-z](?=[b-df-hj-np-tv-z])",
     "hexadecimal": "[0-9a-f](?=[0-9a-f])",
-    "punctuation": "[_+/=-]",
+    "punctuation": "[^A-Za-z0-9]",
 }
 FEATURES = [
     "length", "kinds", *TRANSITIONS, "coverage",
@@ -62,8 +73,8 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
         "doc_id",
         F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"),
         F.monotonically_increasing_id().alias("row"),
-        F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("values"),
-        F.split(text, CANDIDATE, -1).alias("parts"),
+        F.regexp_extract_all(text, F.lit(FOUND), F.lit(0)).alias("values"),
+        F.split(text, FOUND, -1).alias("parts"),
     ).where("size(values) > 0")
     near = F.transform(
         F.col("values"),
@@ -139,7 +150,7 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
     before, after = F.lower("before"), F.lower("after")
     word_before = F.regexp_extract(before, "([a-z]+)[^a-z]*$", 1)
     word_after = F.regexp_extract(after, "^[^a-z]*([a-z]+)", 1)
-    kinds = [value.rlike(x).cast("int") for x in ("[a-z]", "[A-Z]", "[0-9]", "[_+/=-]")]
+    kinds = [value.rlike(x).cast("int") for x in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")]
     columns = {
         "length": size,
         "kinds": kinds[0] + kinds[1] + kinds[2] + kinds[3],
@@ -149,7 +160,7 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
         "path_test": F.lower("path").rlike("test|example|sample|mock|fixture"),
         "path_hash": F.pmod(F.xxhash64("path"), F.lit(8)),
         "named": before.rlike(_NAMES),
-        "assigned": before.rlike("[=:] *[\"']?$"),
+        "assigned": before.rlike("[=:]>?[ \\t]*[\"']?$"),
         "quoted": before.rlike("[\"']$") & after.rlike("^[\"']"),
         "before_known": _known(word_before, table),
         "after_known": _known(word_after, table),
@@ -162,16 +173,18 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
-    """Labelled findings by rules: known key forms and named assignments 1, mere letters 0.
+    """Labelled findings by rules: known key forms and named assignments 1; 0, with no name before,
+    mere letters, mere digits (cards, numbers), hex digests and UUIDs.
 
     Candidates that no rule decides are not labelled.
     """
     value, before = F.col("value"), F.lower("before")
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike("\\s")
     secret = value.rlike("^AKIA[0-9A-Z]{16}$") | (
-        mixed & before.rlike(f"({_NAMES})[a-z_]* *[=:] *[\"']?$")
+        mixed & before.rlike(f"{_ASSIGNED}[\"']?$")
     )
-    harmless = ~value.rlike("[0-9]") & ~before.rlike(_NAMES)
+    plain = ~value.rlike("[0-9]") | ~value.rlike("[A-Za-z]") | value.rlike(LOOK_ALIKE)
+    harmless = plain & ~before.rlike(_NAMES)
     label = F.when(secret, 1.0).when(harmless, 0.0)
     return found.withColumn("label", label).where("label is not null")
 

@@ -57,3 +57,26 @@ def test_without_labels(spark):
     out = secret_scan.scan(_table(spark, [(1, "thereoninedthehaenesof other", "a")])).collect()
     assert [(r["doc_id"], r["start"], r["score"], r["secret"]) for r in out] == [(1, 0, None, None)]
     assert secret_scan.scan(_table(spark, [])).collect() == []
+
+
+def test_named_values_of_any_length_and_characters(spark):
+    texts = {
+        1: ('password = "Tr0ub4dor&3x"', ["Tr0ub4dor&3x"]),
+        2: ("DB_PWD: p.w!8@$~ and more", ["p.w!8@$~"]),
+        3: ("{'api_key2': 'a b:9'}, x = 'not one'", ["a b:9"]),
+        4: ("a_rather_long_secret_name := s3cr3t.", ["a_rather_long_secret_name", "s3cr3t"]),
+        5: ('é "auth"=>"ü7" the key is "here" 12:30', ["ü7"]),
+        6: ("token=" + "x1" * 5_000, ["x1" * 5_000]),
+    }
+    rows = [(d, t, "a") for d, (t, _) in texts.items()]
+    found = secret_scan.candidates(_table(spark, rows)).orderBy("doc_id", "start").collect()
+    assert {d: [r["value"] for r in found if r["doc_id"] == d] for d in texts} == {d: v for d, (_, v) in texts.items()}
+    assert all(texts[r["doc_id"]][0][r["start"] :].startswith(r["value"]) for r in found)
+
+
+def test_look_alikes_with_digits_are_negatives(spark):
+    uuid, digest = "0a1b2c3d-1111-2222-3333-0123456789ab", "0123456789abcdef" * 2
+    text = f"card 4111111111111111 id {uuid} sum {digest} odd aB3dE6gH9kL2mN5pQ8 then token: {digest} pwd='x9!y'"
+    rows = secret_scan.candidates(_table(spark, [(1, text, "a")]))
+    labels = [(r["value"], r["label"]) for r in secret_scan.weak_labels(rows).orderBy("start").collect()]
+    assert labels == [("4111111111111111", 0.0), (uuid, 0.0), (digest, 0.0), (digest, 1.0), ("x9!y", 1.0)]
