@@ -79,5 +79,9 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def ship_by_value(module: str) -> None:
-    """Send a module's functions to the workers inside the task, so no package install is needed."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])
+    """Send a module's functions to the workers inside the task, so no package install is needed.
+
+    This module goes with them, since a module that is sent whole carries this function.
+    """
+    for name in (module, __name__):
+        cloudpickle.register_pickle_by_value(sys.modules[name])
