@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import (
     decontaminate,
+    hard_negatives,
     html_text,
     jaccard_join,
     line_dedup,
     quality_rules,
+    run_detection,
     secret_scan,
     sentencepiece,
     token_counts,
+    topk_search,
     unit_dedup,
     warc_revisits,
 )
@@ -141,6 +144,45 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def periodic(docs: DataFrame) -> DataFrame:
+    """``docs`` where every tenth text, by a checksum of its id, repeats a stretch of words to its end."""
+    words = F.filter(F.split("text", "[ \t-\r]+"), lambda w: w != "")
+    docs = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    docs = docs.withColumn("words", F.when(F.expr("h % 10 = 0"), words))
+    sizes = docs.selectExpr("*", "size(words) as n", "h div 10 as g").selectExpr("*", "g % n as a")
+    return sizes.selectExpr("*", "1 + (n - a) div (3 + g % 8) as p").selectExpr(
+        "doc_id",
+        """if(n > 0, array_join(transform(sequence(0, n - 1),
+          i -> words[int(if(i < a, i, a + (i - a) % p))]), ' '), text) as text""",
+    )
+
+
+def op11_run_detection(spark: SparkSession, folder: str) -> DataFrame:
+    docs = periodic(_read(spark, folder, "documents").select("doc_id", "text"))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return run_detection.find_runs(docs).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "strongest.start",
+        "strongest.length",
+        "strongest.period",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    return topk_search.top_k(_read(spark, folder, "embeddings"), F.expr("vec_id % 100 = 0"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _read(spark, folder, "embeddings").select(
+        "vec_id", "embedding", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label")
+    )
+    return hard_negatives.mine(vectors, F.expr("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -152,6 +194,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_run_detection": op11_run_detection,
+    "op12_topk_search": op12_topk_search,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -288,9 +333,49 @@ select w.doc_id, coalesce(s.n, 0) as n_shingles, e.component_id
 from words w join ends e on e.node = w.r left join sizes s on s.r = w.r
 """
 
+#: rows with whole vectors; {scale} multiplies a component before it is floored
+_VECTORS = """
+  select row_number() over () as r, vec_id, label,
+    list_transform(embedding, lambda x: floor({scale} * cast(x as double))) as e
+  from embeddings where embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0"""
+
+_OP12 = f"""
+with v as ({_VECTORS.format(scale=1024)}),
+scored as (
+  select q.vec_id as query_id, q.r, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+  from v q join v c on q.r <> c.r where q.vec_id % 100 = 0),
+ranked as (
+  select *, row_number() over (partition by r order by score desc, vec_id) as rank from scored)
+select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 10
+"""
+
+_OP13 = f"""
+with v as (
+  select r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, e
+  from ({_VECTORS.format(scale=256)}) where label is not null),
+scored as (
+  select a.r as a, a.vec_id as anchor_id, c.r as c, c.vec_id, a.label = c.label as same,
+    cast(list_inner_product(a.e, c.e) as bigint) as score
+  from v a join v c on a.r <> c.r where a.vec_id % 50 = 0),
+positives as (
+  select * from (select *, row_number() over (partition by a order by score desc, vec_id) as n
+    from scored where same) where n <= 5),
+ranked as (
+  select p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score,
+    s.score as negative_score,
+    row_number() over (partition by p.a, p.c order by s.score desc, s.vec_id) as rank
+  from positives p join scored s on s.a = p.a and not s.same
+    and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score
+from ranked where rank <= 3
+"""
+
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": _OP2,
     "op3_warc_revisits": _OP3,
     "op4_line_dedup": _OP4,
     "op9_ngram_jaccard_join": _OP9,
+    "op12_topk_search": _OP12,
+    "op13_hard_negatives": _OP13,
 }
