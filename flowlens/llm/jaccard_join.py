@@ -12,8 +12,10 @@ asked share a number of n-grams among the first ones of each (the prefix bound),
 3. Some classes of each n-gram's group, the same for most n-grams of near copies, lead. Members that
    share enough with a leader are probed against it, and the links join near copies into components
    without listing the pairs of a group. Groups that stay apart get other leaders, a few times.
-4. Components that still share enough first n-grams are probed against each other; where an n-gram
-   is left with many, all classes that such n-grams connect are probed together in blocks.
+4. Components that still share enough first n-grams are probed against each other. Where an n-gram is
+   left with many, its place in a set's order says how much of the set comes from there on, and so which
+   sizes of another set can still reach the overlap: classes meet in cells of two bands of sizes that
+   allow each other, and only cells with two components are probed, in blocks.
 
 A probe stores one side's ordered sets in a prefix tree and walks it with a set of the other side:
 partial overlaps are shared along common starts, and a subtree is left as soon as the n-grams that
@@ -48,20 +50,22 @@ SHARED = 10
 FREQUENT = 16
 #: leaders of a group of more classes than FREQUENT, and how often such groups get new ones
 LEADERS, ROUNDS = 6, 3
-#: components of an n-gram that are paired off; of n-grams with more, classes are probed in blocks
+#: components of an n-gram that are paired off; of n-grams with more, classes meet by size
 PAIRED = 64
+#: classes of a crowded n-gram meet by bands of size, each this many percent wide
+BAND = 5
 #: classes of an n-gram that meet in one bucket; more are dealt to several
 TOGETHER = 1 << 18
 #: at most so many of them (12 MB for each task)
 FREQUENT_MOST = 1 << 20
 #: texts whose sets are built together
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: n-grams a task holds before it deals them out
-HELD = 2 << 20
+HELD = 1 << 19
 #: buckets at the least; more where a bucket would hold more than BUCKET n-grams
-BUCKETS, BUCKET = 256, 2 << 20
+BUCKETS, BUCKET = 256, 1 << 19
 #: sets of a tree, and sets walked through it, in one group
-TREE, PROBES = 256, 256
+TREE, PROBES = 128, 128
 
 LAST = 2**63 - 1  # stands for a null id
 _HALF = np.uint64(1)
@@ -371,24 +375,90 @@ def _known(recs: DataFrame, labels: DataFrame) -> DataFrame:
     return placed.join(open_.where("low < high").select("gram"), "gram")
 
 
-def _crowds(known: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Pairs for ``probe``: classes that crowded n-grams connect, but for the largest component's.
+def _rests(texts: DataFrame, frequent, width: int, percent: int) -> DataFrame:
+    """Every n-gram that may be the first one a class shares with a linked one, and what comes from there on.
 
-    That component's sets are in the tree only, for its own links need no more proof.
+    ``id``, ``size``, ``gram``, ``rest``: elements of the ordered set from the n-gram to the end.
     """
-    held = known.join(crowded, "gram")
-    ends = held.groupBy("gram").agg(F.min("id").alias("b")).join(held.select("gram", "id"), "gram")
-    labels = connected(ends.select(F.col("id").alias("a"), "b"))
-    members = held.select("id", "comp").distinct().join(labels, F.col("id") == F.col("node"), "left")
-    members = members.select("id", "comp", (-1 - F.coalesce("label", "id")).alias("key"))
-    sizes = members.groupBy("key", "comp").count().groupBy("key")
-    largest = sizes.agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"))
-    every = members.select("key", "id", F.lit(True).alias("tree"))
-    others = members.join(largest, "key").where("comp <> largest")
-    return every.unionByName(others.select("key", "id", F.lit(False).alias("tree")))
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch["id"].to_numpy()
+            for i, grams in grams_of(batch["text"], width):
+                n = len(grams)
+                first = ordered(grams, frequent.value)[: n - least_overlap(n, percent) + 1]
+                columns = [np.full(len(first), ids[i]), np.full(len(first), n), first.view("i8"), n - np.arange(len(first))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "size", "gram", "rest"])
+
+    return texts.mapInArrow(task, "id long, size long, gram long, rest long")
+
+
+def _cells(rests: DataFrame, percent: int) -> DataFrame:
+    """Cells in which classes of one n-gram can link: ``gram``, ``small``, ``large``, ``id``, ``comp``, ``is_large``.
 
-def _remaining(known: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    Two sets link from an n-gram on only if both rests reach the overlap that their sizes ask for, so a
+    class goes to the cells of its own band and of every band with a size that its rest allows. Cells
+    without two components on their sides are left out.
+    """
+    p, ratio = percent, 1 + BAND / 100
+    # the other size b has percent * (a + b) <= (100 + percent) * rest, and is no further than the share
+    reach = F.expr(f"(100 + {p}) * rest div {max(p, 1)} - size")
+    least, most = F.ceil(F.lit(p) * F.col("size") / 100), F.expr(f"100 * size div {max(p, 1)}")
+
+    def band(c: Column) -> Column:
+        return F.floor(F.log(c.cast("double")) / F.log(F.lit(ratio)))
+
+    own = rests.withColumn("own", band(F.col("size")))
+    # one band more on both sides, for logarithms are rounded
+    low, high = band(F.greatest(least, F.lit(1))) - 1, band(F.least(most, reach)) + 1
+    able = own.where(F.least(most, reach) >= least).withColumn("other", F.explode(F.sequence(low, high)))
+    cells = able.select(
+        "gram", F.least("own", "other").alias("small"), F.greatest("own", "other").alias("large"),
+        "id", "comp", (F.col("own") >= F.col("other")).alias("is_large"), (F.col("own") <= F.col("other")).alias("is_small"),
+    )
+    cell = ["gram", "small", "large"]
+    sides = [F.when(F.col(f"is_{s}"), F.col("comp")) for s in ("large", "small")]
+    open_ = cells.groupBy(*cell).agg(
+        F.min(sides[0]).alias("l0"), F.max(sides[0]).alias("l1"), F.min(sides[1]).alias("s0"), F.max(sides[1]).alias("s1")
+    )
+    open_ = open_.where("l0 is not null and s0 is not null and least(l0, s0) < greatest(l1, s1)")
+    return cells.join(open_.select(*cell), cell)
+
+
+def _crowds(texts: DataFrame, known: DataFrame, crowded: DataFrame, frequent, width: int, percent: int) -> DataFrame:
+    """Pairs for ``probe``: classes that share a crowded n-gram and whose sizes allow a link.
+
+    Classes that n-grams of the same cell connect are probed together, a cell at a time, once.
+    """
+    held = known.join(crowded, "gram").select("id", "comp").distinct()
+    rests = _rests(texts.join(held, "id", "left_semi"), frequent, width, percent)
+    rests = rests.join(crowded, "gram", "left_semi").join(held, "id")
+    cells = store(_cells(rests, percent), "jaccard-cells")
+    cell = ["gram", "small", "large"]
+    ends = cells.groupBy(*cell).agg(F.min("id").alias("b")).join(cells.select(*cell, "id"), cell)
+    labels = connected(ends.select(F.col("id").alias("a"), "b"))
+    placed = cells.join(labels, F.col("id") == F.col("node"), "left")
+    # negative keys are apart from the ids that other probes have as keys
+    key = -1 - F.pmod(F.xxhash64(F.coalesce("label", "id"), "small", "large"), F.lit(2**62))
+    placed = store(placed.select(key.alias("key"), "id", "comp", "is_large", "is_small").distinct(), "jaccard-crowds")
+    counts = placed.groupBy("key", "comp").count().groupBy("key")
+    largest = counts.agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"))
+    sides = placed.join(largest, "key").withColumn("main", F.col("comp") == F.col("largest"))
+    # links within the largest component need no proof: it walks through no tree of its own
+    other_key = (F.col("key") - F.lit(2**62)).alias("key")
+    parts = [
+        ("is_large", "key", True), ("is_small and not main", "key", False),
+        ("is_small and not is_large and main", other_key, True), ("is_large and not is_small and not main", other_key, False),
+    ]
+    first, *rest = [sides.where(w).select(k, "id", F.lit(tree).alias("tree")) for w, k, tree in parts]
+    for part in rest:
+        first = first.unionByName(part)
+    return first
+
+
+def _remaining(
+    texts: DataFrame, known: DataFrame, nodes: DataFrame, frequent, width: int, percent: int
+) -> DataFrame:
     """Pairs for ``probe``: components that share first n-grams, the larger one as the tree."""
     sizes = nodes.groupBy("comp").agg(
         F.count("*").alias("n"), F.min(_shared(F.col("size"), percent)).alias("need")
@@ -411,7 +481,9 @@ def _remaining(known: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     keys = sized.select("key", F.col("key").alias("comp"), F.lit(True).alias("tree")).distinct()
     walkers = sized.select("key", "comp", F.lit(False).alias("tree"))
     pairs = keys.unionByName(walkers).join(nodes, "comp").select("key", "id", "tree")
-    return pairs.unionByName(_crowds(known, crowded)) if crowded.take(1) else pairs
+    if not crowded.take(1):
+        return pairs
+    return pairs.unionByName(_crowds(texts, known, crowded, frequent, width, percent))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -449,7 +521,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
             break
     nodes = active.join(labels, F.col("id") == F.col("node"), "left")
     nodes = store(nodes.select("id", "size", F.coalesce("label", "id").alias("comp")), "jaccard-nodes")
-    more = probe(texts, _remaining(known, nodes, percent), frequent, width, percent)
+    more = probe(texts, _remaining(texts, known, nodes, frequent, width, percent), frequent, width, percent)
 
     several = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     reps = classes.select("d1", "d2", F.col("id").alias("rep"))

@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from flowlens.llm import components, jaccard_join
 from flowlens.llm.prefix_tree import PrefixTree
@@ -95,5 +97,48 @@ def test_group_with_many_leaders(spark, monkeypatch):
     assert found(spark, docs) == sorted(plain.components(docs), key=repr)
 
 
+def _templates(n: int, own: int, seed: int = 4):
+    """Documents of one page frame with words of their own."""
+    r = random.Random(seed)
+    frame = [f"f{i}" for i in range(200)]
+    return [(i, " ".join(frame + [f"w{r.randrange(10**9)}" for _ in range(own)])) for i in range(n)]
+
+
+def test_crowded_ngrams(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PAIRED", 3)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 1)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 2)
+    monkeypatch.setattr(jaccard_join, "TREE", 8)
+    monkeypatch.setattr(jaccard_join, "PROBES", 5)
+    docs = []
+    for k, own in enumerate((36, 44, 60)):  # frames alone do not link
+        docs += [(100 * k + i, text) for i, text in _templates(12, own, k)]
+    docs += [(1000 + i, t) for i, (_, t) in enumerate(_near_copies(3, 6, 5))]
+    # four of each kind, so that all their n-grams are frequent and no order puts the frame last
+    kinds = _templates(9, 40, 8) + [(9 + i, t) for i, t in _templates(3, 33, 9)]
+    docs += [(2000 + 10 * i + k, f"{text} x{k}") for i, text in kinds for k in range(4)]
+    crowds = []
+    before = jaccard_join._crowds
+    monkeypatch.setattr(jaccard_join, "_crowds", lambda *a: crowds.append(before(*a)) or crowds[-1])
+    assert found(spark, docs) == sorted(plain.components(docs), key=repr)
+    assert crowds and crowds[0].where("tree").count() and crowds[0].where("not tree").count()
+
+
+def test_frames_that_cannot_link_meet_in_no_cell(spark):
+    frequent = spark.sparkContext.broadcast((np.zeros(0, np.uint32), np.zeros(0, np.int64)))
+    docs = spark.createDataFrame(_templates(150, 44), "id long, text string")
+    rests = jaccard_join._rests(docs, frequent, 5, 75)
+    assert rests.count() > 150 * 60  # in no order that puts frames last, most share what comes first
+    frames = [g for _, text in _templates(2, 0) for g in dict(jaccard_join.grams_of(_column(text), 5)).values()]
+    heads = np.unique(jaccard_join._head(frames[0]))
+    frequent = spark.sparkContext.broadcast((heads, np.full(len(heads), 150)))
+    rests = jaccard_join._rests(docs, frequent, 5, 75).withColumn("comp", F.col("id"))
+    assert jaccard_join._cells(rests, 75).count() == 0
+
+
+def _column(text: str):
+    return pa.array([text])
+
+
 def test_empty_table(spark):
     assert found(spark, []) == []
