@@ -9,7 +9,7 @@ from flowlens.contract import BURST_WINDOW_SECONDS
 from flowlens.operators import decode, detect, features, flows
 from flowlens.operators.sinks import append_new, write_tables
 from flowlens.session import exists, store
-from flowlens.sources import catalogue, frames
+from flowlens.sources import capture_files, catalogue, frames
 
 
 def analyse_frames(
@@ -64,18 +64,15 @@ def run_analysis(
     Tables of earlier runs stay. A file that is already stored keeps its capture id, and all its
     rows are replaced; new files get the next ids. ``max_packets`` bounds the frames of a capture.
     """
-    # one pass over every file gives its frames and its hash
-    found = store(frames.scan_files(spark, source), "frames", session=spark)
-    seen = found.where("sha256 is not null").select("uri", "magic", "sha256")
-    files = catalogue.list_files(spark, source).join(seen, "uri", "left")
-    checked = store(catalogue.catalogue(files), "catalogue")
+    listed = catalogue.list_files(spark, source)
+    seen = store(capture_files.identify(listed), "identity")
+    checked = store(catalogue.catalogue(listed.join(seen, "uri", "left")), "catalogue")
     known = None
     if exists(spark, f"{target}/captures"):
         known = store(spark.read.parquet(f"{target}/captures").select("capture_id", "sha256", "filename"), "known")
     captures = store(catalogue.accepted_captures(checked, known), "accepted")
-    # a file's frames meet its id only after the scan, so content is not shuffled
-    names = captures.select("uri", "capture_id")
-    scanned = found.where("sha256 is null").drop("magic", "sha256").join(names, "uri").drop("uri")
+    # ranges of files carry their capture's id, so frames are neither joined nor shuffled
+    scanned = store(capture_files.scan_captures(captures.withColumnRenamed("file_size", "length")), "frames")
     captures = captures.drop("uri")
     readable = frames.readable_frames(scanned)
     tables = analyse_frames(readable, burst_window, max_packets)

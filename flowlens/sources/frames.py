@@ -1,22 +1,19 @@
-"""Frame scans of pcap and pcapng files.
+"""Frames of pcap and pcapng captures.
 
-A file is the unit of work: files spread over tasks and each is cut into frames with constant
-extra memory. File content goes straight from the scan into the splitter, never through a shuffle.
-``scan_files`` reads files of any size through Spark's line reader: the stretches between bytes 0A
-arrive in order and are hashed and cut on the way. Only a stretch of 2 GB without that byte fails.
+A ``Place`` is a byte of a capture with all that the bytes before it decide: byte order, clock, interfaces
+and the number of frames so far. ``walk`` cuts frames from a place on, with constant extra memory, so a
+capture can be cut from its start or from any record boundary (see ``capture_files``).
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 from functools import partial
-from itertools import groupby
 
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.session import ship_by_value
@@ -69,24 +66,57 @@ class Pieces:
         return found
 
 
-def pcap_frames(data: Pieces) -> Iterator[Frame]:
+@dataclass
+class Place:
+    """A record boundary of a capture: ``kind`` is pcap, pcapng, or None where it is neither."""
+
+    kind: str | None
+    at: int = 0
+    number: int = 0
+    order: str = "<"
+    unit: float = 1e-6
+    interfaces: list[tuple[int, float]] = field(default_factory=list)
+    #: nothing can be read after this place
+    over: bool = False
+    #: a section began since the walk did, so the interfaces are all of its own
+    reset: bool = False
+
+
+def start_of(head: bytes) -> Place:
+    """The first record of a capture that begins with these bytes, 24 at least if it has them."""
+    if head[:4] == b"\x0a\x0d\x0d\x0a":
+        return Place("pcapng", order=BYTE_ORDERS.get(bytes(head[8:12]), "<"))
+    layout = PCAP_LAYOUTS.get(bytes(head[:4])) if len(head) >= 24 else None
+    return Place(None, over=True) if layout is None else Place("pcap", 24, order=layout[0], unit=layout[1])
+
+
+def walk(data: Pieces, place: Place, end: float = float("inf")) -> Iterator[Frame]:
+    """Frames whose records begin before byte ``end``; ``place`` moves on with them."""
+    if place.kind is None:
+        return iter(())
+    return (_walk_pcap if place.kind == "pcap" else _walk_pcapng)(data, place, end)
+
+
+def _walk_pcap(data: Pieces, place: Place, end: float) -> Iterator[Frame]:
     """Records of a classic capture: number, stamp, bytes, wire length. A short tail ends it."""
-    start = data.read(24)
-    layout = None if start is None else PCAP_LAYOUTS.get(bytes(start[:4]))
-    if layout is None:
-        return
-    order, unit = layout
-    header = struct.Struct(order + "IIII")
-    number = 0
-    while (head := data.read(16)) is not None:
+    header = struct.Struct(place.order + "IIII")
+    while place.at < end:
+        head = data.read(16)
+        if head is None:
+            break
         seconds, fraction, captured, wire = header.unpack(head)
         if captured > MAX_FRAME:
-            raise CaptureError(f"record {number + 1} claims {captured} bytes")
+            place.over = True
+            raise CaptureError(f"record {place.number + 1} claims {captured} bytes")
         body = data.read(captured)
         if body is None:
-            return
-        number += 1
-        yield number, float(seconds) + float(fraction) * unit, body, wire
+            break
+        place.at += 16 + captured
+        place.number += 1
+        yield place.number, float(seconds) + float(fraction) * place.unit, body, wire
+    else:
+        return
+    place.over = True
 
 
 def timestamp_resolution(options: memoryview, order: str) -> float:
@@ -104,44 +134,52 @@ def timestamp_resolution(options: memoryview, order: str) -> float:
     return 1e-6
 
 
-def pcapng_frames(data: Pieces) -> Iterator[Frame]:
+def _walk_pcapng(data: Pieces, place: Place, end: float) -> Iterator[Frame]:
     """Enhanced packets of Ethernet interfaces, after the public pcapng block layout.
 
     Other packets are counted but not returned. Every section carries its own byte order and
     interface list.
     """
-    order, at, number = "<", 0, 0
-    interfaces: list[tuple[int, float]] = []
-    while (head := data.peek(12)) is not None:
+    while place.at < end:
+        head = data.peek(12)
+        if head is None:
+            break
         if bytes(head[:4]) == b"\x0a\x0d\x0d\x0a":
             found = BYTE_ORDERS.get(bytes(head[8:]))
             if found is None:
-                return
-            order, interfaces = found, []
-        kind, size = struct.unpack_from(order + "II", head)
+                break
+            place.order, place.interfaces, place.reset = found, [], True
+        kind, size = struct.unpack_from(place.order + "II", head)
         if not MIN_BLOCK <= size <= MAX_BLOCK:
-            raise CaptureError(f"block at byte {at} claims {size} bytes")
+            place.over = True
+            raise CaptureError(f"block at byte {place.at} claims {size} bytes")
         block = data.read(size)
         if block is None:
-            return
+            break
         body = block[8 : size - 4]
-        at += size
+        place.at += size
         if kind == INTERFACE and len(body) >= 8:
-            link = struct.unpack_from(order + "H", body)[0]
-            interfaces.append((link, timestamp_resolution(body[8:], order)))
+            link = struct.unpack_from(place.order + "H", body)[0]
+            place.interfaces.append((link, timestamp_resolution(body[8:], place.order)))
         elif kind == ENHANCED_PACKET and len(body) >= 20:
-            which, high, low, captured, wire = struct.unpack_from(order + "IIIII", body)
-            number += 1
-            link, unit = interfaces[which] if which < len(interfaces) else (ETHERNET, 1e-6)
+            which, high, low, captured, wire = struct.unpack_from(place.order + "IIIII", body)
+            place.number += 1
+            known = which < len(place.interfaces)
+            link, unit = place.interfaces[which] if known else (ETHERNET, 1e-6)
             if link == ETHERNET:
                 stamp = float(((high << 32) | low) * unit)
-                yield number, stamp, body[20 : 20 + captured], wire
+                yield place.number, stamp, body[20 : 20 + captured], wire
+    else:
+        return
+    place.over = True
 
 
 def frames_of(pieces: Iterable[bytes | memoryview]) -> Iterator[Frame]:
     data = Pieces(pieces)
-    magic = data.peek(4)
-    return pcapng_frames(data) if magic == b"\x0a\x0d\x0d\x0a" else pcap_frames(data)
+    head = data.peek(24) or data.peek(12) or b""
+    place = start_of(bytes(head))
+    data.read(place.at)
+    return walk(data, place)
 
 
 _SCHEMA = pa.schema(
@@ -156,126 +194,53 @@ _SCHEMA = pa.schema(
 )
 
 
-def _split(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    schema = _SCHEMA.set(0, pa.field(key, pa.string()))
-    rows: list[tuple] = []
-    held = 0
+class Rows:
+    """Frames of captures as record batches of bounded size, under ``key``."""
 
-    def flush() -> pa.RecordBatch:
-        columns = zip(*rows, strict=True)
-        arrays = [pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+    def __init__(self, key: str) -> None:
+        self.schema = _SCHEMA.set(0, pa.field(key, pa.string()))
+        self._rows: list[tuple] = []
+        self._held = 0
 
-    for batch in batches:
-        for capture, content in zip(batch.column(0), batch.column(1), strict=True):
-            name = capture.as_py()
-            try:
-                for number, stamp, data, wire in frames_of([memoryview(content.as_buffer())]):
-                    rows.append((name, number, stamp, bytes(data), wire, None))
-                    held += len(data)
-                    if len(rows) >= _BATCH_FRAMES or held >= _BATCH_BYTES:
-                        yield flush()
-                        rows, held = [], 0
-            except CaptureError as error:
-                rows.append((name, None, None, None, None, str(error)))
-    if rows:
-        yield flush()
+    def of(self, name: str, found: Iterator[Frame]) -> Iterator[pa.RecordBatch]:
+        """Batches that are full; a damaged capture adds a row with its error."""
+        try:
+            for number, stamp, data, wire in found:
+                self._rows.append((name, number, stamp, bytes(data), wire, None))
+                self._held += len(data)
+                if len(self._rows) >= _BATCH_FRAMES or self._held >= _BATCH_BYTES:
+                    yield self.rest()
+        except CaptureError as error:
+            self._rows.append((name, None, None, None, None, str(error)))
 
+    def rest(self) -> pa.RecordBatch:
+        columns = list(zip(*self._rows, strict=True)) or [()] * len(self.schema)
+        arrays = [pa.array(c, type=f.type) for c, f in zip(columns, self.schema, strict=True)]
+        self._rows, self._held = [], 0
+        return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
 
-def scan_frames(captures: DataFrame, key: str = "capture_id") -> DataFrame:
-    """Frames of every capture (``key``, content), numbered by position.
 
-    A damaged capture adds one row without a frame that carries ``read_error``.
-    """
-    ddl = (
+def frame_ddl(key: str = "capture_id") -> str:
+    return (
         f"{key} string, frame_number bigint, ts double, data binary, orig_length bigint, "
         "read_error string"
     )
-    return captures.select(key, "content").mapInArrow(partial(_split, key=key), ddl)
-
 
-#: bytes that count as one file at least, so that scans neither split nor pack files
-_WHOLE = 1 << 42
-_FILES = pa.schema([_SCHEMA.field(0).with_name("uri"), *list(_SCHEMA)[1:], ("magic", pa.string()), ("sha256", pa.string())])
 
-
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
-    """File, its size, and lines of it with their ends."""
+def _split(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    rows = Rows(key)
     for batch in batches:
-        uri, size, block, lines = batch.columns
-        if pc.any(pc.not_equal(size, block)).as_py():
-            raise ValueError(f"a file above {_WHOLE} bytes was split")
-        found, start = pc.run_end_encode(uri), 0
-        for end, name in zip(found.run_ends.to_pylist(), found.values.to_pylist(), strict=True):
-            yield name, size[start].as_py(), b"\n".join([*lines.slice(start, end - start).to_pylist(), b""])
-            start = end
-
-
-def _split_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
-    held = 0
-
-    def flush() -> pa.RecordBatch:
-        columns = zip(*rows, strict=True)
-        arrays = [pa.array(c, type=f.type) for c, f in zip(columns, _FILES, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, schema=_FILES)
-
-    for name, found in groupby(_stretches(batches), key=lambda stretch: stretch[0]):
-        hashed, first, left = hashlib.sha256(), b"", None
-
-        def pieces(found: Iterator = found, hashed=hashed) -> Iterator[bytes]:
-            nonlocal first, left
-            for _, size, piece in found:
-                left = size if left is None else left
-                # the last line may have no end
-                piece = piece[:left]
-                left -= len(piece)
-                first = (first + piece[:4])[:4]
-                hashed.update(piece)
-                yield piece
-
-        stream = pieces()
-        try:
-            for number, stamp, data, wire in frames_of(stream):
-                rows.append((name, number, stamp, bytes(data), wire, None, None, None))
-                held += len(data)
-                if len(rows) >= _BATCH_FRAMES or held >= _BATCH_BYTES:
-                    yield flush()
-                    rows, held = [], 0
-        except CaptureError as error:
-            rows.append((name, None, None, None, None, str(error), None, None))
-        for _ in stream:
-            pass
-        # the line reader leaves out a byte order mark, which no capture begins with
-        magic = first.hex().upper() if left == 0 else ""
-        rows.append((name, None, None, None, None, None, magic, hashed.hexdigest()))
-    if rows:
-        yield flush()
+        for capture, content in zip(batch.column(0), batch.column(1), strict=True):
+            yield from rows.of(capture.as_py(), frames_of([memoryview(content.as_buffer())]))
+    yield rows.rest()
 
 
-def scan_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """Frames of all files under ``path``, by ``uri``, and a row of ``magic`` and ``sha256`` for each.
+def scan_frames(captures: DataFrame, key: str = "capture_id") -> DataFrame:
+    """Frames of every capture (``key``, content), numbered by position.
 
-    Files above ``max_bytes`` and empty ones have no rows. The frame has a session of its own, where
-    scans leave files whole.
+    A damaged capture adds one row without a frame that carries ``read_error``.
     """
-    session = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
-    session.conf.set("spark.sql.files.maxPartitionBytes", str(_WHOLE))
-    session.conf.set("spark.sql.files.openCostInBytes", str(_WHOLE))
-    lines = session.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
-    if max_bytes is not None:
-        lines = lines.where(F.col("_metadata.file_size") <= max_bytes)
-    named = lines.select(
-        F.col("_metadata.file_path").alias("uri"),
-        F.col("_metadata.file_size").alias("size"),
-        F.col("_metadata.file_block_length").alias("block"),
-        F.col("value").cast("binary").alias("line"),
-    )
-    ddl = (
-        "uri string, frame_number bigint, ts double, data binary, orig_length bigint, "
-        "read_error string, magic string, sha256 string"
-    )
-    return named.mapInArrow(_split_files, ddl)
+    return captures.select(key, "content").mapInArrow(partial(_split, key=key), frame_ddl(key))
 
 
 def readable_frames(scanned: DataFrame) -> DataFrame:

@@ -6,18 +6,21 @@ with the log in DuckDB. Capture files are the same frames joined into pcap and p
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.operators import decode, sinks
 from flowlens.operators.dims import ENCRYPTION, INTEGRITY, PRF
-from flowlens.session import shared_folder
-from flowlens.sources import catalogue, frames, label_file
+from flowlens.session import shared_folder, store
+from flowlens.sources import capture_files, catalogue, frames, label_file, packet_source
 from flowlens.workload.base import MESSAGES_SQL, PACKETS_SQL, packets, raw_packets, read
 from flowlens.workload.stored import stored
 from flowlens.workload.traffic import FEATURES_SQL, FLOWS_SQL, feature_table, flow_table
 
-BLOCK = 2000
+#: bytes of a file that one task reads at once, so that captures of the log spread over several
+RANGE = 1 << 18
 
 
 def _h(value: str, digits: int) -> str:
@@ -246,24 +249,16 @@ def _fragment_packets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # ---- capture files -------------------------------------------------------------------------
-def _joined(records: DataFrame, header: str, record: str) -> DataFrame:
-    """Files of at most 2000 frames each: (capture_id, block, content)."""
+def _written_files(records: DataFrame, header: str, record: str, suffix: str, name: str) -> DataFrame:
+    """Every capture written as one file: (capture_id, uri, length)."""
+    spark = records.sparkSession
     rows = records.selectExpr(
-        "capture_id", f"cast(floor(frame_number / {BLOCK}) as bigint) as block", "frame_number",
-        f"{record} as record", f"{header} as header",
-    )
-    return (
-        rows.groupBy("capture_id", "block")
-        .agg(
-            F.first("header").alias("header"),
-            F.array_sort(F.collect_list(F.struct("frame_number", "record"))).alias("records"),
-        )
-        .selectExpr(
-            "concat(capture_id, '-', block) as capture_id",
-            "block",
-            "unhex(concat(header, array_join(records.record, ''))) as content",
-        )
+        "capture_id", "frame_number", f"unhex({header}) as header", f"unhex({record}) as record"
     )
+    target = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    capture_files.write_captures(rows, target, suffix)
+    files = catalogue.list_files(spark, target)
+    return files.selectExpr(f"replace(filename, '{suffix}', '') as capture_id", "filename", "uri", "length")
 
 
 def pcap_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -279,7 +274,7 @@ def pcap_files(spark: SparkSession, folder: str) -> DataFrame:
     record = f"""case {layout} when 0 then {big.format(_h('micros', 8))}
         when 1 then concat({_le('seconds', 4)}, {_le('micros', 4)}, {_le(size, 4)}, {_le(size, 4)}, hex(data))
         else {big.format(_h('micros * 1000', 8))} end"""
-    return _joined(frame_rows(spark, folder), header, record)
+    return _written_files(frame_rows(spark, folder), header, record, ".pcap", "pcap")
 
 
 def pcapng_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -295,27 +290,44 @@ def pcapng_files(spark: SparkSession, folder: str) -> DataFrame:
     record = f"""concat('06000000', {_le(total, 4)}, '00000000', {_le(f'shiftright({stamp}, 32)', 4)},
         {_le(f'{stamp} & 4294967295', 4)}, {_le(size, 4)}, {_le(size, 4)},
         rpad(hex(data), cast(2 * {padded} as int), '0'), {_le(total, 4)})"""
-    return _joined(frame_rows(spark, folder), header, record)
+    return _written_files(frame_rows(spark, folder), header, record, ".pcapng", "pcapng")
 
 
-def _scanned(files: DataFrame) -> DataFrame:
-    scanned = frames.readable_frames(frames.scan_frames(files))
-    return scanned.select(
+def _lengths(scanned: DataFrame) -> DataFrame:
+    return frames.readable_frames(scanned).select(
         "capture_id", "frame_number", "ts", F.octet_length("data").alias("length"), "orig_length"
     )
 
 
-def _catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    """The capture files under good and bad names and contents."""
+def _scanned(files: DataFrame) -> DataFrame:
+    return _lengths(capture_files.scan_captures(files, range_bytes=RANGE))
+
+
+def _source(spark: SparkSession, folder: str) -> DataFrame:
+    """Some captures' middle frames, through the registered format and a stored index."""
     files = stored(spark, folder, "pcap_files", pcap_files)
-    n = "cast(substr(capture_id, 5, 6) as int) + block"
-    named = files.selectExpr(
-        f"""concat(capture_id, case ({n}) % 6 when 0 then '.pcap' when 1 then '.CAP'
-            when 2 then '.txt' when 3 then '.pcapng' when 4 then '' else '.pcap' end) as filename""",
-        f"case when ({n}) % 6 = 5 then unhex('') when ({n}) % 12 = 3 then unhex('00112233') else content end as content",
-    ).selectExpr("filename", "cast(octet_length(content) as bigint) as length", "content")
-    checked = catalogue.catalogue(named)
-    return checked.select("filename", "capture_format", "reject_reason")
+    target = f"{shared_folder(spark)}/frame-index-{uuid.uuid4().hex}"
+    capture_files.write_index(files, target, range_bytes=RANGE)
+    packet_source.register(spark)
+    source = spark.read.format(packet_source.FORMAT).options(index=target, rangeBytes=RANGE, pushFilters=True).load()
+    return _lengths(source.where("capture_id in ('CAP-000001', 'CAP-000002') and frame_number between 200 and 900"))
+
+
+def _catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """Capture files under good and bad names and contents, written and read again."""
+    n = "cast(substr(capture_id, 5, 6) as int)"
+    rows = frame_rows(spark, folder).select("capture_id", "frame_number").selectExpr(
+        f"""concat(capture_id, case {n} % 6 when 0 then '.pcap' when 1 then '.CAP'
+            when 2 then '.txt' when 3 then '.pcapng' when 4 then '' else '.pcap' end) as capture_id""",
+        "frame_number",
+        f"unhex(if({n} % 12 = 3, '00112233', 'D4C3B2A102000400{'00' * 8}FFFF000001000000')) as header",
+        f"unhex(if({n} % 12 = 3, '', repeat('00', 16))) as record",
+    )
+    target = f"{shared_folder(spark)}/named-{uuid.uuid4().hex}"
+    capture_files.write_captures(rows, target, "")
+    files = catalogue.list_files(spark, target)
+    checked = catalogue.catalogue(files.join(store(capture_files.identify(files), "identity"), "uri", "left"))
+    return checked.select("filename", "file_size", "capture_format", "reject_reason")
 
 
 def _captures(spark: SparkSession, folder: str) -> DataFrame:
@@ -427,6 +439,7 @@ QUERIES = {
     "P17_ikev1_proposals": _v1_proposals,
     "S1_capture_catalogue": _catalogue,
     "S2_W5_pcap_frames": lambda s, d: _scanned(stored(s, d, "pcap_files", pcap_files)),
+    "S2_packet_source": _source,
     "S3_pcapng_frames": lambda s, d: _scanned(stored(s, d, "pcapng_files", pcapng_files)),
     "S4_frame_cap": _truncated,
     "S5_undecodable_capture": _status,
@@ -460,7 +473,7 @@ _V2_ROWS = f"""
   select capture_id, packet_id, 2, 3, 'ESP', 'AES_CBC', 12, null, 'UNKNOWN', null, 'UNKNOWN', null,
     null, cast(event_id % 2 as int), 'high', case when flags = 1 then 'OFFERED' else 'SELECTED' end
   from pkt where exchange_name in ('IKE_SA_INIT', 'CREATE_CHILD_SA')"""
-_BLOCKS = f"concat(capture_id, '-', packet_id // {BLOCK}) as capture_id, row_number() over (partition by capture_id, packet_id // {BLOCK} order by packet_id) as frame_number"
+_NUMBERED = "capture_id, row_number() over (partition by capture_id order by packet_id) as frame_number"
 _IP_BYTES = "case when ip_version = 6 then 40 else 20 end"
 _LINK_BYTES = "case event_id % 4 when 3 then 0 when 0 then 14 else 18 end"
 _PAYLOAD_BYTES = """case when protocol = 'tcp' then 20 when kind = 'click' then 36 + case exchange_name
@@ -525,19 +538,23 @@ ORACLES = {
       cast(event_id % 25 as int) as dh_group, 'high' as transform_confidence
       from pkt where kind = 'click'""",
     "S1_capture_catalogue": PACKETS_SQL
-    + f""", f as (select distinct concat(capture_id, '-', packet_id // {BLOCK}) as name,
-        cap + 1 + packet_id // {BLOCK} as n from pkt),
+    + """, f as (select capture_id as name, cap + 1 as n, count(*) as frames from pkt group by all),
       g as (select concat(name, case n % 6 when 0 then '.pcap' when 1 then '.CAP' when 2 then '.txt'
           when 3 then '.pcapng' when 4 then '' else '.pcap' end) as filename,
-        case when n % 6 in (2, 4) then 'unsupported_extension' when n % 6 = 5 then 'empty_file'
+        case when n % 12 = 3 then 4 else 24 + 16 * frames end as file_size,
+        case when n % 6 in (2, 4) then 'unsupported_extension'
           when n % 12 = 3 then 'unrecognised_content' end as reject_reason from f)
-      select filename, case when reject_reason is null then 'pcap' end as capture_format, reject_reason
-      from g""",
+      select filename, file_size, case when reject_reason is null then 'pcap' end as capture_format,
+        reject_reason from g""",
     "S2_W5_pcap_frames": PACKETS_SQL
-    + f" select {_BLOCKS}, case when (cap + 1) % 3 = 2 then {_NANOS} else {_SECONDS} end as ts,"
+    + f" select {_NUMBERED}, case when (cap + 1) % 3 = 2 then {_NANOS} else {_SECONDS} end as ts,"
     f" frame_length as length, frame_length as orig_length from ({_LENGTHS})",
+    "S2_packet_source": PACKETS_SQL
+    + f""" select * from (select {_NUMBERED}, case when (cap + 1) % 3 = 2 then {_NANOS} else {_SECONDS} end as ts,
+      frame_length as length, frame_length as orig_length from ({_LENGTHS}))
+      where capture_id in ('CAP-000001', 'CAP-000002') and frame_number between 200 and 900""",
     "S3_pcapng_frames": PACKETS_SQL
-    + f" select {_BLOCKS}, us * 1e-6 as ts, frame_length as length, frame_length as orig_length"
+    + f" select {_NUMBERED}, us * 1e-6 as ts, frame_length as length, frame_length as orig_length"
     f" from ({_LENGTHS})",
     "S4_frame_cap": PACKETS_SQL
     + " select capture_id, count(*) as frames, count(*) filter (packet_id <= 9990) as kept_frames,"
