@@ -19,7 +19,6 @@ from flowlens.contract import (
     UNKNOWN_CLASS,
     VALIDATION_RATIO,
 )
-from flowlens.functions.binary import once
 from flowlens.functions.numeric import round_half_even
 from flowlens.functions.ordering import newest, number_rows
 
@@ -39,41 +38,56 @@ LABEL_BAD_SHA = "capture_sha256 is not a 64-char hex digest"
 
 
 # ---- feature rows -------------------------------------------------------------------------
-def _entries(value: str, **extra: str) -> str:
-    """Array of one struct per feature, in contract order. ``{f}`` stands for the feature name."""
+_REASONS = (NULL_VALUE, BOOLEAN, WRONG_TYPE, NOT_FINITE, OUT_OF_RANGE, VERSION_MISMATCH)
+#: a problem is one number: ten times the feature's place in the contract, and the reason's
+_CODE = {reason: i for i, reason in enumerate(_REASONS)}
+_INFINITE = "double('Infinity')"
 
-    def number(bound: float | None) -> str:
-        return "cast(null as double)" if bound is None else f"{bound!r}D"
 
-    items = []
-    for feature in FEATURES:
-        more = "".join(f", '{k}', {v.format(f=feature.name)}" for k, v in extra.items())
-        items.append(
-            f"named_struct('name', '{feature.name}', 'nullable', {str(feature.nullable).lower()}, "
-            f"'low', {number(feature.minimum)}, 'high', {number(feature.maximum)}, "
-            f"'value', {value.format(f=feature.name)}{more})"
-        )
-    return f"array({', '.join(items)})"
+def _number_arms(place: int, feature, number: str) -> str:
+    """Branches of a case that judge a number."""
+    bounds = [f"{number} < {feature.minimum!r}D"] if feature.minimum is not None else []
+    bounds += [f"{number} > {feature.maximum!r}D"] if feature.maximum is not None else []
+    arms = f"when isnan({number}) or abs({number}) = {_INFINITE} then {10 * place + _CODE[NOT_FINITE]}"
+    return f"{arms} when {' or '.join(bounds)} then {10 * place + _CODE[OUT_OF_RANGE]}" if bounds else arms
 
 
-_ABSENT = f"if(x.nullable, cast(null as string), '{NULL_VALUE}')"
-_NUMBER = (
-    f"when isnan(x.value) or abs(x.value) = double('Infinity') then '{NOT_FINITE}' "
-    f"when x.value < x.low or x.value > x.high then '{OUT_OF_RANGE}' end"
-)
-_TYPED_CHECK = f"case when x.value is null then {_ABSENT} {_NUMBER}"
-_JSON_CHECK = (
-    f"case when x.kind is null or x.kind = 'VOID' then {_ABSENT} "
-    f"when x.kind = 'BOOLEAN' then '{BOOLEAN}' "
-    f"when x.kind = 'STRING' and x.text in ('#NaN', '#Infinity', '#-Infinity') then '{NOT_FINITE}' "
-    f"when not (x.kind in ('BIGINT', 'DOUBLE') or x.kind like 'DECIMAL%') then '{WRONG_TYPE}' "
-    f"{_NUMBER}"
-)
+def _absent(place: int, feature) -> str:
+    return "cast(null as int)" if feature.nullable else str(10 * place + _CODE[NULL_VALUE])
 
 
-def _first_problem(entries: str, check: str) -> str:
-    judged = f"transform({entries}, x -> named_struct('reason', {check}, 'feature', x.name))"
-    return f"try_element_at(filter({judged}, p -> p.reason is not null), 1)"
+def _first(row: str, checks: list[str]) -> str:
+    """The first check of ``row``, known as ``r`` in them, that is not null.
+
+    Coalesce ends there, so nothing is built for what lies behind. The lambda keeps the chain out of the
+    generated code, where it would be a method too long to compile.
+    """
+    return f"transform(array({row}), r -> coalesce({', '.join(checks)}))[0]"
+
+
+def _typed_problem(row: str) -> str:
+    """The first problem of a struct of numbers, in contract order."""
+    checks = []
+    for i, feature in enumerate(FEATURES):
+        number = f"r.{feature.name}"
+        checks.append(f"case when {number} is null then {_absent(i, feature)} {_number_arms(i, feature, number)} end")
+    return _first(row, checks)
+
+
+def _json_problem(cells: str) -> str:
+    """The same for an array of JSON values with their types, one for each feature."""
+    checks = []
+    for i, feature in enumerate(FEATURES):
+        kind, value = f"r[{i}].kind", f"r[{i}].value"
+        checks.append(
+            f"case when {kind} is null or {kind} = 'VOID' then {_absent(i, feature)} "
+            f"when {kind} = 'BOOLEAN' then {10 * i + _CODE[BOOLEAN]} "
+            f"when {kind} = 'STRING' and cast({value} as string) in ('#NaN', '#Infinity', '#-Infinity') "
+            f"then {10 * i + _CODE[NOT_FINITE]} "
+            f"when not ({kind} in ('BIGINT', 'DOUBLE') or {kind} like 'DECIMAL%') then {10 * i + _CODE[WRONG_TYPE]} "
+            f"{_number_arms(i, feature, f'cast({value} as double)')} end"
+        )
+    return _first(cells, checks)
 
 
 def _clean(value: str) -> str:
@@ -90,20 +104,20 @@ def _clean(value: str) -> str:
         test = " and ".join(bounds) or f"{number} is not null"
         tests.append(f"coalesce({test}, {str(feature.nullable).lower()})")
         terms.append(f"coalesce({number}, 0D)")
-    return f"({' and '.join(tests)} and {' + '.join(terms)} < double('Infinity'))"
+    return f"({' and '.join(tests)} and {' + '.join(terms)} < {_INFINITE})"
 
 
 def _with_reason(rows: DataFrame, columns: list[str], problem: str) -> DataFrame:
     other_version = f"not (feature_schema_version <=> '{FEATURE_SCHEMA_VERSION}')"
-    first = (
-        f"case when {other_version} then named_struct('reason', '{VERSION_MISMATCH}', "
-        f"'feature', cast(null as string)) else {problem} end"
-    )
-    judged = once(rows, columns, f"named_struct('_problem', {first})")
+    first = f"case when {other_version} then {_CODE[VERSION_MISMATCH]} else {problem} end"
+    # a projection is compiled, and one that is used more than once is not merged with the next
+    judged = rows.selectExpr(*columns, f"{first} as _problem")
+    reasons, names = (", ".join(f"'{x}'" for x in values) for values in (_REASONS, FEATURE_NAMES))
     return judged.selectExpr(
         "* except (_problem)",
-        "_problem.reason as reject_reason",
-        "_problem.feature as reject_feature",
+        f"get(array({reasons}), _problem % 10) as reject_reason",
+        f"case when _problem % 10 <> {_CODE[VERSION_MISMATCH]} then get(array({names}), cast(_problem div 10 as int)) end "
+        "as reject_feature",
     )
 
 
@@ -112,10 +126,9 @@ def validate_features(rows: DataFrame) -> DataFrame:
 
     Values are judged, never clipped or filled.
     """
-    value = "cast({f} as double)"
-    found = _first_problem(_entries(value), _TYPED_CHECK)
-    problem = f"case when not {_clean(value)} then {found} end"
-    return _with_reason(rows, rows.columns, problem)
+    numbers = ", ".join(f"'{n}', cast({n} as double)" for n in FEATURE_NAMES)
+    problem = _typed_problem(f"named_struct({numbers})")
+    return _with_reason(rows, rows.columns, f"case when not {_clean('cast({f} as double)')} then {problem} end")
 
 
 def validate_feature_json(rows: DataFrame) -> DataFrame:
@@ -123,39 +136,38 @@ def validate_feature_json(rows: DataFrame) -> DataFrame:
 
     Unreadable documents count as empty. JSON types are told apart, so ``true`` and ``"7"`` are
     not numbers; the non-standard tokens NaN and Infinity are recognised. Documents of numbers and
-    nulls are read in one typed pass; only the others are parsed again to name what is wrong.
+    nulls are read in one typed pass; only the others are parsed again, once, to name what is wrong.
     """
     schema = ", ".join([*(f"{name} double" for name in FEATURE_NAMES), "_corrupt string"])
     read = (
         f"from_json(feature_json, '{schema}', map('mode', 'PERMISSIVE', "
         "'columnNameOfCorruptRecord', '_corrupt'))"
     )
-    typed = once(rows, rows.columns, f"named_struct('_typed', {read})")
+    typed = rows.selectExpr("*", f"{read} as _typed")
+    # the pattern is looked for only where one of its words stands
+    words = " or ".join(f"contains(feature_json, '{w}')" for w in ("NaN", "INF", "Infinity"))
     odd = (
         "feature_json is null or _typed is null or _typed._corrupt is not null "
-        "or feature_json rlike '\"[-+]?(NaN|INF|Infinity)\"'"
+        f"or (({words}) and feature_json rlike '\"[-+]?(NaN|INF|Infinity)\"')"
     )
     marked = r"regexp_replace(feature_json, ':\\s*(NaN|-?Infinity)', ':\"#$1\"')"
-    parsed = once(
-        typed,
-        [*rows.columns, "_typed"],
-        f"named_struct('_odd', {odd}, '_json', try_parse_json(case when {odd} then {marked} end))",
-    )
-    variant = "try_variant_get(_json, '$.{f}', 'variant')"
-    detailed = _entries(
-        "try_variant_get(_json, '$.{f}', 'double')",
-        kind=f"schema_of_variant({variant})",
-        text=f"cast({variant} as string)",
+    document = f"try_variant_get(try_parse_json({marked}), '$', 'map<string,variant>')"
+    values = ", ".join(f"m['{name}']" for name in FEATURE_NAMES)
+    cells = (
+        f"transform(array({document}), m -> transform(array({values}), "
+        "x -> named_struct('value', x, 'kind', schema_of_variant(x))))[0]"
     )
-    plain = "_typed.{f}"
+    kept = [*rows.columns, "_typed"]
+    parsed = typed.selectExpr(*kept, f"case when {odd} then {cells} end as _cells")
     problem = (
-        f"case when _odd then {_first_problem(detailed, _JSON_CHECK)} when not {_clean(plain)} "
-        f"then {_first_problem(_entries(plain), _TYPED_CHECK)} end"
+        f"case when _cells is not null then {_json_problem('_cells')} "
+        f"when not {_clean('_typed.{f}')} then {_typed_problem('_typed')} end"
     )
-    judged = _with_reason(parsed, [*rows.columns, "_typed", "_odd", "_json"], problem)
+    judged = _with_reason(parsed, [*kept, "_cells"], problem)
+    number = "if(_cells is null, _typed.{n}, try_variant_get(_cells[{i}].value, '$', 'double')) as {n}"
     return judged.selectExpr(
         *rows.columns,
-        *[f"if(_odd, try_variant_get(_json, '$.{n}', 'double'), _typed.{n}) as {n}" for n in FEATURE_NAMES],
+        *[number.format(n=n, i=i) for i, n in enumerate(FEATURE_NAMES)],
         "reject_reason",
         "reject_feature",
     )

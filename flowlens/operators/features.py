@@ -133,12 +133,53 @@ def interarrivals(packets: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame
     )
 
 
+#: buckets of gaps in each factor of e, and the bucket of gaps of zero
+_BUCKETS, _ZERO = 2048, -1_000_000
+
+
+def _gap_buckets(counted: DataFrame) -> DataFrame:
+    """(flow, bucket) sums of (flow, gap, count): buckets ascend with the gap and are 0.05 % wide.
+
+    ``first`` and ``second`` sum the distances from the bucket's own ``point``, which are small, so that
+    moments of the flow come out of them without cancellation.
+    """
+    bucket = f"if(interarrival = 0, {_ZERO}, cast(floor(ln(interarrival) * {_BUCKETS}) as int)) as bucket"
+    placed = counted.selectExpr(*FLOW, "interarrival", "n", bucket)
+    placed = placed.selectExpr("*", f"if(bucket = {_ZERO}, 0e0, exp(cast(bucket as double) / {_BUCKETS})) as point")
+    away = F.col("interarrival") - F.col("point")
+    return placed.groupBy(*FLOW, "bucket", "point").agg(
+        F.sum("n").alias("n"),
+        F.sum(away * F.col("n")).alias("first"),
+        F.sum(away * away * F.col("n")).alias("second"),
+        F.min("interarrival").alias("low"),
+        F.max("interarrival").alias("high"),
+    )
+
+
+def _median_gaps(counted: DataFrame, reached: DataFrame) -> DataFrame:
+    """Median gap per flow: the values at the two middle ranks, looked for in their buckets only.
+
+    ``reached`` holds each bucket's count, the flow's ``total`` and the gaps up to the bucket's end (``upto``).
+    """
+    ranks = reached.selectExpr(
+        *FLOW, "bucket", "upto - n as before", "upto",
+        "explode(array_distinct(array((total + 1) div 2, total div 2 + 1))) as rank",
+    ).where("rank > before and rank <= upto")
+    bucket = f"if(interarrival = 0, {_ZERO}, cast(floor(ln(interarrival) * {_BUCKETS}) as int)) as bucket"
+    order = Window.partitionBy(*FLOW, "bucket", "rank").orderBy("interarrival")
+    inside = counted.selectExpr(*FLOW, "interarrival", "n as gaps", bucket).join(ranks, [*FLOW, "bucket"])
+    inside = inside.withColumn("passed", F.col("before") + F.sum("gaps").over(order))
+    at = inside.where("passed >= rank and passed - gaps < rank")
+    return at.groupBy(*FLOW).agg(((F.min("interarrival") + F.max("interarrival")) / 2.0).alias("median"))
+
+
 def interarrival_features(packets: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Inter-arrival statistics per flow.
+    """Inter-arrival statistics per flow, however many gaps one flow has.
 
-    Gaps collapse to (flow, gap, count), spread by gap. Epoch stamps are doubles on a 2^-22 s grid,
-    so the distinct gaps of a flow lasting T seconds number at most sqrt(2 T 2^22), about five
-    million for a month; the exact median therefore needs bounded state per flow.
+    Gaps collapse to (flow, gap, count), spread by gap, and those to (flow, bucket): 2048 buckets for
+    every factor of e, some 60 000 between microseconds and a year. Windows run over a flow's buckets for
+    the moments and for the bucket of the middle ranks, and over that one bucket's distinct gaps for the
+    exact median: epoch stamps are doubles on a 2^-22 s grid, so that are about 2000 for each second of the gap.
     """
     counted = (
         interarrivals(packets, chunk_rows)
@@ -146,21 +187,24 @@ def interarrival_features(packets: DataFrame, chunk_rows: int = CHUNK_ROWS) -> D
         .agg(F.count("*").alias("n"))
     )
     whole = Window.partitionBy(*FLOW)
-    weighted = F.col("interarrival") * F.col("n")
-    centred = counted.withColumn(
-        "mean", F.sum(weighted).over(whole) / F.sum("n").over(whole).cast("double")
+    upto = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = (
+        _gap_buckets(counted)
+        .withColumn("total", F.sum("n").over(whole))
+        .withColumn("sum", F.sum(F.col("point") * F.col("n") + F.col("first")).over(whole))
+        .withColumn("upto", F.sum("n").over(upto))
+        .withColumn("mean", F.col("sum") / F.col("total").cast("double"))
     )
-    offset = F.col("interarrival") - F.col("mean")
-    stats = centred.groupBy(*FLOW).agg(
+    offset = F.col("point") - F.col("mean")
+    stats = reached.groupBy(*FLOW).agg(
         F.first("mean").alias("mean"),
-        F.percentile("interarrival", F.lit(0.5), F.col("n")).alias("median"),
-        F.sum(offset * offset * F.col("n")).alias("squares"),
+        F.sum(F.col("second") + 2.0 * offset * F.col("first") + offset * offset * F.col("n")).alias("squares"),
         F.sum("n").cast("double").alias("n"),
-        F.min("interarrival").alias("interarrival_min"),
-        F.max("interarrival").alias("interarrival_max"),
+        F.min("low").alias("interarrival_min"),
+        F.max("high").alias("interarrival_max"),
     )
-    std = F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1.0)))
-    raw = stats.withColumn("std", std)
+    std = F.when(F.col("n") > 1, F.sqrt(F.greatest("squares", F.lit(0.0)) / (F.col("n") - 1.0)))
+    raw = stats.withColumn("std", std).join(_median_gaps(counted, reached), FLOW)
     return raw.select(
         *FLOW,
         round_half_even("mean", 6).alias("interarrival_mean"),

@@ -46,6 +46,15 @@ def class_weights(train: DataFrame) -> DataFrame:
     return counts.select("label", (whole / (kinds * F.col("n"))).alias("weight"))
 
 
+def weighted(train: DataFrame) -> DataFrame:
+    """``train`` with the weight of each row's class, a case of one branch a class, so no row moves.
+
+    Classes are those of the contract, so their weights are a few rows.
+    """
+    branches = [F.when(F.col("label") == r["label"], F.lit(r["weight"])) for r in class_weights(train).collect()]
+    return train.withColumn("weight", F.coalesce(*branches) if branches else F.lit(None).cast("double"))
+
+
 def fit_medians(train: DataFrame) -> DataFrame:
     """Exact median of every feature and whether it had a gap, one row per feature.
 

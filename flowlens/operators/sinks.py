@@ -88,35 +88,39 @@ def export_csv(table: DataFrame, folder: str) -> None:
 
 
 def feature_documents(
-    features: DataFrame, feature_columns: list[str], per_document: int = 5000
+    features: DataFrame, feature_columns: list[str], per_document: int | None = None
 ) -> DataFrame:
-    """Feature export as JSON documents per capture.
+    """Feature export as JSON documents, one for each flow.
 
-    A document lists at most ``per_document`` flows and carries its position, so a capture with
-    many flows becomes several documents; each states the schema versions of the whole capture.
+    With ``per_document`` a document lists about so many flows of a capture and carries its position; each
+    states the schema versions of the whole capture. How many flows a capture has changes nothing else.
     """
     versions = features.groupBy("capture_id").agg(
         F.array_sort(F.collect_set("feature_schema_version")).alias("feature_schema_versions"),
         F.count("*").alias("flows"),
     )
-    parts = F.greatest(F.ceil(F.col("flows") / F.lit(per_document)), F.lit(1))
     entry = F.struct(
         "flow_key", "feature_schema_version", F.struct(*feature_columns).alias("features")
     )
-    return (
-        features.join(versions, "capture_id")
-        .withColumn("part", F.pmod(F.xxhash64("flow_key"), parts).cast("bigint"))
-        .groupBy("capture_id", "part", "feature_schema_versions")
-        .agg(F.array_sort(F.collect_list(entry)).alias("features"))
-        .select(
-            F.col("capture_id").alias("analysis_id"),
-            "part",
-            F.when(F.size("feature_schema_versions") == 1, F.col("feature_schema_versions")[0]).alias(
-                "feature_schema_version"
-            ),
-            "feature_schema_versions",
-            "features",
+    joined = features.join(versions, "capture_id")
+    key = F.xxhash64("flow_key")
+    if per_document is None:
+        listed = joined.select("capture_id", key.alias("part"), "feature_schema_versions", F.array(entry).alias("features"))
+    else:
+        parts = F.greatest(F.ceil(F.col("flows") / F.lit(per_document)), F.lit(1))
+        listed = (
+            joined.withColumn("part", F.pmod(key, parts).cast("bigint"))
+            .groupBy("capture_id", "part", "feature_schema_versions")
+            .agg(F.array_sort(F.collect_list(entry)).alias("features"))
         )
+    return listed.select(
+        F.col("capture_id").alias("analysis_id"),
+        "part",
+        F.when(F.size("feature_schema_versions") == 1, F.col("feature_schema_versions")[0]).alias(
+            "feature_schema_version"
+        ),
+        "feature_schema_versions",
+        "features",
     )
 
 

@@ -38,8 +38,7 @@ def training_frame(train: DataFrame) -> tuple[DataFrame, dict, list[str]]:
     learnt = {row["feature"]: row for row in model.fit_medians(train).collect()}  # 27 rows
     medians = {name: learnt[name]["median"] for name in FEATURE_NAMES}
     indicators = [name for name in FEATURE_NAMES if learnt[name]["had_gap"]]
-    weighted = train.join(model.class_weights(train), "label")
-    return model.impute(weighted, medians, indicators), medians, indicators
+    return model.impute(model.weighted(train), medians, indicators), medians, indicators
 
 
 def scored_for_metrics(rows: DataFrame, fitted: PipelineModel) -> DataFrame:

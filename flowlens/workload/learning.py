@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from flowlens.contract import FEATURE_NAMES, FEATURES, TRAFFIC_CLASSES
 from flowlens.operators import dataset as ds
 from flowlens.operators import metrics, model, predictions, views
-from flowlens.plans import scoring, training
+from flowlens.plans import assessment, scoring, training
 from flowlens.session import shared_folder
 from flowlens.workload.base import micros_sql, read
 from flowlens.workload.stored import stored
@@ -446,9 +446,9 @@ QUERIES = {
     "F14_capture_search": lambda s, d: views.search_captures(_captures(s, d), "CUSTOMER#00000004").select(
         "capture_id"
     ),
-    "F15_assessable_gate": lambda s, d: _jobs(s, d).where("status = 'completed'").groupBy("capture_id").agg(
-        F.count("*").alias("analyses")
-    ),
+    "F15_assessable_gate": lambda s, d: assessment.assessable(
+        _jobs(s, d).drop("status"), _jobs(s, d).select("capture_id", "status")
+    ).groupBy("capture_id").agg(F.count("*").alias("analyses")),
     "J13_latest_job": _latest_job,
     "A30_dashboard_counts": _dashboard,
     "L2_page": lambda s, d: views.page(
@@ -737,7 +737,8 @@ ORACLES = {
     "F14_capture_search": """select concat('CAP-', lpad(cast(c_custkey as varchar), 6, '0')) as capture_id from customer
       where contains(lower(concat(c_name, '.pcap')), 'customer#00000004')""",
     "F15_assessable_gate": _JOBS_SQL
-    + " select capture_id, count(*) as analyses from jobs where status = 'completed' group by 1",
+    + """ select capture_id, count(*) as analyses from jobs
+      where capture_id in (select capture_id from jobs where status = 'completed') group by 1""",
     "J13_latest_job": _JOBS_SQL
     + """, rk as (select *, row_number() over (partition by capture_id order by created_at desc, job_id) as rn from jobs)
       select concat('CAP-', lpad(cast(c_custkey as varchar), 6, '0')) as capture_id, job_id, status from customer

@@ -407,13 +407,28 @@ def _csv(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _json(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of one flow, and of about fifty, summed up per capture after being read back."""
     rows = stored(spark, folder, "features", feature_table)
-    documents = sinks.feature_documents(rows, ["packet_count", "byte_count"])
-    return documents.select(
-        "analysis_id", "part", "feature_schema_version", F.size("features").alias("flows"),
-        F.aggregate("features", F.lit(0).cast("bigint"), lambda a, e: a + e["features"]["packet_count"]).alias("packets"),
-        F.col("features")[0]["flow_key"].alias("first_flow"),
-    )
+    parts = []
+    for per_document in (None, 50):
+        target = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+        sinks.export_json(sinks.feature_documents(rows, ["packet_count", "byte_count"], per_document), target)
+        found = spark.read.schema(
+            "analysis_id string, part long, feature_schema_version string, "
+            "features array<struct<flow_key:string, features:struct<packet_count:long, byte_count:long>>>"
+        ).json(target)
+        parts.append(
+            found.select("analysis_id", "part", "feature_schema_version", F.explode("features").alias("f"))
+            .groupBy("analysis_id", "feature_schema_version")
+            .agg(
+                F.lit("flow" if per_document is None else "fifty").alias("documents_of"),
+                (F.count_distinct("part") > 1).alias("several"),
+                F.count("*").alias("flows"),
+                F.sum("f.features.packet_count").alias("packets"),
+                F.min("f.flow_key").alias("first_flow"),
+            )
+        )
+    return parts[0].unionByName(parts[1])
 
 
 def _deleted(spark: SparkSession, folder: str) -> DataFrame:
@@ -576,8 +591,10 @@ ORACLES = {
       cast(packet_count as varchar) as packet_count, direction,
       concat('["', protocol, '","', direction, '"]') as tags from flow""",
     "S10_json_export": FLOWS_SQL
-    + """ select capture_id as analysis_id, 0 as part, '1.0' as feature_schema_version, count(*) as flows,
-      cast(sum(packet_count) as bigint) as packets, min(flow_key) as first_flow from flow group by 1""",
+    + """ select capture_id as analysis_id, '1.0' as feature_schema_version, documents_of,
+      count(*) > case documents_of when 'flow' then 1 else 50 end as several, count(*) as flows,
+      cast(sum(packet_count) as bigint) as packets, min(flow_key) as first_flow
+      from flow, (values ('flow'), ('fifty')) as d(documents_of) group by 1, 2, documents_of""",
     "S11_delete_cascade": FLOWS_SQL
     + """ select capture_id, count(*) as rows, 'packets' as table_name from pkt
       where cast(substr(capture_id, 5) as int) % 3 <> 0 group by 1 union all

@@ -57,6 +57,31 @@ def test_size_statistics(table):
     assert row["packet_size_std"] == 141.42
 
 
+def test_gaps_of_a_flow_with_most_packets(spark):
+    r = random.Random(9)
+    gaps = {
+        "hot": [r.choice([0.0, 0.25, r.randrange(1, 1 << 12) / 4096, float(r.randrange(2000))]) for _ in range(8001)],
+        "even": [3.0, 0.5, 1e-3, 700.0], "odd": [3.0, 0.5, 700.0], "zero": [0.0] * 6 + [1.0],
+        "edge": [0.0, 1.0], "near": [1.0, 1.0 + 2**-20, 1.0 + 2**-19, 1.0 + 2**-18], "same": [0.125] * 9,
+    }
+    rows = []
+    for name, own in gaps.items():
+        at = 1_700_000_000.0
+        for i, gap in enumerate([0.0, *own]):
+            at += gap
+            rows.append(packet(name, i + 1, at, 60))
+    found = features.interarrival_features(spark.createDataFrame(rows, DDL), 1000).collect()
+    assert {r["capture_id"] for r in found} == set(gaps)
+    for row in found:
+        own = [
+            b[2] - a[2] for a, b in zip(rows, rows[1:], strict=False) if a[0] == b[0] == row["capture_id"]
+        ]
+        assert row["interarrival_mean"] == pytest.approx(statistics.mean(own), abs=2e-6)
+        assert row["interarrival_median"] == pytest.approx(statistics.median(own), abs=6e-7)
+        assert row["interarrival_std"] == pytest.approx(statistics.stdev(own), rel=1e-7, abs=2e-6)
+        assert (row["interarrival_min"], row["interarrival_max"]) == (min(own), max(own))
+
+
 def test_direction_ratio(table):
     assert table["turns"]["direction_ratio"] == 0.6667
 
