@@ -3,12 +3,15 @@
 A forgiving tokenizer feeds a tree builder that adds the tags HTML implies (ends of paragraphs, list
 items, cells, rows; starts of rows) and ignores ends that match nothing. The tree is then laid out:
 blocks on lines of their own with blank lines around paragraphs, headings and the like, list markers
-with nesting, preformatted text as it is, table cells padded to common column widths. Text that a
-browser does not show (scripts, styles, the head, hidden elements, comments) is left out; all other
-text is kept whole.
-
-Work and memory grow in proportion to a page, whatever its tags; depth is held in lists, not on the
-call stack. Defined results: a null page has null text, an empty or tagless page its own text with
+with nesting, preformatted text as it is, table cells padded to common column widths, which cells over
+several columns widen. Text that a browser does not show (scripts, styles, the head, comments, what is not
+displayed, what is invisible and not made visible again inside) is left out; all other text is kept whole,
+that of formulas and drawings too.
+
+Work and memory grow in proportion to a page: the spaces that align a table stay within a multiple of
+its text (``PADDING``), and where columns would need more, longer cells push the next ones aside. Tables are laid
+out from the inside, so depth is held in lists, not on the call stack; the text of a table in tables is
+placed once for each of them. Defined results: a null page has null text, an empty or tagless page its own text with
 white space collapsed; repeated rows are laid out each; an empty table gives an empty result. All
 columns pass through, but for one that has the result's name.
 """
@@ -33,7 +36,7 @@ VOID = set("area base br col embed hr img input link meta source track wbr".spli
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = set(
     "script style template head title meta link base noembed noframes iframe noscript datalist "
-    "audio video canvas svg math object param area rp".split()
+    "audio video canvas param area rp desc metadata annotation annotation-xml".split()
 )
 CLOSES_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure "
@@ -73,19 +76,22 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _GAP = re.compile(r"[ \t\n\r\f]+")
-_TABLE_DEPTH = 20
+#: spaces that align a table's columns, at most so many for each visible character of it and each line
+PADDING, LINE_PADDING = 4, 40
 
 
 class Element:
     """A tag with its attributes, and texts and elements inside."""
 
-    __slots__ = ("name", "attributes", "inside")
+    __slots__ = ("name", "attributes", "inside", "lines")
 
     def __init__(self, name: str, rest: str = ""):
         self.name = name
         self.inside: list[Element | str] = []
+        self.lines: list[str] = []  # of a table that is laid out
         self.attributes = {}
         if rest.strip("/ \n\t"):
             for key, value in _ATTRIBUTE.findall(rest):
@@ -95,7 +101,7 @@ class Element:
         """Whether a browser shows the element."""
         if self.name in UNSEEN or "hidden" in self.attributes:
             return False
-        return not self.attributes or not _HIDING.search(self.attributes.get("style", ""))
+        return not self.attributes or not _GONE.search(self.attributes.get("style", ""))
 
     def number(self, key: str, usual: int) -> int:
         found = re.match(r"\s*-?\d{1,9}", self.attributes.get(key, ""))
@@ -259,8 +265,25 @@ def _marker(element: Element, lists: list[list]) -> str:
     return f"{number}. "
 
 
-def lay_out(root: Element, depth: int = 0) -> list[str]:
-    """Lines of an element's visible text."""
+def settle(root: Element) -> list[Element]:
+    """Empty what ``visibility`` hides, which children may show again; the tables, outer ones first."""
+    tables, work = [], [(root, False)]
+    while work:
+        element, hidden = work.pop()
+        if element.attributes and (own := _VISIBILITY.findall(element.attributes.get("style", ""))):
+            hidden = own[-1].lower() != "visible"
+        if element.name == "table":
+            tables.append(element)
+        if hidden:
+            element.inside = [x for x in element.inside if isinstance(x, Element)]
+            if element.name in ("img", "input", "hr"):
+                element.name = "span"
+        work += [(x, hidden) for x in element.inside if isinstance(x, Element)]
+    return tables
+
+
+def lay_out(root: Element) -> list[str]:
+    """Lines of an element's visible text; tables inside have their lines already."""
     page, lists, exact = _Page(), [], 0
     work: list[tuple[bool, Element | str]] = [(False, x) for x in reversed(root.inside)]
     while work:
@@ -303,8 +326,8 @@ def lay_out(root: Element, depth: int = 0) -> list[str]:
             page.exact("---")
             page.block(1)
             continue
-        if name == "table" and depth < _TABLE_DEPTH:
-            for line in _table(item, depth + 1):
+        if name == "table":
+            for line in item.lines:
                 page.exact(line)
                 page.block(0)
             page.block(1)
@@ -356,45 +379,90 @@ def _rows(table: Element) -> tuple[list[Element], list[list[Element]]]:
     return other, rows
 
 
-def _table(table: Element, depth: int) -> list[str]:
-    """Lines of a table whose columns are padded to their widest cell."""
-    other, rows = _rows(table)
-    out = []
-    for x in other:
-        holder = Element("div")
-        holder.inside.append(x)
-        out += lay_out(holder, depth)
-    placed: list[list[tuple[int, int, list[str]]]] = []
+_Cells = list[tuple[int, int, list[str]]]  # column, columns spanned, lines
+
+
+def _placed(rows: list[list[Element]]) -> list[_Cells]:
+    """The cells of every row with the columns that spans leave to them."""
+    placed: list[_Cells] = []
     taken: dict[int, int] = {}  # column: rows for which a cell from above still holds it
-    widths: dict[int, int] = {}
     for cells in rows:
         row, column, held = [], 0, {c: n - 1 for c, n in taken.items() if n > 1}
         for cell in cells:
             while taken.get(column, 0) > 0:
                 column += 1
             span = min(max(1, cell.number("colspan", 1)), MOST_COLUMNS)
-            lines = lay_out(cell, depth)
-            row.append((column, span, lines))
-            if span == 1:
-                widths[column] = max(widths.get(column, 0), max(map(len, lines), default=0))
+            row.append((column, span, lay_out(cell)))
             down = min(max(1, cell.number("rowspan", 1)), len(rows))
             if down > 1:
                 held |= {c: down - 1 for c in range(column, column + span)}
             column += span
         taken = held
         placed.append(row)
+    return placed
+
+
+def _widths(placed: list[_Cells], most: int) -> dict[int, int]:
+    """Widths of the columns, none counted above ``most``; a cell over several widens the last of them."""
+    widths: dict[int, int] = {}
+    wide = []
+    for row in placed:
+        for column, span, lines in row:
+            own = min(max(map(len, lines), default=0), most)
+            if span == 1:
+                widths[column] = max(widths.get(column, 0), own)
+            else:
+                wide.append((column, span, own))
     columns = sorted(widths)
-    starts = [0, *accumulate(widths[c] + 2 for c in columns)]
+    for column, span, own in wide:
+        inside = columns[bisect_left(columns, column) : bisect_left(columns, column + span)]
+        if inside:
+            held = sum(widths[c] for c in inside) + 2 * (len(inside) - 1)
+            widths[inside[-1]] += max(0, own - held)
+    return widths
+
+
+def _aligned(placed: list[_Cells]) -> tuple[list[int], list[int]]:
+    """Columns and where they start, so that the spaces before cells stay in proportion to the text."""
+    lines = [x for row in placed for _, _, own in row for x in own]
+    heights = [max((len(own) for _, _, own in row), default=0) for row in placed]
+    bound = PADDING * sum(len(x) - x.count(" ") for x in lines) + LINE_PADDING * sum(heights)
+    for most in (max(map(len, lines), default=0), 256, 64, 16, 0):
+        widths = _widths(placed, most)
+        starts = [0, *accumulate(widths[c] + 2 for c in sorted(widths))]
+        columns = sorted(widths)
+        padded = sum(
+            max((starts[bisect_left(columns, column)] for column, _, own in row if k < len(own)), default=0)
+            for row, height in zip(placed, heights, strict=True)
+            for k in range(height)
+        )
+        if padded <= bound:
+            break
+    return columns, starts
+
+
+def _table(table: Element) -> list[str]:
+    """Lines of a table whose columns start below each other, as far as ``PADDING`` allows."""
+    other, rows = _rows(table)
+    out = []
+    for x in other:
+        holder = Element("div")
+        holder.inside.append(x)
+        out += lay_out(holder)
+    placed = _placed(rows)
+    columns, starts = _aligned(placed)
     for row in placed:
         height = max((len(lines) for _, _, lines in row), default=0)
         for k in range(height):
-            line = ""
+            parts, length = [], 0
             for column, _, lines in row:
-                text = lines[k] if k < len(lines) else ""
+                if k >= len(lines) or not lines[k]:
+                    continue
                 start = starts[bisect_left(columns, column)]
-                line = line.ljust(start) if len(line) <= start else line + "  "
-                line += text
-            out.append(line.rstrip(" "))
+                gap = start - length if length <= start else 2
+                parts += [" " * gap, lines[k]]
+                length += gap + len(lines[k])
+            out.append("".join(parts).rstrip(" "))
     return out
 
 
@@ -402,7 +470,10 @@ def text_of(html: str | None) -> str | None:
     """Visible text of a page."""
     if html is None:
         return None
-    lines = lay_out(parse(html))
+    root = parse(html)
+    for table in reversed(settle(root)):  # inner ones first
+        table.lines = _table(table)
+    lines = lay_out(root)
     return "\n".join(lines).strip("\n").replace("\xa0", " ")
 
 

@@ -31,9 +31,16 @@ from flowlens.llm.html_text import extract_text, text_of
         ("</p>a</div></b>b", "ab"),
         ("<b><p>x</b>y</p>z", "x\n\nyz"),
         ("<input value=v><input type=hidden value=h><img alt='pic'>", "v pic"),
+        ("<table><tr><td colspan=2>long long heading<td>c<tr><td>a<td>b<td>d</table>",
+         "long long heading  c\na  b               d"),
+        ("<div style='visibility: hidden'>n<p>m<b style='visibility:visible'>v</b><img alt=i></div>w", "v\n\nw"),
+        ("<p style='visibility:hidden; visibility:visible'>v", "v"),
+        ("<b style=\"content:'display:none'\">v</b>", "v"),
+        ("<svg><title>t</title><text>s</text><desc>d</desc></svg><math><mi>x</mi></math><object>f</object>", "sxf"),
+        ("<table><tr><td>a<td><table><tr><td>x<td>y<tr><td>longer<td>z</table></table>", "a  x       y\n   longer  z"),
         ("", ""),
         (None, None),
-    ],
+    ],
 )
 def test_layout(html, text):
     found = text_of(html)
@@ -56,6 +63,35 @@ def test_odd_pages_end_quickly(html):
     assert time.process_time() - start < 10
 
 
+def test_padding_stays_in_proportion():
+    rows = "".join(f"<tr><td>k{i}<td>v{i}" for i in range(1600))
+    page = f"<table>{rows}<tr><td>{'word ' * 3200}<td>end</table>"
+    found = text_of(page)
+    assert len(found) < 6 * len(page)
+    lines = found.split("\n")
+    assert len(lines) == 1601 and len({line.index("v") for line in lines[:1600]}) == 1
+    assert [line.split() for line in lines[:1600]] == [[f"k{i}", f"v{i}"] for i in range(1600)]
+    assert lines[-1].split() == ["word"] * 3200 + ["end"]
+
+
+def _cells(rows, widths):
+    """Rows of plain cells, every column as wide as its widest cell and two spaces more."""
+    return "\n".join(
+        "".join(c.ljust(w + 2) for c, w in zip(row, widths, strict=True)).rstrip() for row in rows
+    )
+
+
+def test_tables_equal_plain_padding():
+    import random
+
+    r = random.Random(3)
+    for _ in range(60):
+        n = r.randrange(1, 6)
+        rows = [["x" * r.randrange(1, 12) for _ in range(n)] for _ in range(r.randrange(1, 8))]
+        html = "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in row) for row in rows) + "</table>"
+        assert text_of(html) == _cells(rows, [max(map(len, c)) for c in zip(*rows, strict=True)])
+
+
 def test_table(spark):
     pages = spark.createDataFrame(
         [(1, "<p>a", "old"), (1, "<p>a", "old"), (None, None, None), (2, "", "x")],
