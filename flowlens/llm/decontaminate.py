@@ -49,6 +49,24 @@ class Phrases(NamedTuple):
     items: np.ndarray
 
 
+def _windows(hashes: np.ndarray, width: int) -> list[bytes]:
+    """The distinct windows of an item's word hashes."""
+    if not len(hashes):
+        return []
+    return list({hashes[at : at + width].tobytes(): None for at in range(max(1, len(hashes) - width + 1))})
+
+
+def _phrases(holders: dict[bytes, list[str]], width: int) -> Phrases:
+    """Windows with the items that hold them."""
+    windows = np.zeros((len(holders), width), dtype=np.uint64)
+    sizes = np.array([len(k) // 8 for k in holders], dtype=np.int64)
+    for i, k in enumerate(holders):
+        windows[i, : sizes[i]] = np.frombuffer(k, dtype=np.uint64)
+    counts = [len(v) for v in holders.values()]
+    items = np.array([x for v in holders.values() for x in sorted(v)], dtype=object)
+    return Phrases(windows, sizes, np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), items)
+
+
 def phrases_of(item_ids: list[str], texts: list[str | None], width: int = WINDOW) -> Phrases:
     """The distinct windows of some items."""
     data, bounds = W.column_bytes(pa.array(texts, pa.string()))
@@ -57,16 +75,64 @@ def phrases_of(item_ids: list[str], texts: list[str | None], width: int = WINDOW
     hashes = W.hashes(data, words)
     holders: dict[bytes, set[str]] = {}
     for i, item in enumerate(item_ids):
-        own = hashes[words.bounds[i] : words.bounds[i + 1]]
-        for at in range(max(1, len(own) - width + 1) if len(own) else 0):
-            holders.setdefault(own[at : at + width].tobytes(), set()).add(item)
-    windows = np.zeros((len(holders), width), dtype=np.uint64)
-    sizes = np.array([len(k) // 8 for k in holders], dtype=np.int64)
-    for i, k in enumerate(holders):
-        windows[i, : sizes[i]] = np.frombuffer(k, dtype=np.uint64)
-    counts = [len(v) for v in holders.values()]
-    items = np.array([x for v in holders.values() for x in sorted(v)], dtype=object)
-    return Phrases(windows, sizes, np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), items)
+        for window in _windows(hashes[words.bounds[i] : words.bounds[i + 1]], width):
+            holders.setdefault(window, set()).add(item)
+    return _phrases({k: list(v) for k, v in holders.items()}, width)
+
+
+def phrase_blocks(benchmark: DataFrame, width: int, most: int) -> DataFrame:
+    """The benchmark's distinct windows and their items, packed in rows of about ``most`` bytes.
+
+    A window that many items hold may lie in several rows, each with some of the items.
+    """
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("body"))
+    items = items.where("item is not null and body is not null")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = W.column_bytes(batch["body"])
+            for a, b in W.blocks(bounds, SHARD_BYTES):
+                own = W.LOWER[data[bounds[a] : bounds[b]]]
+                words = W.split(own, bounds[a : b + 1] - bounds[a], W.ALNUM)
+                hashes = W.hashes(own, words)
+                for i in range(b - a):
+                    found = _windows(hashes[words.bounds[i] : words.bounds[i + 1]], width)
+                    names = pa.array([batch["item"][a + i].as_py()] * len(found), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), names], ["window", "item"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holders: dict[bytes, list[str]] = {}
+        held = 0
+        for batch in batches:
+            for window, item in zip(batch["window"].to_pylist(), batch["item"].to_pylist(), strict=True):
+                if held > most:
+                    yield _packed(_phrases(holders, width))
+                    holders, held = {}, 0
+                held += len(item) + (0 if window in holders else 8 * width)
+                holders.setdefault(window, []).append(item)
+        if holders:
+            yield _packed(_phrases(holders, width))
+
+    windows = store(items.mapInArrow(cut, "window binary, item string").distinct(), "benchmark-windows")
+    parts = max(1, windows.count() * 8 * width // most)
+    dealt = windows.repartition(parts, "window").sortWithinPartitions("window", "item")
+    return dealt.mapInArrow(pack, _BLOCK)
+
+
+_BLOCK = "windows binary, sizes binary, bounds binary, items array<string>"
+
+
+def _packed(phrases: Phrases) -> pa.RecordBatch:
+    columns = [pa.array([x.tobytes()], pa.binary()) for x in phrases[:3]]
+    items = pa.array([phrases.items.tolist()], pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([*columns, items], ["windows", "sizes", "bounds", "items"])
+
+
+def _unpacked(row, width: int) -> Phrases:
+    windows, sizes, bounds = (
+        np.frombuffer(row[c], t) for c, t in (("windows", "<u8"), ("sizes", "<i8"), ("bounds", "<i8"))
+    )
+    return Phrases(windows.reshape(-1, width), sizes, bounds, np.array(row["items"], dtype=object))
 
 
 def _pieces(bounds: np.ndarray, most: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,22 +256,6 @@ def _search(docs: DataFrame, phrases: Phrases, last: bool) -> DataFrame:
     return docs.mapInArrow(task, schema)
 
 
-def _blocks(benchmark: DataFrame, width: int, most: int) -> Iterator[Phrases]:
-    """The benchmark's phrases in blocks whose text is bounded by ``most`` characters."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(
-        "item_id is not null and text is not null"
-    )
-    ids, texts, held = [], [], 0
-    for row in items.withColumnRenamed("text", "body").toLocalIterator():
-        if texts and held + len(row["body"]) > most:
-            yield phrases_of(ids, texts, width)
-            ids, texts, held = [], [], 0
-        ids.append(row["item"])
-        texts.append(row["body"])
-        held += len(row["body"])
-    yield phrases_of(ids, texts, width)
-
-
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, phrase_bytes: int = PHRASE_BYTES
 ) -> DataFrame:
@@ -213,21 +263,44 @@ def find_contamination(
 
     Result, one row for each row of ``docs``: the struct ``row`` of all its columns, ``n_words``,
     ``n_hit`` (words inside an occurrence), ``items`` (ids of the items that occur, sorted as
-    strings) and ``spans`` (merged character ranges to remove). A benchmark of more than ``phrase_bytes`` is searched in blocks,
-    one pass over the documents each; a pass adds to what the one before has found.
+    strings) and ``spans`` (merged character ranges to remove). Windows are cut, made distinct and packed by
+    Spark; those of more than ``phrase_bytes`` are searched in blocks. Each pass over the texts then leaves
+    the hits only, which meet their documents once, at the end.
     """
-    nothing = {
+    blocks = store(phrase_blocks(benchmark, width, phrase_bytes), "benchmark-blocks")
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    several = blocks.count() > 1
+    if several:
+        # numbers that passes share are stored, for a scan may be dealt out otherwise another time
+        carried = store(carried.withColumn("at", F.monotonically_increasing_id()), "decontaminate-rows")
+    searched = carried.select(F.struct("at", "row.text").alias("row")) if several else carried
+    searched = searched.withColumns(_nothing())
+    hits, phrases = [], phrases_of([], [], width)
+    for block in blocks.toLocalIterator():
+        phrases = _unpacked(block, width)
+        if several:
+            found = _search(searched, phrases, last=False).where("size(items) > 0")
+            hits.append(store(found.select("row.at", "items", "ranges"), "decontaminate-hits"))
+    if not several:
+        return _search(searched, phrases, last=True)
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.unionByName(more)
+    by_row = every.groupBy("at").agg(
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+        F.flatten(F.collect_list("ranges")).alias("ranges"),
+    )
+    joined = carried.join(by_row, "at", "left").select(
+        "row", *[F.coalesce(c, nothing).alias(c) for c, nothing in _nothing().items()]
+    )
+    return _search(joined, phrases_of([], [], width), last=True)
+
+
+def _nothing() -> dict[str, Column]:
+    return {
         "items": F.expr("cast(array() as array<string>)"),
         "ranges": F.expr(f"cast(array() as {_SPANS})"),
     }
-    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    carried = carried.withColumns(nothing)
-    waiting = None
-    for phrases in _blocks(benchmark, width, phrase_bytes):
-        if waiting is not None:
-            carried = store(_search(carried, waiting, last=False), "decontaminate")
-        waiting = phrases
-    return _search(carried, waiting, last=True)
 
 
 def contaminated() -> Column:

@@ -78,6 +78,37 @@ def test_equals_a_scan(spark):
             assert inside == r["n_hit"]
 
 
+def test_blocks_hold_every_window_and_item(spark):
+    _, items = _sample()
+    items = [*items, *[(100 + i, items[0][1]) for i in range(50)]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    named = [(str(i), t) for i, t in items if i is not None and t is not None]
+    whole = decontaminate.phrases_of([i for i, _ in named], [t for _, t in named])
+
+    def pairs(phrases):
+        return {
+            (phrases.windows[k, : phrases.sizes[k]].tobytes(), item)
+            for k in range(len(phrases.sizes))
+            for item in phrases.items[phrases.bounds[k] : phrases.bounds[k + 1]]
+        }
+
+    for most in (1 << 20, 2000):
+        blocks = decontaminate.phrase_blocks(bench, decontaminate.WINDOW, most).collect()
+        found = [pairs(decontaminate._unpacked(b, decontaminate.WINDOW)) for b in blocks]
+        assert set().union(*found) == pairs(whole) and sum(map(len, found)) == len(pairs(whole))
+        assert len(blocks) > 3 if most == 2000 else len(blocks) == 1
+
+
+def test_passes_store_hits_only(spark, monkeypatch):
+    docs, items = _sample()
+    names = []
+    before = decontaminate.store
+    monkeypatch.setattr(decontaminate, "store", lambda df, name: names.append((name, df.columns)) or before(df, name))
+    found(spark, docs, items, phrase_bytes=300)
+    assert sum(n == "decontaminate-rows" for n, _ in names) == 1
+    assert all(c == ["at", "items", "ranges"] for n, c in names if n == "decontaminate-hits")
+
+
 def test_pieces_of_a_long_text_change_nothing():
     docs, items = _sample()
     phrases = decontaminate.phrases_of([str(i) for i, _ in items], [t for _, t in items])
