@@ -411,7 +411,11 @@ def _cells(rests: DataFrame, percent: int) -> DataFrame:
     own = rests.withColumn("own", band(F.col("size")))
     # one band more on both sides, for logarithms are rounded
     low, high = band(F.greatest(least, F.lit(1))) - 1, band(F.least(most, reach)) + 1
-    able = own.where(F.least(most, reach) >= least).withColumn("other", F.explode(F.sequence(low, high)))
+    # only bands that a class of another component is in
+    ends = [F.min("comp").alias("c0"), F.max("comp").alias("c1")]
+    bands = own.groupBy("gram", F.col("own").alias("other")).agg(*ends)
+    able = own.where(F.least(most, reach) >= least).withColumns({"low": low, "high": high}).join(bands, "gram")
+    able = able.where("other between low and high and (c0 <> comp or c1 <> comp)")
     cells = able.select(
         "gram", F.least("own", "other").alias("small"), F.greatest("own", "other").alias("large"),
         "id", "comp", (F.col("own") >= F.col("other")).alias("is_large"), (F.col("own") <= F.col("other")).alias("is_small"),
@@ -432,7 +436,7 @@ def _crowds(texts: DataFrame, known: DataFrame, crowded: DataFrame, frequent, wi
     """
     held = known.join(crowded, "gram").select("id", "comp").distinct()
     rests = _rests(texts.join(held, "id", "left_semi"), frequent, width, percent)
-    rests = rests.join(crowded, "gram", "left_semi").join(held, "id")
+    rests = store(rests.join(crowded, "gram", "left_semi").join(held, "id"), "jaccard-rests")
     cells = store(_cells(rests, percent), "jaccard-cells")
     cell = ["gram", "small", "large"]
     ends = cells.groupBy(*cell).agg(F.min("id").alias("b")).join(cells.select(*cell, "id"), cell)
