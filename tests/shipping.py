@@ -37,6 +37,8 @@ def load_elsewhere(functions: list, folder) -> None:
     file.write_bytes(cloudpickle.dumps(functions))
     code = (
         "import pickle, sys; sys.path = [p for p in sys.path if p]; "
+        # workers get broadcasts' values apart from the functions
+        "import pyspark.core.broadcast as b; b._from_id = lambda number: None; "
         "assert pickle.load(open(sys.argv[1], 'rb')); "
         "assert not any(m.split('.')[0] == 'flowlens' for m in sys.modules)"
     )
