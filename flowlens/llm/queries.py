@@ -149,7 +149,7 @@ def periodic(docs: DataFrame) -> DataFrame:
     words = F.filter(F.split("text", "[ \t-\r]+"), lambda w: w != "")
     docs = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary")))
     docs = docs.withColumn("words", F.when(F.expr("h % 10 = 0"), words))
-    sizes = docs.selectExpr("*", "size(words) as n", "h div 10 as g").selectExpr("*", "g % n as a")
+    sizes = docs.selectExpr("*", "size(words) as n", "h div 10 as g").selectExpr("*", "g % nullif(n, 0) as a")
     return sizes.selectExpr("*", "1 + (n - a) div (3 + g % 8) as p").selectExpr(
         "doc_id",
         """if(n > 0, array_join(transform(sequence(0, n - 1),

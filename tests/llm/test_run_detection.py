@@ -128,3 +128,11 @@ def test_query_equals_plain_version(spark):
         expected[doc["doc_id"]] = (len(runs), *best, milli, *digests)
     got = {r[0]: tuple(r[1:]) for r in queries.op11_run_detection(spark, FOLDER).collect()}
     assert got == expected and found > 5
+
+
+def test_texts_without_words_are_not_made_periodic(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    rows = [(i, t) for i in ids[:4] for t in (None, "", " \n", "one", "a b")] + [(None, "x y z"), (None, None)]
+    out = queries.periodic(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r["doc_id"] or -1, split(r["text"])[:1]) for r in out)
+    assert got == sorted((i or -1, split(t)[:1]) for i, t in rows)
