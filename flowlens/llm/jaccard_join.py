@@ -525,7 +525,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
             break
     nodes = active.join(labels, F.col("id") == F.col("node"), "left")
     nodes = store(nodes.select("id", "size", F.coalesce("label", "id").alias("comp")), "jaccard-nodes")
-    more = probe(texts, _remaining(texts, known, nodes, frequent, width, percent), frequent, width, percent)
+    # stored, since a probe reads its pairs several times and would plan all that leads to them each time
+    pairs = store(_remaining(texts, known, nodes, frequent, width, percent), "jaccard-pairs")
+    more = store(probe(texts, pairs, frequent, width, percent), "links")
 
     several = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     reps = classes.select("d1", "d2", F.col("id").alias("rep"))
