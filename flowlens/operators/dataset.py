@@ -110,8 +110,8 @@ def _clean(value: str) -> str:
 def _with_reason(rows: DataFrame, columns: list[str], problem: str) -> DataFrame:
     other_version = f"not (feature_schema_version <=> '{FEATURE_SCHEMA_VERSION}')"
     first = f"case when {other_version} then {_CODE[VERSION_MISMATCH]} else {problem} end"
-    # a projection is compiled, and one that is used more than once is not merged with the next
-    judged = rows.selectExpr(*columns, f"{first} as _problem")
+    # out of a generator: a filter on the reason would otherwise judge, and parse, every row many times over
+    judged = rows.selectExpr(*columns, f"inline(array(named_struct('_problem', {first})))")
     reasons, names = (", ".join(f"'{x}'" for x in values) for values in (_REASONS, FEATURE_NAMES))
     return judged.selectExpr(
         "* except (_problem)",

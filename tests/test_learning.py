@@ -35,6 +35,18 @@ def labelled(spark, captures: int = 5, flows: int = 10, classes=CLASSES):
     return ds.validate_features(spark.createDataFrame(rows, DDL))
 
 
+def test_counting_reasons_parses_each_document_once(spark):
+    rows = spark.createDataFrame(
+        [("1.0", "not json"), ("0.9", "{}"), (None, None), ("1.0", '{"packet_count": true}')],
+        "feature_schema_version string, feature_json string",
+    )
+    counts = ds.rejection_counts(ds.validate_feature_json(rows))
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    found = {r["reason"]: r["rows"] for r in counts.collect()}
+    assert found == {ds.VERSION_MISMATCH: 2, ds.NULL_VALUE: 1, ds.BOOLEAN: 1}
+
+
 def test_typed_validation_order(spark):
     good = feature_values(10.0, 1)
 
