@@ -116,9 +116,11 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def raw_packets(spark: SparkSession, folder: str) -> DataFrame:
-    """Flat packet rows, with the helper columns the frame builder needs."""
-    body = _SPARK.replace("from events", f"from parquet.`{folder}/events.parquet`")
+def raw_packets(spark: SparkSession, folder: str, tasks: int | None = None) -> DataFrame:
+    """Flat packet rows, with the helper columns the frame builder needs, dealt to ``tasks`` tasks."""
+    dealt = f"select /*+ repartition({tasks}) */ * from" if tasks else "select * from"
+    log = f"({dealt} parquet.`{folder}/events.parquet`)"
+    body = _SPARK.replace("from events", f"from {log}")
     rows = spark.sql(f"with {body} select * from pkt")
     # evaluated once per row; otherwise the optimiser repeats the address texts in every use
     return rows.selectExpr("inline(array(struct(*)))")

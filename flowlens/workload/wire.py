@@ -21,6 +21,8 @@ from flowlens.workload.traffic import FEATURES_SQL, FLOWS_SQL, feature_table, fl
 
 #: bytes of a file that one task reads at once, so that captures of the log spread over several
 RANGE = 1 << 18
+#: tasks for each core that build and decode frames: bytes of a frame cost far more than its row of the log
+TASKS_A_CORE = 4
 
 
 def _h(value: str, digits: int) -> str:
@@ -121,8 +123,11 @@ def frame_rows(
     spark: SparkSession, folder: str, extensions: str = "''", first_header: str | None = None,
     fragment: str = "'0000'",
 ) -> DataFrame:
-    """Frames of the packet log. Ethernet padding fills frames up to the logged length."""
-    rows = raw_packets(spark, folder)
+    """Frames of the packet log. Ethernet padding fills frames up to the logged length.
+
+    The log is small beside its frames and may be one split, so its rows are dealt out first.
+    """
+    rows = raw_packets(spark, folder, TASKS_A_CORE * spark.sparkContext.defaultParallelism)
     built = rows.selectExpr("*", f"case when kind = 'click' then {_BODY} end as body")
     built = built.selectExpr("*", f"{_UDP_DATA} as data", f"{_SRC} as src", f"{_DST} as dst")
     built = built.selectExpr(

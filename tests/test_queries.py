@@ -7,6 +7,8 @@ import os
 
 import __spark_entry__ as contract
 import pytest
+from flowlens.workload import wire
+from pyspark.sql import functions as F
 
 duckdb = pytest.importorskip("duckdb")
 FOLDER = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
@@ -71,3 +73,13 @@ def test_query_equals_sql(spark, database, name):
     order = [names.index(c) for c in columns]
     expected = [tuple(plain(r[i]) for i in order) for r in cursor.fetchall()]
     assert sorted(found, key=repr) == sorted(expected, key=repr)
+
+
+def test_frames_of_one_split_are_built_by_many_tasks(spark, tmp_path):
+    spark.sql(
+        "select id as event_id, timestamp_ntz'2024-01-01 00:00:00' as ts, id % 7 as user_id, 'click' as event_type,"
+        " 100.0e0 as value, '' as props from range(5000)"
+    ).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    rows = wire.frame_rows(spark, str(tmp_path))
+    per_task = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 5000 and len(per_task) > 1 and max(per_task) < 1000
