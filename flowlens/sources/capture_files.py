@@ -51,6 +51,8 @@ ship_by_value(__name__)
 
 #: bytes of a range; bytes read at once
 RANGE, CHUNK = 64 << 20, 4 << 20
+#: tasks for each core that small ranges are packed into, where their bytes do not ask for more
+TASKS_A_CORE = 4
 #: headers in a row that make a place a record boundary
 CHAIN = 8
 #: surveys of ranges that began at a wrong place
@@ -91,10 +93,10 @@ def _limit(total: int, count: int, range_bytes: int, least: int) -> int:
 
 
 def _dealt(rows: DataFrame, size: str, range_bytes: int) -> DataFrame:
-    """Rows in as many partitions as their bytes ask for."""
+    """Rows in as many partitions as their bytes ask for; a task takes many small ranges one after another."""
     total, count = rows.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
-    least = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(_limit(int(total), count, range_bytes, least))
+    least = TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(_limit(int(total), count, max(range_bytes, RANGE), least))
 
 
 def identify(files: DataFrame, max_bytes: int | None = None, range_bytes: int = RANGE) -> DataFrame:

@@ -211,3 +211,10 @@ def test_files_written_from_records(spark, tmp_path):
     expected = b"HEAD" + b"".join(struct.pack(">I", n) for n in (1, 2, 3))
     found = {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()}
     assert found == {"x.pcap": expected, "y.pcap": expected}
+
+
+def test_small_ranges_are_packed_into_tasks(spark):
+    ranges = spark.range(2000).selectExpr("id", "1000L as size")
+    dealt = capture_files._dealt(ranges, "size", 1000)
+    assert dealt.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert dealt.count() == 2000
