@@ -21,6 +21,9 @@ from flowlens.operators import dataset as ds
 from flowlens.operators import metrics, model
 from flowlens.session import store
 
+#: training rows a task takes before the forest is fitted by more of them
+TASK_ROWS = 1000
+
 
 @dataclass
 class TrainingResult:
@@ -41,6 +44,16 @@ def training_frame(train: DataFrame) -> tuple[DataFrame, dict, list[str]]:
     return model.impute(model.weighted(train), medians, indicators), medians, indicators
 
 
+def dealt(train: DataFrame, rows: int) -> DataFrame:
+    """``train`` over as many tasks as its rows are worth, one for each core at most.
+
+    Its bytes are few, so that it is one split, but every node of every tree is counted over its rows, and
+    the nodes' splits are found by as many tasks as there are parts.
+    """
+    parts = min(-(-rows // TASK_ROWS), train.sparkSession.sparkContext.defaultParallelism)
+    return train.repartition(parts) if parts > 1 else train
+
+
 def scored_for_metrics(rows: DataFrame, fitted: PipelineModel) -> DataFrame:
     """Label, prediction, confidence and the probability of the true class."""
     scored = model.score(rows, fitted)
@@ -78,7 +91,8 @@ def train(
     parts = {name: rows.where(F.col("split") == name) for name in ("train", "validation", "test")}
     counts = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
     ready, medians, indicators = training_frame(parts["train"])
-    fitted = model.fit_forest(store(ready, "training"), indicators, trees, depth, seed)
+    ready = dealt(store(ready, "training"), counts["train"])
+    fitted = model.fit_forest(ready, indicators, trees, depth, seed)
 
     def judged(name: str) -> DataFrame:
         return scored_for_metrics(model.impute(parts[name], medians, indicators), fitted)

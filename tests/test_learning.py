@@ -47,6 +47,13 @@ def test_counting_reasons_parses_each_document_once(spark):
     assert found == {ds.VERSION_MISMATCH: 2, ds.NULL_VALUE: 1, ds.BOOLEAN: 1}
 
 
+def test_training_rows_are_dealt_by_their_number(spark):
+    few, many = (spark.range(n).coalesce(1) for n in (900, 2500))
+    assert training.dealt(few, 900).rdd.getNumPartitions() == 1
+    assert training.dealt(many, 2500).rdd.getNumPartitions() == 3
+    assert training.dealt(many, 2500).count() == 2500
+
+
 def test_typed_validation_order(spark):
     good = feature_values(10.0, 1)
 
