@@ -179,21 +179,37 @@ def latest_analyses(analyses: DataFrame) -> DataFrame:
 
 
 def with_provenance(
-    features: DataFrame, flows: DataFrame, analyses: DataFrame, captures: DataFrame
+    features: DataFrame,
+    flows: DataFrame,
+    analyses: DataFrame,
+    captures: DataFrame,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
-    """Features with their flow, analysis and capture; a missing link is an orphan."""
-    chain = (
-        features.join(flows.select("flow_id", "flow_key", "analysis_id"), "flow_id", "left")
-        .join(analyses.select("analysis_id", "capture_id"), "analysis_id", "left")
-        .join(
-            captures.select("capture_id", "capture_sha256", F.lit(True).alias("_capture")),
-            "capture_id",
-            "left",
-        )
+    """Features with their flow, analysis and capture; a missing link is an orphan.
+
+    What is known of a capture, with ``keys`` its classes as ``labels``, is put together first and then
+    joined to the flows, so that the features move once, by their flow, and never by the few captures.
+    """
+    traced = analyses.select("analysis_id", "capture_id").join(
+        captures.select("capture_id", "capture_sha256", F.lit(True).alias("_capture")),
+        "capture_id",
+        "left",
+    )
+    known = ["capture_sha256"]
+    if keys is not None:
+        traced = traced.join(capture_labels(traced, keys), "capture_id", "left")
+        known.append("labels")
+    linked = flows.select("flow_id", "flow_key", "analysis_id").join(traced, "analysis_id", "left")
+    own = [F.col(f"`{c}`") for c in features.columns if c != "flow_id"]
+    return features.join(linked, "flow_id", "left").select(
+        "capture_id",
+        "analysis_id",
+        "flow_id",
+        *own,
+        "flow_key",
+        *known,
+        F.when(F.col("_capture").isNull(), F.lit(ORPHAN)).alias("orphan_reason"),
     )
-    return chain.withColumn(
-        "orphan_reason", F.when(F.col("_capture").isNull(), F.lit(ORPHAN))
-    ).drop("_capture")
 
 
 # ---- labels -------------------------------------------------------------------------------
@@ -229,24 +245,22 @@ def label_keys(checked: DataFrame) -> DataFrame:
     )
 
 
-def with_labels(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Class by capture id, else by content hash; NULL where neither is labelled.
+def capture_labels(captures: DataFrame, keys: DataFrame) -> DataFrame:
+    """Classes of every labelled capture as ``labels``: by its id, else by its content hash.
 
-    Labels are looked up once per capture, not once per row, and one capture row meets all its
-    feature rows; a capture holding many of them is split by the adaptive skew join.
+    These are several only where a capture has several content hashes.
     """
     by_id = keys.select(F.col("capture_key").alias("capture_id"), F.col("traffic_type").alias("_id"))
     by_sha = keys.select(
         F.col("capture_key").alias("capture_sha256"), F.col("traffic_type").alias("_sha")
     )
-    captures = rows.select("capture_id", "capture_sha256").distinct()
-    labelled = (
-        captures.join(by_id, "capture_id", "left")
+    found = captures.select("capture_id", "capture_sha256").distinct()
+    return (
+        found.join(by_id, "capture_id", "left")
         .join(by_sha, "capture_sha256", "left")
-        .select("capture_id", F.coalesce("_id", "_sha").alias("label"))
-        .where("label is not null")
+        .groupBy("capture_id")
+        .agg(F.collect_list(F.coalesce("_id", "_sha")).alias("labels"))
     )
-    return rows.join(labelled, "capture_id", "left")
 
 
 def capped(rows: DataFrame, max_rows: int | None) -> DataFrame:
@@ -266,11 +280,16 @@ def build_dataset(
 
     ``max_rows`` bounds the rows, the first by flow id, where a bounded set is wanted.
     """
-    linked = capped(with_provenance(features, flows, analyses, captures), max_rows)
+    if max_rows is None:
+        linked = with_provenance(features, flows, analyses, captures, keys)
+    else:  # the classes of the captures and hashes among the kept rows
+        linked = capped(with_provenance(features, flows, analyses, captures), max_rows)
+        linked = linked.join(capture_labels(linked, keys), "capture_id", "left")
     checked = validate_features(linked)
     reason = F.coalesce("orphan_reason", "reject_reason")
-    judged = checked.withColumn("reject_reason", reason).drop("orphan_reason")
-    return with_labels(judged, keys)
+    judged = checked.withColumn("reject_reason", reason)
+    # a row for each class of its capture, and one without where there is none
+    return judged.select("*", F.explode_outer("labels").alias("label")).drop("orphan_reason", "labels")
 
 
 def samples(dataset: DataFrame) -> DataFrame:
