@@ -114,9 +114,10 @@ def phrase_blocks(benchmark: DataFrame, width: int, most: int) -> DataFrame:
             yield _packed(_phrases(holders, width))
 
     windows = store(items.mapInArrow(cut, "window binary, item string").distinct(), "benchmark-windows")
+    # dealt by as many keys as blocks are needed: rows follow the keys, however many partitions there are
     parts = max(1, windows.count() * 8 * width // most)
-    dealt = windows.repartition(parts, "window").sortWithinPartitions("window", "item")
-    return dealt.mapInArrow(pack, _BLOCK)
+    dealt = windows.repartition(F.pmod(F.xxhash64("window"), F.lit(parts)))
+    return dealt.sortWithinPartitions("window", "item").mapInArrow(pack, _BLOCK)
 
 
 _BLOCK = "windows binary, sizes binary, bounds binary, items array<string>"

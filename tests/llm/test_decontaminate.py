@@ -99,6 +99,25 @@ def test_blocks_hold_every_window_and_item(spark):
         assert len(blocks) > 3 if most == 2000 else len(blocks) == 1
 
 
+def test_blocks_do_not_follow_the_number_of_partitions(spark, monkeypatch):
+    _, items = _sample()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    before = type(bench).repartition
+
+    def more(self, n, *columns):
+        return before(self, max(n, 40) if columns and isinstance(n, int) else n, *columns)
+
+    monkeypatch.setattr(type(bench), "repartition", more)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert decontaminate.phrase_blocks(bench, decontaminate.WINDOW, 1 << 20).count() == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_passes_store_hits_only(spark, monkeypatch):
     docs, items = _sample()
     names = []
