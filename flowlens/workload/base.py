@@ -159,7 +159,12 @@ def packets(spark: SparkSession, folder: str) -> DataFrame:
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
     """IKE messages of the packet table."""
-    return packets(spark, folder).where("ike is not null").selectExpr(
+    return messages_of(packets(spark, folder))
+
+
+def messages_of(rows: DataFrame) -> DataFrame:
+    """IKE messages of some packets."""
+    return rows.where("ike is not null").selectExpr(
         "capture_id",
         "concat(capture_id, ':', packet_id) as ike_message_id",
         "packet_id",
@@ -208,7 +213,12 @@ def _proposal_columns(text: str) -> str:
 
 def proposals(spark: SparkSession, folder: str) -> DataFrame:
     """Crypto proposals: line items of the order whose key is the message's event."""
-    offered = messages(spark, folder).selectExpr(
+    return proposals_of(spark, folder, messages(spark, folder))
+
+
+def proposals_of(spark: SparkSession, folder: str, sent: DataFrame) -> DataFrame:
+    """Crypto proposals of some messages."""
+    offered = sent.selectExpr(
         "capture_id",
         "ike_message_id",
         "packet_id",
