@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from flowlens.llm import words as W
 from flowlens.llm.components import connected
 from flowlens.llm.prefix_tree import PrefixTree
-from flowlens.session import ship_by_value, store
+from flowlens.session import arrow_rows, ship_by_value, store
 
 WIDTH = 5
 PERCENT = 75
@@ -58,8 +58,10 @@ BAND = 5
 TOGETHER = 1 << 18
 #: at most so many of them (12 MB for each task)
 FREQUENT_MOST = 1 << 20
-#: texts whose sets are built together
-BLOCK_BYTES = 2 << 20
+#: texts whose sets are built together; about twenty times as much memory meanwhile
+BLOCK_BYTES = 1 << 20
+#: texts that go to a task's Python side at once
+BATCH_ROWS = 1 << 10
 #: n-grams a task holds before it deals them out
 HELD = 1 << 19
 #: buckets at the least; more where a bucket would hold more than BUCKET n-grams
@@ -181,12 +183,12 @@ def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 rows[i] = len(grams), *_digest(grams)
                 parts.append(_head(grams))
                 held += len(grams)
+                if held > HELD:
+                    yield packed(parts)
+                    parts, held = [], 0
             columns = [batch["id"], *[pa.array(rows[:, k]) for k in range(3)]]
             empty = [pa.nulls(len(batch), k) for k in kinds[4:]]
             yield pa.RecordBatch.from_arrays(columns + empty, names)
-            if held > HELD:
-                yield packed(parts)
-                parts, held = [], 0
         if held:
             yield packed(parts)
 
@@ -253,9 +255,9 @@ def prefixes(docs: DataFrame, frequent, width: int, percent: int, buckets: int)
                     first = ordered(grams, frequent.value)[: _prefix(len(grams), percent)]
                     held[key] = first.copy()
                     n += len(first)
-            if n > HELD:
-                yield dealt(held)
-                held, n = {}, 0
+                    if n > HELD:
+                        yield dealt(held)
+                        held, n = {}, 0
         if held:
             yield dealt(held)
 
@@ -497,7 +499,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     component is the smallest ``doc_id`` that links lead to, the document's own included.
     """
     spark = docs.sparkSession
-    described = store(describe(docs, width, percent), "jaccard-described")
+    with arrow_rows(spark, BATCH_ROWS):
+        described = store(describe(docs, width, percent), "jaccard-described")
     rows = described.where("bucket is null").select("id", "size", "d1", "d2")
     frequent = spark.sparkContext.broadcast(_frequent(described))
     total = rows.agg(F.sum("size")).first()[0] or 0
@@ -508,7 +511,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     short = classes.select("d1", F.col("d2").bitwiseAND(0x7FFF).cast("short").alias("d2"), "id", "size")
     recs = prefixes(docs, frequent, width, percent, buckets).join(short, ["d1", "d2"])
     # a class needs enough shared n-grams to be linked at all
-    recs = store(recs.select("gram", "id", "size"), "jaccard-prefixes")
+    with arrow_rows(spark, BATCH_ROWS):
+        recs = store(recs.select("gram", "id", "size"), "jaccard-prefixes")
     active = recs.groupBy("id", "size").count().where(F.col("count") >= _shared(F.col("size"), percent))
     active = store(active.select("id", "size"), "jaccard-active")
     recs = store(recs.join(active.select("id"), "id", "left_semi"), "jaccard-recs")

@@ -8,10 +8,14 @@ import shutil
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def build_session(app: str = "flowlens", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every flowlens job assumes.
@@ -66,6 +70,20 @@ def store(
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of at most ``most`` rows for what is run meanwhile.
+
+    Rows of whole texts are long, and both sides of a Python step hold two batches.
+    """
+    before = int(spark.conf.get(_ARROW_ROWS))
+    spark.conf.set(_ARROW_ROWS, str(most if before <= 0 else min(before, most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW_ROWS, str(before))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists on the file system it names."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -142,3 +142,56 @@ def _column(text: str):
 
 def test_empty_table(spark):
     assert found(spark, []) == []
+
+
+class _Tasks:
+    """Stands for a frame and keeps the functions given to it."""
+
+    def mapInArrow(self, task, schema):
+        self.task = task
+        return self
+
+    def groupBy(self, *columns):
+        return self
+
+    def applyInArrow(self, task, schema):
+        return self
+
+
+def test_tasks_deal_out_what_they_hold_within_a_batch(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HELD", 200)
+    monkeypatch.setattr(jaccard_join, "_narrow", lambda docs: docs)
+    texts = [" ".join(f"w{100 * i + k}" for k in range(50)) for i in range(60)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(60)), "text": texts})
+
+    described = _Tasks()
+    jaccard_join.describe(described, 5, 75)
+    rows = [r for b in described.task(iter([batch])) for r in b.to_pylist()]
+    heads = [len(r["heads"]) // 4 for r in rows if r["heads"] is not None]
+    assert sum(heads) == 60 * 46 and len({r["id"] for r in rows} - {None}) == 60
+
+    class Frequent:
+        value = (np.zeros(0, "u4"), np.zeros(0, "i8"))
+
+    dealt = _Tasks()
+    jaccard_join.prefixes(dealt, Frequent, 5, 75, 4)
+    held = [sum(len(x) // 8 for x in b["grams"].to_pylist()) for b in dealt.task(iter([batch]))]
+    assert len(held) > 1 and max(held) <= 200 + 46
+
+    flushes = [b for b in described.task(iter([batch])) if b["heads"].null_count < len(b)]
+    assert len(flushes) > 1
+    assert max(sum(len(x) // 4 for x in b["heads"].to_pylist()) for b in flushes) <= 200 + 46
+
+
+def test_texts_reach_tasks_in_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(key), {}
+    store = jaccard_join.store
+    monkeypatch.setattr(
+        jaccard_join, "store", lambda df, name: seen.setdefault(name, int(spark.conf.get(key))) and store(df, name)
+    )
+    table = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g")], "doc_id long, text string")
+    jaccard_join.near_duplicates(table)
+    reading = ("jaccard-described", "jaccard-prefixes")
+    assert all(seen[name] <= jaccard_join.BATCH_ROWS for name in reading)
+    assert spark.conf.get(key) == before
