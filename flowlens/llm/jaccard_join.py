@@ -289,13 +289,6 @@ def prefixes(docs: DataFrame, frequent, width: int, percent: int, buckets: int)
     return packed.groupBy("bucket").applyInArrow(meet, "gram long, d1 long, d2 short")
 
 
-def _blocks(df: DataFrame, key: str, id_: str, most: int) -> DataFrame:
-    """Number of blocks that each key's rows need, and the block of each row by its id's hash."""
-    sizes = df.groupBy(key).agg(F.ceil(F.count("*") / most).cast("long").alias("blocks"))
-    dealt = df.join(sizes, key)
-    return dealt.withColumn("block", F.pmod(F.xxhash64(id_), F.col("blocks")))
-
-
 def probe(texts: DataFrame, pairs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
     """Links between sets of the two sides of each key: ``a``, ``b``.
 
@@ -303,18 +296,28 @@ def probe(texts: DataFrame, pairs: DataFrame, frequent, width: int, percent: int
     is walked through it). Both sides are cut into blocks of bounded size, each tree block meeting
     each block of walkers once. ``texts`` holds ``id`` and ``text``.
     """
-    trees = _blocks(pairs.where("tree").select("key", "id"), "key", "id", TREE)
-    walkers = _blocks(pairs.where("not tree").select("key", "id"), "key", "id", PROBES)
-    n_trees = trees.groupBy("key").agg(F.first("blocks").alias("others"))
-    n_walkers = walkers.groupBy("key").agg(F.first("blocks").alias("others"))
-
-    def spread(side: DataFrame, others: DataFrame, tree: bool) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("other")
-        dealt = side.join(others, "key").select("key", "id", "block", every)
-        cell = (F.col("block"), F.col("other")) if tree else (F.col("other"), F.col("block"))
-        return dealt.select("key", "id", cell[0].alias("t"), cell[1].alias("w"), F.lit(tree).alias("tree"))
-
-    cells = spread(trees, n_walkers, True).unionByName(spread(walkers, n_trees, False))
+    # both sides' blocks from one aggregate, so that the pairs are read twice, whatever leads to them
+    blocks = pairs.groupBy("key").agg(
+        F.ceil(F.count_if("tree") / TREE).cast("long").alias("trees"),
+        F.ceil(F.count_if(~F.col("tree")) / PROBES).cast("long").alias("walkers"),
+    )
+    dealt = pairs.join(blocks.where("trees > 0 and walkers > 0"), "key")
+    own = F.when(F.col("tree"), F.col("trees")).otherwise(F.col("walkers"))
+    others = F.when(F.col("tree"), F.col("walkers")).otherwise(F.col("trees"))
+    dealt = dealt.select(
+        "key",
+        "id",
+        "tree",
+        F.pmod(F.xxhash64("id"), own).alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), others - 1)).alias("other"),
+    )
+    cells = dealt.select(
+        "key",
+        "id",
+        F.when(F.col("tree"), F.col("block")).otherwise(F.col("other")).alias("t"),
+        F.when(F.col("tree"), F.col("other")).otherwise(F.col("block")).alias("w"),
+        "tree",
+    )
 
     def walk(table: pa.Table) -> pa.Table:
         ids, tree = table["id"].to_numpy(), table["tree"].to_numpy(zero_copy_only=False)
@@ -521,7 +524,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     labels = spark.createDataFrame([], "node long, label long")
     known = recs.withColumn("comp", F.col("id"))
     for seed in range(ROUNDS):
-        links = store(probe(texts, _starred(known, seed, percent), frequent, width, percent), "links")
+        links = probe(texts, _starred(known, seed, percent), frequent, width, percent)
         stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
         labels = connected(stars.unionByName(links))
         known = store(_known(recs, labels), "jaccard-known")
@@ -531,7 +534,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     nodes = store(nodes.select("id", "size", F.coalesce("label", "id").alias("comp")), "jaccard-nodes")
     # stored, since a probe reads its pairs several times and would plan all that leads to them each time
     pairs = store(_remaining(texts, known, nodes, frequent, width, percent), "jaccard-pairs")
-    more = store(probe(texts, pairs, frequent, width, percent), "links")
+    more = probe(texts, pairs, frequent, width, percent)
 
     several = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     reps = classes.select("d1", "d2", F.col("id").alias("rep"))

@@ -42,6 +42,75 @@ def test_components(spark):
     assert got == expected
 
 
+def _counted(monkeypatch) -> list[str]:
+    """Names of the tables that components stores from now on."""
+    names, store = [], components.store
+    monkeypatch.setattr(components, "store", lambda df, name: names.append(name) or store(df, name))
+    return names
+
+
+def test_components_of_few_links_need_no_round(spark, monkeypatch):
+    stored = _counted(monkeypatch)
+    links = [(100 + i, 101 + i) for i in range(40)] + [(7, 3), (9, 7), (9, 3), (4, 4), (3, 7)]
+    out = components.connected(spark.createDataFrame(links, "a long, b long").coalesce(1))
+    got = sorted((r["node"], r["label"]) for r in out.collect())
+    assert got == [(7, 3), (9, 3)] + [(101 + i, 100) for i in range(40)]
+    assert len(stored) == 1
+    assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_across_chunks(spark, monkeypatch):
+    stored = _counted(monkeypatch)
+    monkeypatch.setattr(components, "CHUNK", 1)  # of the Arrow batches, each of three rows
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        links = [(i, i // 2) for i in range(1, 200)] + [(500 + i, 502 + i) for i in range(60)] + [(560, 561)]
+        out = components.connected(spark.createDataFrame(links, "a long, b long"))
+        got = sorted((r["node"], r["label"]) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(i, 0) for i in range(1, 200)] + [(501 + i, 500) for i in range(61)]
+    assert len(stored) > 1
+
+
+def test_chunks_become_stars():
+    r = random.Random(3)
+    for n in (0, 1, 5, 40, 300):
+        pairs = [(r.randrange(n), r.randrange(n)) for _ in range(n)]
+        low = list(range(n))
+        for _ in range(n):
+            for a, b in pairs:
+                low[a] = low[b] = min(low[a], low[b])
+        ends = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+        a, b = components._stars(ends[:, 0], ends[:, 1])
+        assert list(zip(a.tolist(), b.tolist())) == [(i, x) for i, x in enumerate(low) if x != i]
+
+
+def test_links_are_stored_once(spark, monkeypatch):
+    names, store = [], jaccard_join.store
+    monkeypatch.setattr(jaccard_join, "store", lambda df, name: names.append(name) or store(df, name))
+    docs = spark.createDataFrame(_near_copies(2, 10, 4), "doc_id long, text string")
+    jaccard_join.near_duplicates(docs).collect()
+    assert "links" not in names  # components store them
+
+
+def test_probe_reads_its_pairs_twice(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(jaccard_join, "TREE", 2)
+    monkeypatch.setattr(jaccard_join, "PROBES", 1)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, text + f" {i}" if i < 6 else f"other {i} " * 9) for i in range(9)]
+    pairs = [(1, i, True) for i in (2, 3, 4, 5, 6)] + [(1, 1, False), (1, 7, False), (1, 0, False)]
+    pairs += [(8, 0, True), (8, 2, True), (7, 3, False)]  # keys with one side only
+    spark.createDataFrame(rows, "id long, text string").write.parquet(f"{tmp_path}/texts")
+    spark.createDataFrame(pairs, "key long, id long, tree boolean").write.parquet(f"{tmp_path}/pairs")
+    none = (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
+    tables = [spark.read.parquet(f"{tmp_path}/{t}") for t in ("texts", "pairs")]
+    links = jaccard_join.probe(*tables, spark.sparkContext.broadcast(none), 5, 75)
+    got = sorted((r["a"], r["b"]) for r in links.distinct().collect())
+    assert got == sorted((a, b) for a in (0, 1) for b in (2, 3, 4, 5))
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("] parquet") == 3
+
+
 def _near_copies(seed: int, groups: int, size: int):
     r = random.Random(seed)
     vocabulary = [f"v{i}" for i in range(3000)]
