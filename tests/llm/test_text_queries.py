@@ -15,7 +15,7 @@ def test_query_equals_sql(spark, name):
     frame = queries.QUERIES[name](spark, FOLDER)
     columns = sorted(frame.columns)
     database = duckdb.connect()
-    for table in ("documents", "benchmark", "pages", "labels"):
+    for table in ("documents", "benchmark", "pages", "labels", "embeddings"):
         database.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     cursor = database.execute(queries.ORACLES[name])
     names = [d[0] for d in cursor.description]
