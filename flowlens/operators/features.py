@@ -395,25 +395,20 @@ def flow_features(
     flows: DataFrame | None = None,
     window: float = BURST_WINDOW_SECONDS,
     chunk_rows: int = CHUNK_ROWS,
+    longest: int | None = None,
 ) -> DataFrame:
     """All 27 scalar features, the histogram and the schema version per flow.
 
     Flows of at most ``chunk_rows`` packets, nearly all of them, take their features from one shuffle
     of their packets. Only the packets of the others, one flow for every ``chunk_rows`` packets at most, go through
     the operators that never gather a flow in one task; without such flows adaptive execution drops that
-    branch before it reads anything.
+    branch before it reads anything. With ``longest``, the packets of the longest flow if that is known, it is
+    not even planned when there are none.
     """
     base = flow_rates(build_flows(packets) if flows is None else flows)
     is_long = (F.col("packet_count") > chunk_rows) if chunk_rows > 0 else F.lit(False)
     longer = F.broadcast(base.where(is_long).select(*FLOW))
     rows = with_flow_pair(packets)
-    short = _short_flow_features(rows.join(longer, FLOW, "left_anti"), window)
-    hot = rows.join(longer, FLOW, "left_semi").drop("flow_pair")
-    parts = [
-        size_features(hot),
-        interarrival_features(hot, chunk_rows),
-        burst_features(hot, window, chunk_rows),
-    ]
     columns = [
         *FLOW,
         "flow_key",
@@ -421,5 +416,14 @@ def flow_features(
         "packet_size_histogram",
         F.lit(FEATURE_SCHEMA_VERSION).alias("feature_schema_version"),
     ]
+    if longest is not None and (chunk_rows <= 0 or longest <= chunk_rows):
+        return base.join(_short_flow_features(rows, window), FLOW, "left").select(*columns)
+    short = _short_flow_features(rows.join(longer, FLOW, "left_anti"), window)
+    hot = rows.join(longer, FLOW, "left_semi").drop("flow_pair")
+    parts = [
+        size_features(hot),
+        interarrival_features(hot, chunk_rows),
+        burst_features(hot, window, chunk_rows),
+    ]
     split = reduce(lambda left, right: left.join(right, FLOW, "left"), parts, base.where(is_long))
     return base.where(~is_long).join(short, FLOW, "left").select(*columns).unionByName(split.select(*columns))

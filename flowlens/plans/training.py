@@ -92,7 +92,7 @@ def train(
     counts = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
     ready, medians, indicators = training_frame(parts["train"])
     ready = dealt(store(ready, "training"), counts["train"])
-    fitted = model.fit_forest(ready, indicators, trees, depth, seed)
+    fitted = model.fit_forest(ready, indicators, trees, depth, seed, rows=counts["train"])
 
     def judged(name: str) -> DataFrame:
         return scored_for_metrics(model.impute(parts[name], medians, indicators), fitted)

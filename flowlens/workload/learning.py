@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from flowlens.contract import FEATURE_NAMES, FEATURES, TRAFFIC_CLASSES
 from flowlens.operators import dataset as ds
-from flowlens.operators import metrics, model, predictions, views
+from flowlens.operators import features, flows, metrics, model, predictions, views
 from flowlens.plans import assessment, scoring, training
 from flowlens.session import shared_folder
-from flowlens.workload.base import micros_sql, read
+from flowlens.workload.base import micros_sql, packets, read
 from flowlens.workload.stored import stored
-from flowlens.workload.traffic import FEATURES_SQL, feature_table, r
+from flowlens.workload.traffic import BURST, FEATURES_SQL, r
 
 
 # ---- validation ----------------------------------------------------------------------------
@@ -80,8 +80,16 @@ def _labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # ---- dataset -------------------------------------------------------------------------------
+def _feature_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Features from one stored packet table and one flow table, which a plan of all would hold many times."""
+    log = stored(spark, folder, "packets", packets)
+    sides = stored(spark, folder, "flows", lambda s, d: flows.build_flows(log))
+    longest = sides.agg(F.max("packet_count")).first()[0] or 0
+    return features.flow_features(log, sides, BURST, longest=longest)
+
+
 def _real_features(spark: SparkSession, folder: str) -> DataFrame:
-    rows = stored(spark, folder, "features", feature_table)
+    rows = stored(spark, folder, "features", _feature_table)
     return rows.withColumn("flow_id", F.concat_ws(">", "capture_id", "flow_key"))
 
 
